@@ -12,13 +12,13 @@ b AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (
-  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[at : at + least(len(w), 10) - 1], ' ') AS t
-  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at FROM b WHERE len(w) > 0)),
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[pos : pos + least(len(w), 10) - 1], ' ') AS t
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS pos FROM b WHERE len(w) > 0)),
 dw AS (
-  SELECT rid, n, at, array_to_string(w[at : at + n - 1], ' ') AS t
-  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
-hit AS (SELECT dw.rid, dw.at, dw.n, bw.item FROM dw JOIN bw ON dw.t = bw.t AND dw.n = bw.n),
-covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(at, at + n)) AS p FROM hit) GROUP BY rid),
+  SELECT rid, n, pos, array_to_string(w[pos : pos + n - 1], ' ') AS t
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT dw.rid, dw.pos, dw.n, bw.item FROM dw JOIN bw ON dw.t = bw.t AND dw.n = bw.n),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY rid),
 which AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
