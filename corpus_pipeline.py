@@ -1,8 +1,75 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: quality rules, line dedup, near copies, decontamination, mixing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again before the next one starts.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm.decontam import contamination, small_side
+from spanloom.llm.line_dedup import dedup_lines
+from spanloom.llm.mixing import mixed_documents
+from spanloom.llm.ngram_join import drop_near_copies
+from spanloom.llm.quality import judge_quality
+from spanloom.llm.scratch import materialize, release, shared_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the classifier keep."""
+    judged = judge_quality(docs.withColumn("__row", F.lit(0)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("quality.kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; a document of which no line with words is left goes."""
+    out = dedup_lines(docs)
+    emptied = (F.size("removed_lines") > 0) & ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    return out.where(~emptied).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64("text")))
+    found = contamination(keyed.select("__key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key").where("n_hit > 0")
+    hit = materialize(found.select(F.col("__key.doc_id").alias("__hid"), F.col("__key.col2").alias("__hth")).distinct(), "contaminated")
+    same = keyed["__key.doc_id"].eqNullSafe(hit["__hid"]) & (keyed["__key.col2"] == hit["__hth"])
+    return keyed.join(small_side(hit), same, "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, with the number of the copy."""
+    return mixed_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixing),
+]
+
+#: SQL can't train the classifier or prune by MinHash; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/spanloom/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{base}/{k}")
+        docs = spark.read.schema(made.schema).parquet(f"{base}/{k}")
+        release(spark)
+    return docs

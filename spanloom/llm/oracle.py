@@ -24,3 +24,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN which USING (rid)
 """
+
+ORACLE["op5_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line,
+         list_sort(list_distinct(regexp_extract_all(translate(s[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+sets AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS k, doc_id, line, w, n
+         FROM (SELECT w, len(w) AS n, min((doc_id, line)) AS p, p[1] AS doc_id, p[2] AS line FROM l WHERE len(w) > 0 GROUP BY w)),
+later AS (SELECT k FROM sets x WHERE EXISTS (
+  SELECT 1 FROM sets y WHERE y.k < x.k AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80
+    AND len(list_intersect(x.w, y.w)) * 180 >= (x.n + y.n) * 80)),
+gone AS (SELECT l.doc_id, l.line FROM l JOIN sets s ON l.w = s.w WHERE (l.doc_id, l.line) <> (s.doc_id, s.line) OR s.k IN (SELECT k FROM later))
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(count(g.line) AS BIGINT) AS n_removed,
+       coalesce(string_agg(CAST(g.line AS VARCHAR), ',' ORDER BY g.line), '') AS removed_lines
+FROM documents d LEFT JOIN gone g USING (doc_id) GROUP BY d.doc_id, d.text
+"""

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contamination
+from .line_dedup import dedup_lines
+from .mixing import mix
+from .ngram_join import similar_documents
+from .quality import judge_quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,32 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of lines, number of removed ones, and their numbers from 0."""
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("removed_lines", lambda i: i.cast("string"))).alias("removed_lines"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the least doc_id of its class, and the number of documents it is linked with."""
+    rows, _ = similar_documents(_read(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_shingles")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    q = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return out.select("doc_id", *[F.col(f"quality.{c}") for c in q])
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_ngram_join": op7_ngram_join,
+    "op10_quality": op10_quality,
 }

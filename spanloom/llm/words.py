@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Everything that is no word character once A-Z are lower case.
 ITEM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Found in a text that has an item word.
+HAS_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 #: White space as the size of a document counts it.
 BLANK = r"[\x20\x09-\x0D]+"
 NON_BLANK = r"[^\x20\x09-\x0D]+"
