@@ -31,7 +31,7 @@ from .scratch import materialize
 from .words import HAS_WORD, item_words, long_array
 
 #: Cells of the table of word counts.
-CELLS = 1 << 15
+CELLS = 1 << 20
 #: Earlier lines of a prefix word that each line is first compared with.
 FIRST, NEAR = 1, 2
 

@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
+from .chat import BEGIN, END, PART_TURNS
+from .licenses import ANCHORS, LICENCE_RULES, SENTENCES
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_decontaminate"] = r"""
@@ -40,3 +43,77 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
        coalesce(string_agg(CAST(g.line AS VARCHAR), ',' ORDER BY g.line), '') AS removed_lines
 FROM documents d LEFT JOIN gone g USING (doc_id) GROUP BY d.doc_id, d.text
 """
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_EITHER_CASE = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+#: Kind, pattern and least number of characters of the value (the last group of ``assign``).
+_KINDS = (
+    ("assign", _EITHER_CASE + r"""["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "AKIA[A-Z0-9]+", 20),
+    ("hex", "[0-9a-f]+", 24),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
+    ("github_token", "gh[pousr]_[A-Za-z0-9]{36,}", 1),
+    ("slack_token", "xox[abprs]-[A-Za-z0-9-]{10,}", 1),
+)
+
+
+def _matches(rank: int, kind: str, pattern: str, least: int) -> str:
+    quoted = pattern.replace("\\'", "\'").replace("'", "''")
+    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, CAST(list_sum(list_transform(w[1:i], lambda x: length(x))) - length(w[i]) + length(g[i]) AS BIGINT) AS s, CAST(list_sum(list_transform(w[1:i], lambda x: length(x))) AS BIGINT) AS e, v[i] AS v, {least} AS least
+  FROM (SELECT rid, w, g, v, unnest(range(1, len(w) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '(?s)(.*?)({quoted})', 0) AS w, regexp_extract_all(t, '(?s)(.*?)({quoted})', 1) AS g, regexp_extract_all(t, '(?s)(.*?)({quoted})', {4 if kind == 'assign' else 2}) AS v FROM d WHERE regexp_matches(t, '{quoted}')))"""
+
+
+ORACLE["op3_secret_scan"] = (
+    "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), m AS ("
+    + " UNION ALL ".join(_matches(i, *k) for i, k in enumerate(_KINDS))
+    + """), f AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         sha256(coalesce(string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
+         string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, rank) AS spans
+  FROM m WHERE length(v) >= least GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (rid)"""
+)
+
+_WORDS = "array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), ' ')"
+
+
+def _sequence(cut: str) -> str:
+    return f"list_transform(list_filter(list_transform({cut}, lambda x: list_position({_list(SENTENCES.values())}, {_WORDS})), lambda p: p > 0), lambda p: {_list(SENTENCES)}[p])"
+
+
+def _rules(column: str) -> str:
+    return ", ".join(f"CASE WHEN len({column}) > 0 AND regexp_matches(',' || array_to_string({column}, ',') || ',', '{',' + ',(?:[^,]+,)*?'.join(ids) + ','}') THEN '{name}' END" for name, ids in LICENCE_RULES)
+
+
+ORACLE["op2_licence_scan"] = f"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){'|'.join(ANCHORS)}') THEN text END AS t FROM documents),
+s AS (SELECT doc_id,
+        coalesce({_sequence(r"regexp_split_to_array(regexp_replace(t, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), '\n+')")}, []) AS a,
+        coalesce({_sequence(r"string_split(regexp_replace(t, '([.!?:;])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))")}, []) AS b FROM d),
+r AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS ids,
+        list_sort(list_distinct(list_filter([{_rules("a")}, {_rules("b")}], lambda x: x IS NOT NULL))) AS l FROM s)
+SELECT doc_id, array_to_string(CASE WHEN list_contains(l, 'BSD-3-Clause') THEN list_filter(l, lambda x: x <> 'BSD-2-Clause') ELSE l END, ',') AS licences,
+       array_to_string(ids, ',') AS sentences, CAST(len(ids) AS BIGINT) AS n_sentences FROM r
+"""
+
+ORACLE["op8_chat_perspectives"] = f"""
+WITH t AS (
+  SELECT conv_id, CAST(coalesce(floor(turn / {PART_TURNS}.0), 0) AS BIGINT) AS part, turn,
+         replace(replace(coalesce(role, 'unknown'), '{BEGIN}', '<| im_start |>'), '{END}', '<| im_end |>') AS role,
+         replace(replace(coalesce(text, ''), '{BEGIN}', '<| im_start |>'), '{END}', '<| im_end |>') AS text
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, part, role AS participant FROM t),
+j AS (SELECT p.conv_id, p.part, p.participant, t.turn, t.role, t.text, t.role = p.participant AS own,
+        CASE WHEN t.role = p.participant THEN '{BEGIN}assistant' || chr(10) ELSE '{BEGIN}user name=' || t.role || chr(10) END AS head, t.text || '{END}' AS body
+      FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.part = p.part),
+k AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, participant ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - 1 AS stop FROM j)
+SELECT conv_id, part, participant, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+       coalesce(string_agg(concat_ws(':', CAST(stop - length(body) AS BIGINT), CAST(stop AS BIGINT)), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS spans, count(*) AS n_turns
+FROM k GROUP BY conv_id, part, participant
+"""
