@@ -1,4 +1,6 @@
 """Registered queries of the evidence operators and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .oracle import ORACLE
+from .queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
