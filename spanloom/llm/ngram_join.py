@@ -10,13 +10,13 @@ Jaccard similarity of their sets is at least ``threshold``.
    similarity 0.8 a pair misses all 32 bands of 4 with probability 5e-8.
 3. In a bucket the MinHash values are compared STEP at a time, and a pair is
    dropped as soon as the posterior probability that its similarity reaches the
-   threshold (uniform prior) is below TOLERANCE.  Of the pairs left only a
-   spanning forest leaves the bucket, so its output is linear in its size.  A
+   threshold (uniform prior) is below TOLERANCE.  Of the pairs left only
+   their components leave the bucket, as stars, so its output is linear in its size.  A
    bucket of more than BLOCK members is dealt out as pairs of blocks.
-4. The connected components of the forests are clusters.  Texts of clustered
+4. The connected components of the stars are clusters.  Texts of clustered
    classes are read again; in each cluster, again in pairs of blocks, the pairs
    that survive the pruning are verified exactly, and leave as the number of
-   links of each class and a spanning forest of the links.
+   links of each class and the stars of the links.
 5. The components of the links are the result.
 """
 
@@ -141,26 +141,20 @@ def survivors(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return out
 
 
-def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (x, y) of a spanning forest of the bipartite graph of a boolean matrix."""
-    rows, cols = links.shape
-    root = list(range(rows + cols))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    xs, ys = [], []
-    for i in np.flatnonzero(links.any(1)):
-        for j in np.flatnonzero(links[i]):
-            p, q = find(int(i)), find(rows + int(j))
-            if p != q:
-                root[p] = q
-                xs.append(i)
-                ys.append(j)
-    return np.array(xs, int), np.array(ys, int)
+def _stars(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least node of its component, in the graph of a boolean matrix of the nodes ``left`` and ``right``."""
+    rows, cols = np.flatnonzero(links.any(1)), np.flatnonzero(links.any(0))
+    links = links[np.ix_(rows, cols)]
+    names, of = np.unique(np.r_[left[rows], right[cols]], return_inverse=True)
+    x, y = of[: len(rows)], of[len(rows) :]
+    label, was = np.arange(len(names)), None
+    while was is None or (label != was).any():
+        was = label.copy()
+        np.minimum.at(label, x, np.where(links, label[y][None, :], len(names)).min(1))
+        np.minimum.at(label, y, np.where(links, label[x][:, None], len(names)).min(0))
+        label = label[label]
+    node = np.flatnonzero(label != np.arange(len(names)))
+    return names[node], names[label[node]]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -231,9 +225,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             links = survivors(sig[left], sig[right], least)
             if same:
                 links &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-            x, y = _forest(links)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets[left][x]), pa.binary()), pa.array(list(sets[right][y]), pa.binary())], names=["u", "v"])
+            if links.any():
+                x, y = _stars(links, sets[left], sets[right])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()), pa.array(list(y), pa.binary())], names=["u", "v"])
 
     cluster = components(members.select("bucket", "a", "b", "own", "set", "sig").mapInArrow(prune, "u binary, v binary"))
     cluster = materialize(cluster.select(F.col("node").alias("set"), F.col("root").alias("cluster")), "clusters")
@@ -256,14 +250,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             n = np.zeros(group.num_rows, np.int64)
             np.add.at(n, left, links @ copies[right])
             np.add.at(n, right, links.T @ copies[left])
-            x, y = _forest(links)
-            mate: list[bytes | None] = [None] * len(n)
-            at, mates = list(range(len(n))), mate
-            for i, j in zip(left[x], right[y], strict=True):
-                at.append(i)
-                mates.append(sets[j])
-            count = np.r_[n, np.zeros(len(at) - len(n), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets[at]), pa.binary()), pa.array(count), pa.array(mates, pa.binary())], names=["set", "links", "mate"])
+            nodes, mates = _stars(links, sets[left], sets[right]) if links.any() else (sets[:0], sets[:0])
+            columns = [pa.array([*sets, *nodes], pa.binary()), pa.array(np.r_[n, np.zeros(len(nodes), np.int64)]), pa.array([*[None] * len(n), *mates], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set", "links", "mate"])
 
     found = materialize(texts.select("cluster", "a", "b", "own", "set", "copies", "sig", "grams").mapInArrow(verify, "set binary, links bigint, mate binary"), "links")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
