@@ -5,18 +5,19 @@ number), has a word set of Jaccard similarity ``percent`` / 100 or more.  Lines
 without words stay.
 
 * Copies first: lines of one word set are combined, before the shuffle, into the earliest.
+* Near copies next: each set is compared with the most copied set that agrees
+  with it in the words of its least hashes, of its greatest, or of the least in
+  another order.  In a large group of near copies almost all lines are settled
+  here, in time linear in the group.
 * Order by rarity: words are ordered by how often they occur, counted over all
-  documents in a table of fixed size that the words share by hash (a total
-  order of words is all the filter needs; the table makes rare words come first).
+  documents in a table of fixed size that words share by hash (the filter needs
+  a total order of words; the table makes rare words come first).
 * Prefix, length and positional filters: two sets can only be similar if they
   share one of their rarest words, have close sizes, and enough words left
-  after the shared one; a 64-bit picture of each set rules out most others.
+  after the shared one; two 64-bit pictures of each set rule out most others.
+  Pairs of two settled sets are left out.  Both sides of the join are the same
+  rows, so they are shuffled once.
 * Verify: the words of the lines that remain are read again and compared.
-
-In a large group of near copies almost all lines match one of the few earliest
-lines or their neighbours in the order, so each line is first compared with
-those, which takes time in proportion to the group.  Only lines that matched
-none of them are joined with all earlier lines of their prefix words.
 """
 
 from __future__ import annotations
@@ -26,14 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decontam import small_side
-from .scratch import materialize
+from ..scratch import materialize, small_side
 from .words import HAS_WORD, item_words, long_array
 
 #: Cells of the table of word counts.
-CELLS = 1 << 20
-#: Earlier lines of a prefix word that each line is first compared with.
-FIRST, NEAR = 1, 2
+CELLS = 1 << 17
+#: Words in each of the keys by which near copies meet.
+KEY = 3
 
 
 def _hashes(text: Column) -> Column:
@@ -50,31 +50,47 @@ def _rarity(texts: DataFrame) -> Column:
     return long_array(table)
 
 
-def _may_match(x: Column, y: Column, percent: int) -> Column:
-    """Length, positional and picture filters of a shared prefix word, in whole numbers."""
-    both = x["n"] + y["n"]
-    overlap = F.floor((both * percent + 99 + percent) / (100 + percent))
-    return (
-        (y["k1"] != x["k1"])
-        & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
-        & (F.least(x["n"] - x["i"], y["n"] - y["i"]) >= overlap)
-        & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= both - overlap * 2)
-    )
+def _view(shift: int) -> Column:
+    """A 64-bit picture of a set of hashes: the bit of each word."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda h: F.call_function("shiftleft", one, F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("h", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(bit(h)))
+
 
+def _may_match(x: str, y: str, percent: int) -> str:
+    """Length and picture filters of two sets (columns n and bits of x and y), in whole numbers."""
+    overlap = f"(({x}n + {y}n) * {percent} + {99 + percent}) div {100 + percent}"
+    return f"least({x}n, {y}n) * 100 >= greatest({x}n, {y}n) * {percent} and bit_count({x}bits ^ {y}bits) <= {x}n + {y}n - 2 * ({overlap})"
 
-def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The k1 of each x in ``pairs`` whose words, read again, are similar to those of y."""
-    pairs = materialize(pairs.select(F.struct("x.k1", "x.id", "x.th", "x.line").alias("x"), F.struct("y.k1", "y.id", "y.th", "y.line").alias("y")).distinct(), "pairs")
-    wanted = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
-    where = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth")).distinct()
-    read = texts.join(small_side(where), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left_semi")
+
+def _verified(texts: DataFrame, places: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The k1 of the later set of each of ``pairs`` (a, b) whose words, read again, are similar."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    wanted = materialize(places.join(small_side(keys), "k1").select("k1", F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("line").alias("wline")), "wanted")
+    same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
+    read = texts.join(small_side(wanted.select("wid", "wth").distinct()), same, "left_semi")
     lines = read.select("id", "th", F.posexplode(F.split("t", "\n")).alias("line", "s"))
-    lines = lines.join(small_side(wanted.select("k1", F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("line").alias("wline"))), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")) & (F.col("line") == F.col("wline")))
-    words = materialize(lines.dropDuplicates(["k1"]).select("k1", F.array_distinct(item_words(F.col("s"))).alias("words")), "lines")
-    x, y = words.select(F.col("k1").alias("kx"), F.col("words").alias("wx")), words.select(F.col("k1").alias("ky"), F.col("words").alias("wy"))
-    joined = pairs.select(F.col("x.k1").alias("kx"), F.col("y.k1").alias("ky")).join(x, "kx").join(y, "ky")
-    shared = F.size(F.array_intersect("wx", "wy"))
-    return joined.where(shared * 100 >= (F.size("wx") + F.size("wy") - shared) * percent).select(F.col("kx").alias("k1")).distinct()
+    lines = lines.join(small_side(wanted), same & (F.col("line") == F.col("wline"))).dropDuplicates(["k1"])
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    words = lines.select("k1", F.struct("id", "th", "line").alias("at"), F.array_distinct(item_words(F.col("s"))).alias("words"))
+    words = materialize(words.withColumns({"n": F.size("words"), "pic": F.array(*[_picture(hashes, q) for q in range(4)])}), "lines")
+    # A larger picture of the sets rules out most pairs before any words move.
+    x, y = (words.select(F.col("k1").alias(k), F.col("at").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("pic").alias(f"pic{k}")) for k in "ab")
+    apart = sum((F.bit_count(F.col("pica")[q].bitwiseXOR(F.col("picb")[q])) for q in range(1, 4)), F.bit_count(F.col("pica")[0].bitwiseXOR(F.col("picb")[0])))
+    most = F.expr(f"na + nb - 2 * (((na + nb) * {percent} + {99 + percent}) div {100 + percent})")
+    close = materialize(pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b", F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("later")), "close")
+    x, y = (words.select(F.col("k1").alias(k), F.col("words").alias(f"w{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    joined = close.join(x, "a").join(y, "b").where(shared * 100 >= (F.size("wa") + F.size("wb") - shared) * percent)
+    return materialize(joined.select(F.col("later").alias("k1")).distinct(), "later")
+
+
+def _picture(hashes: Column, q: int) -> Column:
+    """Long ``q`` of a 256-bit picture of a set of hashes."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda h: F.call_function("shiftleft", one, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: F.when(F.shiftrightunsigned(h, 28).bitwiseAND(F.lit(3)) == q, a.bitwiseOR(bit(h))).otherwise(a))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -89,33 +105,39 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rarity = _rarity(texts)
 
     lines = texts.select("id", "th", F.posexplode(F.split("t", "\n")).alias("line", "s")).select("id", "th", "line", F.sort_array(_hashes(F.col("s"))).alias("h")).withColumn("n", F.size("h")).where("n > 0")
-    one = F.lit(1).cast("bigint")
     place = F.transform("h", lambda h: F.shiftleft(F.get(rarity, F.pmod(h, F.lit(CELLS)).cast("int")), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1))))
-    picture = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    # Two views of 64 bits each: a word sets one bit in either.
+    picture, second = (_view(k) for k in (20, 36))
     prefix = F.slice(F.sort_array(place), F.lit(1), F.expr(f"n - cast((n * {percent} + 99) div 100 as int) + 1"))
-    lines = lines.select(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "id", "th", "line", "n", picture.alias("bits"), prefix.alias("prefix"))
-    sets = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line", "n", "bits", "prefix")).alias("r")).select("k1", "r.*"), "sets")
-
-    # A row for each set and prefix word; a very common word is dealt over several parts.
-    members = sets.select("k1", "id", "th", "line", "n", "bits", F.posexplode("prefix").alias("i", "w"))
-    parts = F.call_function("shiftleft", F.lit(1), F.least(F.lit(12), F.greatest(F.lit(0), F.shiftrightunsigned("w", 57).cast("int") - 14)))
-    me = F.struct("id", "th", "line", "k1", "n", "bits", "i")
-    order = Window.partitionBy("w", "part").orderBy("id", "th", "line")
-    rivals = F.array(F.first("me").over(order), *[F.lag("me", k).over(order) for k in range(1, NEAR + 1)])
-    dealt = members.select("w", me.alias("me"), "id", "th", "line", F.pmod("k1", parts).alias("part"), (parts > 1).alias("dealt"))
-    dealt = dealt.select("w", "me", "dealt", F.row_number().over(order).alias("rank"), rivals.alias("rivals"))
-    fits = F.filter("rivals", lambda y: y.isNotNull() & _may_match(F.col("me"), y, percent))
-    dealt = materialize(dealt.select("w", "me", (F.col("dealt") | (F.col("rank") > NEAR + 2)).alias("open"), fits.alias("rivals")).where("open or size(rivals) > 0"), "near")
-    first = materialize(_verified(texts, dealt.where("size(rivals) > 0").select(F.col("me").alias("x"), F.explode("rivals").alias("y")), percent), "first")
-
-    rest = dealt.where("open").select("w", F.col("me").alias("x")).join(small_side(first), F.col("x.k1") == F.col("k1"), "left_anti")
-    rest = materialize(rest, "open")
-    other = members.select("w", me.alias("y")).join(small_side(rest.select("w").distinct()), "w", "left_semi")
-    pairs = rest.join(other, "w").where((F.struct("y.id", "y.th", "y.line") < F.struct("x.id", "x.th", "x.line")) & _may_match(F.col("x"), F.col("y"), percent)).select("x", "y")
-    second = _verified(texts, pairs, percent)
+    ends = F.slice("h", F.lit(1), F.lit(KEY)), F.slice("h", F.lit(-KEY), F.lit(KEY)), F.slice(F.sort_array(F.transform("h", lambda h: F.xxhash64(h))), F.lit(1), F.lit(KEY))
+    parts = [F.when(F.col("n") >= KEY, F.xxhash64(e)).otherwise(0) for e in ends]
+    lines = lines.select(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "id", "th", "line", "n", picture.alias("bits"), second.alias("bits2"), F.array(*parts).alias("parts"), prefix.alias("prefix"))
+    sets = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line", "n", "bits", "bits2", "parts", "prefix")).alias("r"), F.count("*").alias("copies")).select("k1", "copies", "r.*"), "sets")
+    places = sets.select("k1", "id", "th", "line")
+
+    # Each set and the one of most copies, the earliest of equal ones, that agrees with it in a key.
+    part = sets.select("k1", "copies", F.struct("id", "th", "line").alias("at"), "n", "bits", F.posexplode("parts").alias("p", "v")).where("v <> 0")
+    pivot = F.first(F.struct("k1", "n", "bits")).over(Window.partitionBy("p", "v").orderBy(F.desc("copies"), "at"))
+    near = part.withColumn("y", pivot).select("k1", "n", "bits", F.col("y.k1").alias("yk"), F.col("y.n").alias("yn"), F.col("y.bits").alias("ybits"))
+    near = near.where("k1 <> yk").where(_may_match("", "y", percent)).select(F.col("k1").alias("a"), F.col("yk").alias("b"))
+    first = _verified(texts, places, near, percent)
+
+    # A row for each set and prefix word: the words in order, the set's size and picture, and whether it is settled in one long.
+    settled = sets.select("k1", "n", "bits", "bits2", "prefix").join(small_side(first.withColumn("done", F.lit(1))), "k1", "left")
+    size = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.coalesce("done", F.lit(0)).cast("bigint"))
+    members = settled.select("k1", "bits", "bits2", size.alias("size"), F.posexplode("prefix").alias("i", "w")).select("w", "k1", "bits", "bits2", F.col("size").bitwiseOR(F.shiftleft("i", 1)).alias("size"))
+    x, y = (members.select(F.col("w").alias(f"{s}w"), F.col("k1").alias(f"{s}k"), F.col("bits").alias(f"{s}bits"), F.col("bits2").alias(f"{s}more"), F.col("size").alias(f"{s}s")) for s in "xy")
+    n, i = (lambda s: f"shiftright({s}s, 32)"), (lambda s: f"(shiftright({s}s, 1) & {(1 << 31) - 1})")
+    overlap = f"((({n('x')} + {n('y')}) * {percent} + {99 + percent}) div {100 + percent})"
+    fits = F.expr(
+        f"xw = yw and xk < yk and (xs & ys & 1) = 0 and least({n('x')}, {n('y')}) * 100 >= greatest({n('x')}, {n('y')}) * {percent}"
+        f" and greatest(bit_count(xbits ^ ybits), bit_count(xmore ^ ymore)) <= {n('x')} + {n('y')} - 2 * {overlap} and least({n('x')} - {i('x')}, {n('y')} - {i('y')}) >= {overlap}"
+    )
+    pairs = x.join(y, fits).select(F.col("xk").alias("a"), F.col("yk").alias("b"))
+    second = _verified(texts, places, pairs, percent)
 
     later = first.unionByName(second).distinct()
-    kept = sets.select("k1", "id", "th", "line").join(small_side(materialize(later, "later")), "k1", "left_anti").groupBy("id", "th").agg(F.collect_list("line").alias("__kept"))
+    kept = sets.select("k1", "id", "th", "line").join(small_side(materialize(later, "all")), "k1", "left_anti").groupBy("id", "th").agg(F.collect_list("line").alias("__kept"))
     kept = materialize(kept.select(F.col("id").alias("__kid"), F.col("th").alias("__kth"), "__kept"), "kept")
 
     out = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(F.col(text_col)), "__text": F.col(text_col), "__lines": F.split(text_col, "\n")})
