@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.decontam import contamination, small_side
+from spanloom.llm.decontam import contamination
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.mixing import mixed_documents
 from spanloom.llm.ngram_join import drop_near_copies
 from spanloom.llm.quality import judge_quality
-from spanloom.llm.scratch import materialize, release, shared_dir
+from spanloom.scratch import materialize, release, shared_dir, small_side
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
