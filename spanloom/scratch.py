@@ -7,6 +7,8 @@ local session may go without the setting; it then gets a temporary folder.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        folder = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
