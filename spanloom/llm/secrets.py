@@ -95,7 +95,9 @@ def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, *, id_col
         again = F.transform(F.col("due"), lambda n: F.split_part(n, F.lit("/"), F.lit(1)))
         new = new.withColumn("known", F.filter(F.coalesce("spans", _none()), lambda s: F.array_contains(current, s["kind"]) & ~F.array_contains(again, s["kind"]))).drop("spans", "seen")
     new = new.select(F.col("blob").alias("nblob"), F.col("first.id").alias("nid"), "due", "known")
-    one = src.join(small_side(materialize(new, "due")), (F.col("blob") == F.col("nblob")) & F.col("id").eqNullSafe(F.col("nid")))
+    # The first run has all blobs to scan, so texts meet their blobs in a shuffle at every size; later ones mostly few.
+    new = materialize(new, "due")
+    one = src.join(new if ledger is None else small_side(new), (F.col("blob") == F.col("nblob")) & F.col("id").eqNullSafe(F.col("nid")))
     found = F.col("known")
     for rule in rules:
         found = F.concat(found, F.when(F.array_contains("due", rule.name), _spans(F.col("text"), rule)).otherwise(_none()))
