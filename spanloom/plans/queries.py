@@ -53,7 +53,7 @@ def cycle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     rows = e.select((F.col("label") % 2).alias("ring"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("sig"))
     rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("ring").orderBy("vec_id")) - 1).cast("bigint"))
-    return _rounded(phases.cycle_splits(rows.where("pos < 120")), "score")
+    return _rounded(phases.cycle_splits(rows), "score")
 
 
 def role_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

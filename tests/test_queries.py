@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from spanloom.plans import ORACLE, QUERIES
@@ -38,3 +39,21 @@ def test_query_equals_its_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, DIR).columns
+
+
+def test_cycle_split_scores_whole_rings(spark, db):
+    rings = {}
+    for ring, sig in db.sql("select label % 2, embedding from embeddings order by vec_id").fetchall():
+        rings.setdefault(ring, []).append(np.array(sig, float))
+    want = {}
+    for ring, sig in rings.items():
+        n = len(sig)
+        least, w = max(30, round(n * 0.30)), max(5, min(12, n // 16))
+        for k in range(max(least, round(n * 0.35)), min(n - least, round(n * 0.75)) + 1):
+            if k + w < n:
+                head = np.mean([np.abs(sig[i] - sig[k + i]).mean() for i in range(w)])
+                tail = np.mean([np.abs(sig[n - w + i] - sig[k - w + i]).mean() for i in range(w)])
+                want[ring, n, k] = (head + tail) / 2
+    got = {(r.ring, r.n, r.split): r.score for r in QUERIES["cycle_split"](spark, DIR).collect()}
+    assert set(got) == set(want) and len(want) > 120
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
