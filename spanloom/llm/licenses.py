@@ -2,9 +2,9 @@
 
 Sentences are normalised to lower-case words and mapped to identifiers of known
 licence sentences; the identifiers of a text, in order, are matched against
-ordered licence rules, other known sentences in between allowed.  A text is cut
-twice: at line ends and sentence ends, and at sentence ends alone (for wrapped
-licence texts); a rule may match either sequence.
+ordered licence rules, other known sentences in between allowed.  A known
+sentence begins and ends at the end of a sentence or line, a semicolon or a
+colon, and may go on over all of these but the first.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import item_words
+from .words import lower_ascii
 
 #: Known sentences, as lower-case words.
 SENTENCES = {
@@ -60,15 +60,26 @@ LICENCE_RULES = (
 #: Each known sentence has one of these words, so a text without any of them has no known sentence.
 ANCHORS = ("licen", "permission", "redistribut", "rights", "copyright", "warranty")
 
-_LINES = r"\n+|(?<=[.!?:;])[ \t\r]+"
-_WRAPPED = r"(?<=[.!?:;])\s+"
+#: Marks of a sentence's end, and of a line's end or a semicolon or colon, at which a known sentence may begin, go on or end.
+_FULL, _PART = "\x01", "\x02"
 
 
-def _sequence(text: Column, cut: str) -> Column:
+def _known() -> str:
+    """Pattern of a known sentence between marks; the shorter of two goes first, so that none hides another."""
+    one_of = "|".join(s.replace(" ", f"[ {_PART}]") for s in sorted(SENTENCES.values(), key=len))
+    return f"(?<=[{_FULL}{_PART}])(?:{one_of})(?=[{_FULL}{_PART}])"
+
+
+def _sequence(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known, names = F.array(*[F.lit(s) for s in SENTENCES.values()]), F.array(*[F.lit(n) for n in SENTENCES])
-    found = F.transform(F.split(text, cut), lambda s: F.array_position(known, F.concat_ws(" ", item_words(s))).cast("int"))
-    return F.transform(F.filter(found, lambda p: p > 0), lambda p: F.element_at(names, p))
+    marked = F.translate(lower_ascii(text), _FULL + _PART, "--")
+    marked = F.regexp_replace(marked, r"(?<=[.!?])\s+", _FULL)
+    marked = F.regexp_replace(marked, r"\n+|(?<=[:;])\s+", _PART)
+    marked = F.concat(F.lit(_FULL), F.regexp_replace(marked, r"[\x00\x03-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(_FULL))
+    marked = F.regexp_replace(marked, f" ?{_PART}[ {_PART}]*", _PART)
+    marked = F.regexp_replace(marked, f"[ {_PART}]?{_FULL}[ {_FULL}{_PART}]*", _FULL)
+    names = F.map_from_arrays(F.array(*[F.lit(s) for s in SENTENCES.values()]), F.array(*[F.lit(n) for n in SENTENCES]))
+    return F.transform(F.regexp_extract_all(marked, F.lit(_known()), F.lit(0)), lambda s: F.element_at(names, F.translate(s, _PART, " ")))
 
 
 def scan_licences(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -80,15 +91,13 @@ def scan_licences(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     text = F.col(text_col)
     anchored = text.rlike("(?i)" + "|".join(ANCHORS))
     none = F.array().cast("array<string>")
-    out = docs.withColumns({"__lines": F.when(anchored, _sequence(text, _LINES)).otherwise(none), "__whole": F.when(anchored, _sequence(text, _WRAPPED)).otherwise(none)})
+    out = docs.withColumn("sentences", F.when(anchored, _sequence(text)).otherwise(none))
     named = none
-    for cut in ("__lines", "__whole"):
-        line = F.concat(F.lit(","), F.array_join(cut, ","), F.lit(","))
-        for licence, ids in LICENCE_RULES:
-            rule = "," + ",(?:[^,]+,)*?".join(ids) + ","
-            named = F.array_append(named, F.when((F.size(cut) > 0) & line.rlike(rule), F.lit(licence)))
+    line = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
+    for licence, ids in LICENCE_RULES:
+        rule = "," + ",(?:[^,]+,)*?".join(ids) + ","
+        named = F.array_append(named, F.when((F.size("sentences") > 0) & line.rlike(rule), F.lit(licence)))
     bsd = F.array_sort(F.array_distinct(F.array_compact(named)))
     # The three-clause rule has the two-clause one as its beginning.
     licences = F.when(F.array_contains(bsd, "BSD-3-Clause"), F.array_remove(bsd, "BSD-2-Clause")).otherwise(bsd)
-    sentences = F.when(F.size("__lines") >= F.size("__whole"), F.col("__lines")).otherwise(F.col("__whole"))
-    return out.withColumns({"sentences": sentences, "licences": licences}).drop("__lines", "__whole")
+    return out.withColumn("licences", licences)

@@ -120,6 +120,85 @@ def test_licences(spark):
     assert {x for _, ids in LICENCE_RULES for x in ids} <= set(s)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) [year] [fullname]
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_TEXT = """    Copyright (C) <year>  <name of author>
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD_TEXT = """BSD 3-Clause License
+
+Copyright (c) [year], [fullname]
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_licence_texts_as_published(spark):
+    whole = {"MIT": MIT_TEXT, "GPL-3.0": GPL_TEXT, "BSD-3-Clause": BSD_TEXT}
+    ways = (lambda t: t, lambda t: re.sub(r"\s*\n\s*", " ", t), lambda t: re.sub(r"(?m)^", " * ", t), lambda t: t.replace("\n", "\r\n"), lambda t: re.sub(r"(?m)^", "# ", f"x = 1\n{t}y = 2\n"))
+    # On one line the cut needs an end in front of the first sentence.
+    first = {"MIT": "Permission is", "GPL-3.0": "This program is free", "BSD-3-Clause": "Redistribution and"}
+    texts = [(10 * i + k, way(t[t.index(first[name]) :] if k == 1 else t)) for i, (name, t) in enumerate(whole.items()) for k, way in enumerate(ways)]
+    texts += [(90, "/* SPDX-License-Identifier: MIT */"), (91, "# SPDX-License-Identifier: Apache-2.0\nimport x"), (92, "It is not true. Released under the MIT License; see below"), (93, "this text was never released under the MIT license")]
+    got = {r.doc_id: list(r.licences) for r in scan_licences(docs(spark, texts)).collect()}
+    assert got == {10 * i + k: [name] for i, name in enumerate(whole) for k in range(len(ways))} | {90: ["MIT"], 91: ["Apache-2.0"], 92: ["MIT"], 93: []}
+
+
 # 3 -------------------------------------------------------------------------------
 
 
