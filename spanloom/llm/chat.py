@@ -7,12 +7,12 @@ trained on: the texts of the assistant's turns and their end marks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed marks of the rendering.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
-#: Turns are dealt into parts by turn number, so a conversation of any length is rendered in pieces of bounded size.
+#: Turns are dealt into parts by their place in the conversation, so one of any length is rendered in pieces of so many turns.
 PART_TURNS = 4096
 
 
@@ -27,13 +27,16 @@ def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
     Turns are in the order of turn number, role and text; null numbers come
     first.  A null role takes part as ``unknown``, a null text is empty.  Repeated
     rows are repeated turns.  A null conversation is a conversation.  Part p
-    has the turns of numbers part_turns * p and on; a participant that only
-    speaks in other parts has no rendering there.
+    has the turns from place part_turns * p on; every participant of the
+    conversation has a rendering of every part, and its parts join to the whole.
     """
     role = F.coalesce(F.col(role_col), F.lit("unknown"))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(0)).cast("bigint").alias("part"), F.struct(F.col(turn_col).alias("turn"), _plain(role).alias("role"), _plain(F.col(text_col)).alias("text")).alias("t"))
-    talks = rows.groupBy("conv", "part").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    talks = talks.withColumn("participant", F.explode(F.array_sort(F.array_distinct(F.transform("ts", lambda t: t["role"])))))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), _plain(role).alias("role"), _plain(F.col(text_col)).alias("text")).alias("t"))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("t")) - 1
+    rows = rows.withColumn("part", F.floor(place / part_turns).cast("bigint"))
+    talks = rows.groupBy("conv", "part").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.collect_set("t.role").alias("roles"))
+    people = F.array_distinct(F.flatten(F.collect_set("roles").over(Window.partitionBy("conv"))))
+    talks = talks.withColumn("people", F.array_sort(people)).withColumn("participant", F.explode("people"))
     own = lambda t: t["role"] == F.col("participant")
     head = lambda t: F.when(own(t), F.lit(f"{BEGIN}assistant\n")).otherwise(F.concat(F.lit(f"{BEGIN}user name="), t["role"], F.lit("\n")))
     pieces = F.transform("ts", lambda t: F.struct(own(t).alias("own"), head(t).alias("head"), F.concat(t["text"], F.lit(END)).alias("body")))

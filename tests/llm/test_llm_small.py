@@ -383,6 +383,20 @@ def test_perspectives(spark):
     assert [r.rendered[s.start : s.end] for s in r.spans] == ["hi<|im_end|>"] and len(got[3, 0, "a"].spans) == 2
 
 
+def test_parts_join_to_the_whole_dialogue(spark):
+    rows = [(1, 10**12 * i, "ab"[i % 2] if i < 8 else "c", f"t{i}") for i in range(11)] + [(None, None, "a", "n"), (None, 7, "d", "m"), (None, 8, "d", "o"), (None, 9, "d", "p")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    whole = {(r.conv_id, r.participant): r for r in rotate_perspectives(df).collect()}
+    assert set(whole) == {(1, "a"), (1, "b"), (1, "c"), (None, "a"), (None, "d")}
+    parts = defaultdict(list)
+    for r in rotate_perspectives(df, part_turns=3).orderBy("part").collect():
+        parts[r.conv_id, r.participant].append(r)
+        assert [r.rendered[s.start : s.end] for s in r.spans] == re.findall(r"assistant\n(.*?<\|im_end\|>)", r.rendered)
+    for key, r in whole.items():
+        assert [p.part for p in parts[key]] == list(range(4 if key[0] else 2))
+        assert "".join(p.rendered for p in parts[key]) == r.rendered and sum(p.n_turns for p in parts[key]) == r.n_turns == (11 if key[0] else 4)
+
+
 # 9 -------------------------------------------------------------------------------
 
 
