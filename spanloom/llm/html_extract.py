@@ -11,9 +11,12 @@ leads to them, and the text of each block.
    tags nest by their paths into the host's template, and what lies between
    them are slots.
 3. A slot's share of text that is not itself a template token (the same in most
-   pages of the host) tells content from chrome.  The main slot is the deepest
-   valid element that holds most of it and is no chrome by its name.  A host
-   of fewer than LEAST_PAGES pages takes the template of all hosts.
+   pages of the host) tells content from chrome.  The deepest valid element
+   that holds most of it and is no chrome by its name is the core.  The main
+   slot is the highest element around the core that is its article or main, or
+   adds no more template text than other text; of several with the same text
+   the deepest.  A host of fewer than LEAST_PAGES pages takes the template of
+   all hosts.
 4. Extraction reads each whole page again and joins the blocks of its main
    slot, without nested chrome.  The element names are the exact check: a page
    whose main slot is missing falls back on its article, main or body.
@@ -196,18 +199,27 @@ def main_paths(pages: DataFrame) -> tuple[DataFrame, str]:
     whole = total.agg(F.sum("all").alias("all")).withColumn("host", F.lit(None).cast("string"))
 
     def slots(tokens: DataFrame, number: DataFrame) -> DataFrame:
-        """The best slot of each host: the deepest valid element with most of the text that isn't itself template."""
+        """The best slot of each host: from the deepest valid element with most of the text that isn't itself template up to the one that has the whole article."""
         t = tokens.join(number.withColumnRenamed("host", "h"), tokens["host"].eqNullSafe(F.col("h"))).drop("h")
         tags = t.where("text is null")
         group = Window.partitionBy("host", "pages", "vector")
         valid = tags.withColumn("class", F.count("*").over(group)).where(f"pages >= {ALMOST_ALL} * all and n = pages and token not like '%!' and class >= 2")
         valid = valid.select("host", F.col("token").alias("slot"))
-        chars = t.where("text is not null and size > 0 and (pages < 3 or pages < 0.5 * all)").groupBy("host", "token").agg(F.sum(F.col("size") * F.col("pages")).alias("chars"))
-        held = chars.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("token", "/"))), lambda k: F.array_join(F.slice(F.split("token", "/"), F.lit(1), k), "/"))).alias("slot")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"))
-        best = valid.alias("v").join(held.alias("c"), (F.col("v.slot") == F.col("c.slot")) & F.col("v.host").eqNullSafe(F.col("c.host"))).select("v.host", "v.slot", "c.chars")
+        lone = F.expr("pages < 3 or pages < 0.5 * all")
+        mass = F.col("size") * F.col("pages")
+        chars = t.where("text is not null and size > 0").groupBy("host", "token").agg(F.sum(F.when(lone, mass).otherwise(0)).alias("chars"), F.sum(F.when(lone, 0).otherwise(mass)).alias("fixed"))
+        held = chars.select("host", "chars", "fixed", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("token", "/"))), lambda k: F.array_join(F.slice(F.split("token", "/"), F.lit(1), k), "/"))).alias("slot")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("fixed").alias("fixed")).where("chars > 0")
+        best = valid.alias("v").join(held.alias("c"), (F.col("v.slot") == F.col("c.slot")) & F.col("v.host").eqNullSafe(F.col("c.host"))).select("v.host", F.size(F.split("v.slot", "/")).alias("deep"), "v.slot", "c.chars", "c.fixed")
         most = best.groupBy("host").agg(F.max("chars").alias("most")).withColumnRenamed("host", "h")
-        best = best.join(most, F.col("host").eqNullSafe(F.col("h"))).where("chars >= 0.95 * most")
-        return best.groupBy("host").agg(F.max(F.struct(F.size(F.split("slot", "/")).alias("deep"), "slot")).alias("b")).select("host", F.col("b.slot").alias("path"))
+        core = best.join(most, F.col("host").eqNullSafe(F.col("h"))).where("chars >= 0.95 * most").groupBy(F.col("host").alias("h")).agg(F.max(F.struct("deep", "slot", "chars", "fixed")).alias("core"))
+        named = F.expr("coalesce(nullif(regexp_extract(core.slot, '^(?:.*?/)?article(?=/|$)', 0), ''), regexp_extract(core.slot, '^(?:.*?/)?main(?=/|$)', 0))")
+        chain = best.join(core, F.col("host").eqNullSafe(F.col("h"))).where("startswith(concat(core.slot, '/'), concat(slot, '/'))")
+        step = F.struct("deep", "slot", "chars", "fixed", (F.col("slot") == named).alias("named"))
+        chain = chain.groupBy("host").agg(F.reverse(F.array_sort(F.collect_list(step))).alias("up"))
+        higher = lambda x, y: F.when(y["named"] | (y["fixed"] - x["fixed"] <= y["chars"] - x["chars"]), y).otherwise(x)
+        chain = chain.withColumn("top", F.aggregate("up", F.element_at("up", 1), higher))
+        same = F.filter("up", lambda x: (x["chars"] == F.col("top.chars")) & (x["fixed"] == F.col("top.fixed")))
+        return chain.select("host", F.array_max(same)["slot"].alias("path"))
 
     common = slots(everywhere, whole).collect()  # one row
     path = common[0].path if common else ""

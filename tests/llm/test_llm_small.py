@@ -415,6 +415,22 @@ def test_main_text(spark):
     assert by[60].endswith("é\n\nThird") and by[70] == "loose <b>" and by[71] == by[72] == "" and len(got) == len(rows)
 
 
+def test_main_slot_has_the_whole_article(spark):
+    long = lambda k, host: " ".join(f"{host}{k}w{i}" for i in range(300))
+    bodies = {
+        "beside": lambda k: f"<div>Home</div><article><h1>Head {k}</h1><p>Lead {k}</p><div><p>{long(k, 'b')}</p><p>more {k}</p></div><p>Tail {k}</p></article>",
+        "single": lambda k: f"<div>Home</div><article><h1>Head {k}</h1><p>{long(k, 's')}</p><h2>Tail {k}</h2></article>",
+        "divs": lambda k: f"<ul><li>Home</li><li>All the other things on this site</li></ul><div><h1>Head {k}</h1><h2>By <b>name{k}</b></h2><div><p>{long(k, 'd')}</p><p>more</p></div></div>",
+        "above": lambda k: f"<h1>Head {k}</h1><article><p>{long(k, 'a')}</p><p>x{k}</p></article><footer>Foot</footer>",
+    }
+    rows = [(i * 100 + k, f"http://{host}/{k}", f"<html><body>{body(k)}</body></html>") for i, (host, body) in enumerate(bodies.items()) for k in range(12)]
+    got = {r.page_id: r.main_text.split("\n\n") for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == [f"Head {k}", f"Lead {k}", long(k, "b"), f"more {k}", f"Tail {k}"]
+        assert got[100 + k] == [f"Head {k}", long(k, "s"), f"Tail {k}"]
+        assert got[200 + k] == [f"Head {k}", f"By name{k}", long(k, "d"), "more"]
+        assert got[300 + k] == [f"Head {k}", long(k, "a"), f"x{k}"]
+
 def test_blocks_of_odd_markup():
     assert blocks("a < b <i>c</i>d<!-- x --><p>e", None) == ["a < b cd", "e"]
     assert blocks(html.escape("<p>"), None) == ["<p>"]
