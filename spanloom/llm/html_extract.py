@@ -58,36 +58,71 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
-
-
-def _is_chrome(tag: str, attributes: str) -> bool:
-    if tag in CHROME:
-        return True
-    if not attributes or "=" not in attributes:
-        return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return any(w in CHROME_NAMES for m in _NAME.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Elements whose class, id and role say nothing of chrome, and code, in which they are marks of syntax.
+_NAMELESS, _CODE = frozenset("html body article main".split()), frozenset("pre code".split())
+
+
+def _is_chrome(tag: str, attributes: str) -> str:
+    """Why an element never holds main text: "sure", or "name", which a wrapper of the article may have too; else nothing."""
+    if tag in CHROME and tag != "form":
+        return "sure"
+    named = tag == "form"
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and _UNSEEN.search(value):
+            return "sure"
+        named = named or key in ("class", "id", "role") and tag not in _NAMELESS and not CHROME_NAMES.isdisjoint(value.split())
+    return "name" if named else ""
+
+
+def _wrappers(page: str) -> frozenset[int]:
+    """Numbers of the elements, chrome by name only, around the article or main of a page that has none elsewhere; of a page without any, those around its only h1s or over half of its text."""
+    held: list[tuple[str, int, tuple[int, ...], int]] = []
+    for _ in _walk(page, frozenset(), held):
+        if held and held[-1][0] in ("article", "main") and not held[-1][1] and not held[-1][2]:
+            return frozenset()
+    seen = [(tag, names, size) for tag, sure, names, size in held if not sure]
+    free = {n for tag, names, _ in seen if tag in ("article", "main") for n in names}
+    if not free:
+        heads = [names for tag, names, _ in seen if tag == "h1"]
+        free = {n for names in heads for n in names} if all(heads) else set()
+        mass: Counter = Counter()
+        for _, names, size in seen:
+            for n in names:
+                mass[n] += size
+        half = sum(size for *_, size in seen) / 2
+        free |= {n for n, size in mass.items() if size > half}
+    return frozenset(free)
 
 
 def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
     """Events of a page: ("open", path, name, chrome) and ("text", path, text, chrome); chrome counts the open elements that never hold main text."""
+    return _walk(page, _wrappers(page), None)
+
+
+def _walk(page: str, free: frozenset[int], held: list[tuple[str, int, tuple[int, ...], int]] | None) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
+    """The events of ``walk``; elements numbered in ``free`` are no chrome.  ``held`` gets (name, sure chrome, numbers of chrome by name, size) around each article, main, h1 and text."""
     stack: list[tuple[str, bool]] = []
-    depth, at = 0, 0
+    names: list[tuple[int, int]] = []  # places in the stack and numbers of the open elements that are chrome by name
+    depth, at, number, code = 0, 0, 0, 0
 
     def shut(k: int) -> None:
-        nonlocal depth
+        nonlocal depth, code
         while len(stack) > k:
-            depth -= stack.pop()[1]
+            tag, chrome = stack.pop()
+            depth -= chrome
+            code -= tag in _CODE
+        while names and names[-1][0] >= k:
+            names.pop()
 
     while True:
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
+            if held is not None:
+                held.append(("", depth - len(names), tuple(n for _, n in names), len(page[at:end].strip())))
             yield "text", tuple(n for n, _ in stack), page[at:end], depth
         if not m:
             return
@@ -116,7 +151,11 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        chrome = _is_chrome(tag, m[3])
+        number += 1
+        why = _is_chrome(tag, m[3])
+        chrome = bool(why) and number not in free and (why == "sure" or not code or tag == "form")
+        if held is not None and tag in ("article", "main", "h1"):
+            held.append((tag, depth + chrome - len(names), tuple(n for _, n in names), 0))
         yield "open", (*(n for n, _ in stack), tag), tag, depth + chrome
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -124,8 +163,11 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
+        if chrome and why == "name":
+            names.append((len(stack), number))
         stack.append((tag, chrome))
         depth += chrome
+        code += tag in _CODE
 
 
 def blocks(page: str, main: tuple[str, ...] | None) -> list[str]:

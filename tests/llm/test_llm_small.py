@@ -431,6 +431,19 @@ def test_main_slot_has_the_whole_article(spark):
         assert got[200 + k] == [f"Head {k}", f"By name{k}", long(k, "d"), "more"]
         assert got[300 + k] == [f"Head {k}", long(k, "a"), f"x{k}"]
 
+def test_wrappers_and_words_are_no_chrome(spark):
+    assert blocks("<div class='content no-sidebar has-header'><p>a</p></div>", None) == ["a"]
+    assert blocks("<article><p title='the hidden cost' data-role='search'>a</p><p hidden>b</p><p style='display: none'>c</p><p aria-hidden=true>d</p></article>", None) == ["a"]
+    assert blocks("<article><pre><code>x <span class='hljs-comment'># y</span> <span class='token comment'># z</span></code></pre><div class='comment'>n</div></article>", None) == ["x # y # z"]
+    assert blocks("<div class='header'><main><p>a</p><div class='share'>b</div></main></div><div class='sidebar'>c</div>", None) == ["a"]
+    assert blocks("<form><h1>a</h1><p>b</p><form class='search'>c</form></form><div>d</div>", None)[:2] == ["a", "b"]
+    assert blocks("<div class='widget'><p>all of the text</p></div><p>x</p><div id='comments'>c</div>", None) == ["all of the text", "x"]
+    assert blocks("<main><p>a</p></main><div class='related'><article>b</article></div>", None) == ["a"]
+    body = lambda k: f"<div class='banner wide'><article><h1>Head {k}</h1><p>text {k} of it</p></article></div><div class='sidebar'>Side {k}</div>"
+    rows = [(k, f"http://w.example/{k}", f"<html><body>{body(k)}</body></html>") for k in range(12)]
+    got = {r.page_id: r.main_text for r in extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"Head {k}\n\ntext {k} of it" for k in range(12)}
+
 def test_blocks_of_odd_markup():
     assert blocks("a < b <i>c</i>d<!-- x --><p>e", None) == ["a < b cd", "e"]
     assert blocks(html.escape("<p>"), None) == ["<p>"]
