@@ -266,8 +266,8 @@ def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and their orders of one priority and status as a bipartite graph."""
-    o = _t(spark, sf_dir, "orders").where("o_orderpriority = '2-HIGH'").select((F.col("o_custkey") * 2).alias("u"), (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("bigint") * 2 + 1).alias("v"))
+    """Customers and the days of their orders as a bipartite graph."""
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("u"), (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("bigint") * 2 + 1).alias("v"))
     from ..operators.components import components
 
     return components(o).groupBy("root").agg(F.count("*").alias("size"))

@@ -1,6 +1,8 @@
 """Every registered query with SQL equals it on the smallest tables."""
 
+import datetime
 import math
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -57,3 +59,19 @@ def test_cycle_split_scores_whole_rings(spark, db):
     got = {(r.ring, r.n, r.split): r.score for r in QUERIES["cycle_split"](spark, DIR).collect()}
     assert set(got) == set(want) and len(want) > 120
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_connected_parts_has_all_orders(spark, tmp_path):
+    # Customers 1 and 2 share a day only by an order of low priority; 3 has no order of high priority.
+    rows = [(1, 1, "1995-01-01", "2-HIGH"), (2, 2, "1995-01-02", "2-HIGH"), (3, 1, "1995-01-02", "5-LOW"), (4, 3, "1996-01-01", "1-URGENT")]
+    rows += [(100 + i, 10 + i * 7 % 40, f"1997-{1 + i * 5 % 12:02d}-{1 + i * 11 % 28:02d}", ("2-HIGH", "5-LOW")[i % 2]) for i in range(60)]
+    o = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate string, o_orderpriority string").selectExpr("o_orderkey", "o_custkey", "date(o_orderdate) o_orderdate", "o_orderpriority")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    root = {}
+    edges = [(2 * c, 2 * (datetime.date.fromisoformat(d) - datetime.date(1990, 1, 1)).days + 1) for _, c, d, _ in rows]
+    for u, v in edges:
+        root[u], root[v] = u, v
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {r.root: r.size for r in QUERIES["connected_parts"](spark, str(tmp_path)).collect()} == Counter(root.values())
