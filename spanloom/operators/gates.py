@@ -45,14 +45,60 @@ def component_gate(df: DataFrame, dominant: float = 0.95, second: float = 0.02)
     return gate(rows, {"component_evidence_available": F.col("__n") > 0, "dominant_face_fraction": F.col("__first") >= dominant, "second_largest_face_fraction": F.col("__second") <= second})
 
 
+#: Contamination fractions with their limits, findings with what they must be, and the views and regions of a review.
+CONTAMINATION_LIMITS = {"board_point_fraction": 0.20, "pedestal_board_webbing_point_fraction": 0.05, "cloth_or_background_point_fraction": 0.10}
+CONTAMINATION_FINDINGS = {"board_slab_detected": False, "pedestal_board_webbing_detected": False, "cloth_or_background_structure_detected": False, "vessel_identity_confirmed": True}
+VIEWS = ("front", "quarter", "side", "top_oblique")
+REGIONS = ("bowl_and_interior", "globe_or_shoulder", "neck_lid_or_finial", "pedestal_and_base")
+
+
+def _value(column: str, key: str) -> Column:
+    return F.try_element_at(column, F.lit(key))
+
+
+def _fraction(key: str) -> Column:
+    """A contamination fraction, null unless it is finite and of 0 to 1."""
+    x = _value("contamination_metrics", key)
+    return F.when(is_finite(x) & x.between(0.0, 1.0), x)
+
+
+def _same(column: str, key: str) -> Column:
+    return is_finite(column) & (F.col(column).cast("double") == _fraction(key))
+
+
+def _exact(column: str, keys) -> Column:
+    """A map with these keys and no others."""
+    return (F.size(column) == len(keys)) & (F.size(F.array_except(F.map_keys(column), F.array(*[F.lit(k) for k in keys]))) == 0)
+
+
+def _all(*checks: Column) -> Column:
+    out = F.lit(True)
+    for c in checks:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def _contamination_checks(df: DataFrame) -> dict[str, Column]:
+    board, webbing, cloth = CONTAMINATION_LIMITS
+    finding = {k: _value("contamination_findings", k) for k in CONTAMINATION_FINDINGS}
+    return {
+        "contamination_metrics_explicit": _all(*[_fraction(k).isNotNull() for k in CONTAMINATION_LIMITS]),
+        "board_not_dominant": _fraction(board) < CONTAMINATION_LIMITS[board],
+        "pedestal_board_webbing_not_dominant": _fraction(webbing) < CONTAMINATION_LIMITS[webbing],
+        "cloth_or_background_not_dominant": _fraction(cloth) < CONTAMINATION_LIMITS[cloth],
+        "board_fraction_inputs_consistent": _same("board_point_fraction", board) if "board_point_fraction" in df.columns else F.lit(True),
+        "cloth_fraction_inputs_consistent": _same("cloth_point_fraction", cloth) if "cloth_point_fraction" in df.columns else F.lit(True),
+        "board_slab_absent": ~finding["board_slab_detected"],
+        "pedestal_board_webbing_absent": ~finding["pedestal_board_webbing_detected"],
+        "cloth_or_background_absent": ~finding["cloth_or_background_structure_detected"],
+        "vessel_identity_confirmed": finding["vessel_identity_confirmed"],
+        "contamination_findings_explicit": _all(*[x.isNotNull() for x in finding.values()]),
+    }
+
+
 def contamination_gate(df: DataFrame) -> DataFrame:
-    """webbing, background, board and cloth fractions against their limits."""
-    limits = {"board_fraction": 0.20, "cloth_fraction": 0.10, "background_fraction": 0.05, "webbing_fraction": 0.05}
-    checks: dict[str, Column] = {}
-    for k, most in limits.items():
-        checks[f"{k}_measured"] = measured(k)
-        checks[f"{k}_within_limit"] = measured(k) & (F.col(k) < most)
-    return gate(df, checks)
+    """contamination_metrics (map of fractions) and contamination_findings (map of booleans); the columns board_point_fraction and cloth_point_fraction, if there are any, must equal the metrics."""
+    return gate(df, _contamination_checks(df))
 
 
 def transition_gate(df: DataFrame) -> DataFrame:
@@ -82,16 +128,63 @@ def lineage_gate(df: DataFrame, hashes: list[str], expected: str | None = None)
     return gate(df, checks)
 
 
+def _stripped(x: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(x), F.lit("")), r"^\s+|\s+$", "")
+
+
+def _review_checks() -> dict[str, Column]:
+    views = [_value("previews", v) for v in VIEWS]
+    digest = [F.lower(F.trim(v["sha256"])) for v in views]
+    there = _all(_exact("previews", VIEWS), *[F.length(v["path"]) > 0 for v in views])
+    hashed = _all(there, *[is_sha256(v["sha256"]) & (F.lower(v["actual_sha256"]) == d) for v, d in zip(views, digest, strict=True)])
+    distinct = _all(hashed, *[F.size(F.array_distinct(F.array(*x))) == len(VIEWS) for x in ([v["path"] for v in views], digest)])
+    reviewer, approver = _stripped("reviewer"), _stripped("approver")
+    return {
+        "four_semantic_views": hashed,
+        "preview_hashes_verified": hashed,
+        "preview_views_distinct": distinct,
+        "required_regions_confirmed": _all(_exact("regions", REGIONS), *[_value("regions", r) for r in REGIONS]),
+        "contamination_findings_explicit": _all(_exact("review_findings", CONTAMINATION_FINDINGS), *[_value("review_findings", k) == want for k, want in CONTAMINATION_FINDINGS.items()]),
+        "reviewer_identified": reviewer != "",
+        "approval_independent": (reviewer != "") & (approver != "") & (F.lower(reviewer) != F.lower(approver)),
+        "review_status_passed": _stripped("review_status") == "passed",
+        "approval_status_passed": _stripped("approval_status") == "passed",
+    }
+
+
 def review_gate(df: DataFrame) -> DataFrame:
-    """reviewer, approver, decision, evidence_sha256, regions (array): a review by two people with evidence."""
+    """previews (map of views to path, sha256 and actual_sha256, the digest of the file as read), regions and review_findings (maps of booleans), reviewer, approver, review_status, approval_status; a row of nulls is a missing review."""
+    return gate(df, _review_checks())
+
+
+def dense_gate(df: DataFrame) -> DataFrame:
+    """finite_xyz_fraction, point_count, rank, smoke_status, depth_normal_count and visual_status, with the columns of the contamination and review gates."""
     return gate(df, {
-        "reviewer_named": F.length(F.trim("reviewer")) > 0,
-        "approver_named": F.length(F.trim("approver")) > 0,
-        "reviewer_is_not_approver": F.lower(F.trim("reviewer")) != F.lower(F.trim("approver")),
-        "decision_passed": F.col("decision") == "passed",
-        "evidence_hashed": is_sha256("evidence_sha256"),
-        "regions_reviewed": F.size("regions") > 0,
-    })
+        "finite_xyz": F.col("finite_xyz_fraction") == 1.0,
+        "nonzero_points": F.col("point_count") > 0,
+        "rank_3": F.col("rank") == 3,
+        "cuda_smoke_passed": (F.col("smoke_status") == "passed") & (F.col("depth_normal_count") > 0),
+        "visual_review": (F.col("visual_status") == "passed") & _all(*_review_checks().values()),
+    } | _contamination_checks(df))
+
+
+def raw_visual_gate(df: DataFrame) -> DataFrame:
+    """point_count, vertex_count, face_count, mesh_finite_xyz_fraction, mesh_rank, visual_status, required_regions (map of booleans), raw_board_fraction and raw_cloth_fraction, with the columns of the contamination and review gates."""
+    board, _, cloth = CONTAMINATION_LIMITS
+    values, review = F.map_values("required_regions"), _all(*_review_checks().values())
+    return gate(df, {
+        "fused_nonzero": F.col("point_count") > 0,
+        "mesh_vertices": F.col("vertex_count") > 0,
+        "mesh_faces": F.col("face_count") > 0,
+        "mesh_finite": F.col("mesh_finite_xyz_fraction") == 1.0,
+        "mesh_rank_3": F.col("mesh_rank") == 3,
+        "required_regions": (F.size("required_regions") > 0) & F.forall(values, lambda v: F.coalesce(v, F.lit(False))),
+        "raw_board_fraction_input_matches_measurement": _same("raw_board_fraction", board),
+        "raw_cloth_fraction_input_matches_measurement": _same("raw_cloth_fraction", cloth),
+        # A review that passed has all its regions true.
+        "review_regions_match": review & _all(_exact("required_regions", REGIONS), *[_value("required_regions", r) for r in REGIONS]),
+        "visual_review": (F.col("visual_status") == "passed") & review,
+    } | _contamination_checks(df))
 
 
 def role_gate(counts: DataFrame, contract: dict[str, int]) -> DataFrame:

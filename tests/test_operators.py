@@ -240,6 +240,39 @@ def test_gates_fail_closed(spark):
     assert not r.passed and r.reasons == ["cloth_measurement_available", "cloth_not_dominant"]
 
 
+def test_review_and_dense_gates(spark):
+    h = {v: f"{i:064x}" for i, v in enumerate(gates.VIEWS)}
+    good = {
+        "contamination_metrics": {k: 0.01 for k in gates.CONTAMINATION_LIMITS}, "contamination_findings": dict(gates.CONTAMINATION_FINDINGS), "board_point_fraction": 0.01,
+        "previews": {v: (f"{v}.png", x, x) for v, x in h.items()}, "regions": dict.fromkeys(gates.REGIONS, True), "review_findings": dict(gates.CONTAMINATION_FINDINGS), "reviewer": "Ann", "approver": "Bo", "review_status": "passed", "approval_status": "passed",
+        "finite_xyz_fraction": 1.0, "point_count": 9, "rank": 3, "smoke_status": "passed", "depth_normal_count": 2, "visual_status": "passed",
+        "vertex_count": 4, "face_count": 2, "mesh_finite_xyz_fraction": 1.0, "mesh_rank": 3, "required_regions": dict.fromkeys(gates.REGIONS, True), "raw_board_fraction": 0.01, "raw_cloth_fraction": 0.01,
+    }
+    types = {dict: "map<string,boolean>", str: "string", float: "double", int: "bigint"}
+    kinds = {"contamination_metrics": "map<string,double>", "previews": "map<string,struct<path:string,sha256:string,actual_sha256:string>>"}
+    schema = ", ".join(f"{k} {kinds.get(k, types[type(v)])}" for k, v in good.items())
+    review = {"visual_review"}
+    cases = [
+        ({}, set(), set(), set(), set()),
+        ({"contamination_findings": good["contamination_findings"] | {"board_slab_detected": True}}, {"board_slab_absent"}, set(), {"board_slab_absent"}, {"board_slab_absent"}),
+        ({"board_point_fraction": 0.02}, {"board_fraction_inputs_consistent"}, set(), {"board_fraction_inputs_consistent"}, {"board_fraction_inputs_consistent"}),
+        ({"previews": good["previews"] | {"side": ("side.png", h["side"], h["front"])}}, set(), {"four_semantic_views", "preview_hashes_verified", "preview_views_distinct"}, review, review | {"review_regions_match"}),
+        ({"previews": good["previews"] | {"side": ("front.png", h["side"], h["side"])}}, set(), {"preview_views_distinct"}, review, review | {"review_regions_match"}),
+        ({"approver": " ANN "}, set(), {"approval_independent"}, review, review | {"review_regions_match"}),
+        ({"regions": good["regions"] | {"more": True}}, set(), {"required_regions_confirmed"}, review, review | {"review_regions_match"}),
+        ({"approval_status": None}, set(), {"approval_status_passed"}, review, review | {"review_regions_match"}),
+        ({"rank": 2, "mesh_rank": None}, set(), set(), {"rank_3"}, {"mesh_rank_3"}),
+        ({"raw_cloth_fraction": 0.03}, set(), set(), set(), {"raw_cloth_fraction_input_matches_measurement"}),
+    ]
+    df = spark.createDataFrame([tuple((good | c[0]).values()) for c in cases], schema).coalesce(1)
+    for i, g in enumerate((gates.contamination_gate, gates.review_gate, gates.dense_gate, gates.raw_visual_gate), 1):
+        for c, r in zip(cases, g(df).collect(), strict=True):
+            assert set(r.reasons) == c[i] and r.passed == (not c[i]), (g.__name__, c[0])
+    empty = spark.createDataFrame([(None,) * len(good)], schema)
+    for g in (gates.contamination_gate, gates.review_gate, gates.dense_gate, gates.raw_visual_gate):
+        r = g(empty).first()
+        assert not r.passed and set(r.checks) - set(r.reasons) <= {"cloth_fraction_inputs_consistent"}  # no column, nothing to compare
+
 def test_empty_groups_are_zero(spark):
     r = stats.track_distribution(spark.createDataFrame([], "t bigint, i bigint"), "t", "i").first()
     assert r.tracks == 0 and r.p50 == 0 and r.frac_2 == 0
