@@ -75,3 +75,10 @@ def test_connected_parts_has_all_orders(spark, tmp_path):
         for u, v in edges:
             root[u] = root[v] = min(root[u], root[v])
     assert {r.root: r.size for r in QUERIES["connected_parts"](spark, str(tmp_path)).collect()} == Counter(root.values())
+
+
+def test_exactly_once_takes_every_line(spark, db):
+    orders = {k for (k,) in db.sql("select o_orderkey from orders").fetchall()}
+    lines = {k for (k,) in db.sql("select l_orderkey from lineitem").fetchall()}
+    r = QUERIES["exactly_once"](spark, DIR).first()
+    assert (r.n_expected, r.n_written, r.n_distinct, r.n_missing, r.n_unexpected, r.n_repeated) == (len(orders), len(lines), len(lines), len(orders - lines), len(lines - orders), 0)
