@@ -1,153 +1,594 @@
 """Line dedup across documents: an exact set-similarity join of the lines' word sets.
 
-A line is removed when an earlier line, in the order of (id, content hash, line
-number), has a word set of Jaccard similarity ``percent`` / 100 or more.  Lines
-without words stay.
-
-* Copies first: lines of one word set are combined, before the shuffle, into the earliest.
-* Near copies next: each set is compared with the most copied set that agrees
-  with it in the words of its least hashes, of its greatest, or of the least in
-  another order.  In a large group of near copies almost all lines are settled
-  here, in time linear in the group.
-* Order by rarity: words are ordered by how often they occur, counted over all
-  documents in a table of fixed size that words share by hash (the filter needs
-  a total order of words; the table makes rare words come first).
-* Prefix, length and positional filters: two sets can only be similar if they
-  share one of their rarest words, have close sizes, and enough words left
-  after the shared one; two 64-bit pictures of each set rule out most others.
-  Pairs of two settled sets are left out.  Both sides of the join are the same
-  rows, so they are shuffled once.
-* Verify: the words of the lines that remain are read again and compared.
+A line is removed when an earlier line, kept or not, in the order of (id,
+content hash, line number), has a word set of Jaccard similarity ``percent`` /
+100 or more.  Lines without words stay.
+
+1. Order by rarity: occurrences of words are counted over all documents in
+   CELLS cells that words share by hash; a set's words are ordered by the count
+   of their cell, then by hash.
+2. Prefixes: similar sets share one of their rarest words, the prefix.  A word
+   of a common cell is too weak a key, so there the next shared word is taken
+   with it: sets that need two words in common share a pair of the words of
+   their prefixes made longer by one.  Very long lines keep single words.
+3. Each task combines the copies of a line, compares near copies with the first
+   line of their key at once, and sends what is left as packed columns, a block
+   for each bucket of keys.  A line that is settled is still compared with later
+   ones, but needs no earlier one.
+4. In a bucket, positional and length filters and a picture of the set (the
+   parity of its words in 64 to 1,024 cells, which differs in no more cells than
+   the sets in words) rule out pairs.  Each line that isn't settled leaves with
+   its FIRST earliest candidates of a key; should all of them fail, a second
+   round takes all candidates of just these lines.
+5. Verify: the lines of the candidates are read again and compared word by word
+   hash.
+
+Words are identified by 64-bit hashes.  The keys of a very common word are dealt
+over several buckets: each line is found in one of them and asks in all.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..scratch import materialize, small_side
-from .words import HAS_WORD, item_words, long_array
+from . import vectext as vt
+from ..operators.ranking import global_positions
+from ..scratch import fresh, materialize, small_side
 
 #: Cells of the table of word counts.
-CELLS = 1 << 17
-#: Words in each of the keys by which near copies meet.
-KEY = 3
-
-
-def _hashes(text: Column) -> Column:
-    return F.array_distinct(F.transform(item_words(text), lambda w: F.xxhash64(w)))
-
-
-def _rarity(texts: DataFrame) -> Column:
-    """Constant array: for each cell the logarithm of its number of words, in steps of 2**-14."""
-    cell = F.pmod(F.xxhash64("w"), F.lit(CELLS)).cast("int")
-    counts = texts.select(F.explode(item_words(F.col("t"))).alias("w")).groupBy(cell.alias("c")).count().collect()  # at most CELLS rows
-    table = [0] * CELLS
-    for r in counts:
-        table[r.c] = int(math.log2(r["count"] + 1) * 16384)
-    return long_array(table)
-
-
-def _view(shift: int) -> Column:
-    """A 64-bit picture of a set of hashes: the bit of each word."""
-    one = F.lit(1).cast("bigint")
-    bit = lambda h: F.call_function("shiftleft", one, F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("h", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(bit(h)))
-
-
-def _may_match(x: str, y: str, percent: int) -> str:
-    """Length and picture filters of two sets (columns n and bits of x and y), in whole numbers."""
-    overlap = f"(({x}n + {y}n) * {percent} + {99 + percent}) div {100 + percent}"
-    return f"least({x}n, {y}n) * 100 >= greatest({x}n, {y}n) * {percent} and bit_count({x}bits ^ {y}bits) <= {x}n + {y}n - 2 * ({overlap})"
-
-
-def _verified(texts: DataFrame, places: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The k1 of the later set of each of ``pairs`` (a, b) whose words, read again, are similar."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = materialize(places.join(small_side(keys), "k1").select("k1", F.col("id").alias("wid"), F.col("th").alias("wth"), F.col("line").alias("wline")), "wanted")
-    same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
-    read = texts.join(small_side(wanted.select("wid", "wth").distinct()), same, "left_semi")
-    lines = read.select("id", "th", F.posexplode(F.split("t", "\n")).alias("line", "s"))
-    lines = lines.join(small_side(wanted), same & (F.col("line") == F.col("wline"))).dropDuplicates(["k1"])
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    words = lines.select("k1", F.struct("id", "th", "line").alias("at"), F.array_distinct(item_words(F.col("s"))).alias("words"))
-    words = materialize(words.withColumns({"n": F.size("words"), "pic": F.array(*[_picture(hashes, q) for q in range(4)])}), "lines")
-    # A larger picture of the sets rules out most pairs before any words move.
-    x, y = (words.select(F.col("k1").alias(k), F.col("at").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("pic").alias(f"pic{k}")) for k in "ab")
-    apart = sum((F.bit_count(F.col("pica")[q].bitwiseXOR(F.col("picb")[q])) for q in range(1, 4)), F.bit_count(F.col("pica")[0].bitwiseXOR(F.col("picb")[0])))
-    most = F.expr(f"na + nb - 2 * (((na + nb) * {percent} + {99 + percent}) div {100 + percent})")
-    close = materialize(pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b", F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("later")), "close")
-    x, y = (words.select(F.col("k1").alias(k), F.col("words").alias(f"w{k}")) for k in "ab")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    joined = close.join(x, "a").join(y, "b").where(shared * 100 >= (F.size("wa") + F.size("wb") - shared) * percent)
-    return materialize(joined.select(F.col("later").alias("k1")).distinct(), "later")
-
-
-def _picture(hashes: Column, q: int) -> Column:
-    """Long ``q`` of a 256-bit picture of a set of hashes."""
-    one = F.lit(1).cast("bigint")
-    bit = lambda h: F.call_function("shiftleft", one, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: F.when(F.shiftrightunsigned(h, 28).bitwiseAND(F.lit(3)) == q, a.bitwiseOR(bit(h))).otherwise(a))
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+CELLS = 1 << 18
+#: Words whose cell has more occurrences than this make keys in pairs, in lines of at most 1.25 * LONG words.
+COMMON, LONG = 1 << 15, 160
+#: Occurrences of a word for each bucket that its keys are dealt over.
+DEAL = 1 << 22
+#: Words that a task collects before it sends blocks, and entries of a bucket.
+UNIT, BUCKET = 1 << 21, 1 << 21
+#: Candidates of a line and key in the first round.
+FIRST = 8
+#: Longs of the picture at most.
+MOST_LONGS = 16
+_SCALE = 16.0
+
+
+class Lines:
+    """Lines with words, as columns: doc, line, n (distinct words), key of the set, and its words from ``begin`` on, rarest first."""
+
+    def __init__(self, doc: np.ndarray, line: np.ndarray, n: np.ndarray, key: np.ndarray, words: np.ndarray):
+        self.doc, self.line, self.n, self.key, self.words = doc, line, n, key, words
+        self.begin = np.cumsum(n) - n
+
+
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _words(chunk: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = vt.LOWER[chunk]
+    start, end = vt.spans(vt.ITEM[low], own)
+    return start, vt.quick_hashes(low, start, end)
+
+
+def cut(chunk: np.ndarray, own: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> Lines:
+    """The lines of the rows ``doc`` of a chunk of text."""
+    start, words = _words(chunk, own)
+    begin, row, number = vt.lines(chunk, own)
+    size = np.diff(np.r_[np.searchsorted(start, begin), len(start)])
+    of = np.repeat(np.arange(len(begin), dtype=np.uint64), size)
+    level = rare[cells(words)]
+    if len(begin) < 1 << 20:
+        packed = of << np.uint64(44) | level.astype(np.uint64) << np.uint64(36) | words >> np.uint64(28)
+        order = np.argsort(packed)
+        packed, clash = packed[order], words[order]
+        clash = ((packed[1:] == packed[:-1]) & (clash[1:] != clash[:-1])).any()
+    else:
+        clash = True
+    if clash:
+        order = np.lexsort((words, words >> np.uint64(28), level, of))
+    words, of = words[order], of[order]
+    new = np.r_[True, (words[1:] != words[:-1]) | (of[1:] != of[:-1])] if len(words) else np.zeros(0, bool)
+    words, of = words[new], of[new]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    at = of[first].astype(np.int64)
+    key = vt.mix64(np.add.reduceat(vt.mix64(words), first)) if len(first) else np.zeros(0, np.uint64)
+    return Lines(doc[row[at]], number[at], np.diff(np.r_[first, len(words)]), key, words)
+
+
+def pictures(x: Lines, longs: int) -> np.ndarray:
+    """Parities of the words of each line in 64 * ``longs`` cells; halves that are combined by exclusive or are the picture of half the size."""
+    out = np.zeros((len(x.n), longs), np.uint64)
+    if len(x.n):
+        bit = np.uint64(1) << (x.words >> np.uint64(18) & np.uint64(63))
+        if longs == 1:
+            out[:, 0] = np.bitwise_xor.reduceat(bit, x.begin)
+        else:
+            column = (x.words >> np.uint64(24)).astype(np.int64) & (longs - 1)
+            np.bitwise_xor.at(out, (np.repeat(np.arange(len(x.n)), x.n), column), bit)
+    return out
+
+
+def longs_of(n: np.ndarray) -> np.ndarray:
+    """Longs of the picture of a set of n words: as many cells as words, or more."""
+    out = np.ones(len(n), np.int64)
+    for k in range(MOST_LONGS.bit_length() - 1):
+        out[n > 64 << k] = 2 << k
+    return out
+
+
+def take(x: Lines, rows: np.ndarray) -> Lines:
+    return Lines(x.doc[rows], x.line[rows], x.n[rows], x.key[rows], x.words[_spread(x.begin[rows], x.n[rows])])
+
+
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each of runs of n."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def join(parts: list[Lines]) -> Lines:
+    return Lines(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("doc", "line", "n", "key", "words")))
+
+
+def keys_of(x: Lines, percent: int, rare: np.ndarray, common: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place of the first word, key, cell of the first word) of each key of the lines."""
+    p = x.n - -(-x.n * percent // 100) + 1
+    row = np.repeat(np.arange(len(x.n)), p)
+    at = _spread(np.zeros(len(p), np.int64), p)
+    word = x.words[x.begin[row] + at]
+    cell = cells(word)
+    paired = rare[cell] >= common
+    single = ~paired | (x.n[row] > long)
+    paired &= x.n[row] * 4 <= long * 5
+    parts = [(row[single], at[single], vt.mix64(word[single]), cell[single])]
+    if paired.any():
+        row, at, word, cell = row[paired], at[paired], word[paired], cell[paired]
+        more = np.minimum(p[row] + 1, x.n[row]) - at - 1
+        lone = x.n[row] == 1
+        second = x.words[_spread(x.begin[row] + at + 1, more)]
+        with np.errstate(over="ignore"):
+            parts.append((np.repeat(row, more), np.repeat(at, more), vt.mix64(np.repeat(vt.mix64(word), more) * np.uint64(3) + second), np.repeat(cell, more)))
+        parts.append((row[lone], at[lone], vt.mix64(~word[lone]), cell[lone]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def shared_words(words: np.ndarray, begin: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of common words of the sets a[i] and b[i]."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), 4096):
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        of = np.concatenate([np.repeat(np.arange(len(x)), n[x]), np.repeat(np.arange(len(y)), n[y])])
+        value = np.concatenate([words[_spread(begin[x], n[x])], words[_spread(begin[y], n[y])]])
+        order = np.lexsort((value, of))
+        value, of = value[order], of[order]
+        both = (value[1:] == value[:-1]) & (of[1:] == of[:-1])
+        out[i : i + len(x)] = np.bincount(of[1:][both], minlength=len(x))
+    return out
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Words in which similar sets of n and m words differ at most; negative if their sizes are too far apart."""
+    return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * percent, n + m - 2 * overlap(n, m, percent), -1)
+
+
+def overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return ((n + m) * percent + 99 + percent) // (100 + percent)
+
+
+class Entries:
+    """Columns of entries of keys: token (32 bits of the key), key of the set, doc, line, n, place, asks, leads, pic, and the wide picture from ``wide_at`` on."""
+
+    NAMES = ("token", "key", "doc", "line", "n", "place", "flags", "pic")
+    KINDS = (np.uint32, np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint64)
+
+    def __init__(self, columns: dict[str, np.ndarray], wide: np.ndarray):
+        self.__dict__.update(columns)
+        self.wide, self.longs = wide, longs_of(columns["n"].astype(np.int64))
+        room = np.where(self.longs > 1, self.longs, 0)
+        self.wide_at = np.cumsum(room) - room
+
+    def pack(self) -> bytes:
+        parts = []
+        for name, kind in zip(self.NAMES, self.KINDS, strict=True):
+            c = getattr(self, name)
+            base = 0
+            if name == "doc" and len(c) and int(c.max()) - int(c.min()) < 1 << 32:
+                base, kind = int(c.min()), np.uint32
+                c = c - base
+            elif kind == np.uint32 and name != "token" and (not len(c) or c.max() < 1 << 16):
+                kind = np.uint16
+            parts.append((base, np.dtype(kind).itemsize, np.ascontiguousarray(c.astype(kind)).tobytes()))
+        head = np.array([len(self.token), len(self.wide), *[x for base, size, _ in parts for x in (base, size)]], np.int64)
+        return b"".join([head.tobytes(), *[raw for *_, raw in parts], self.wide.tobytes()])
+
+    @classmethod
+    def unpack(cls, bodies: list[bytes]) -> Entries:
+        found: dict[str, list[np.ndarray]] = {k: [] for k in (*cls.NAMES, "wide")}
+        for body in bodies:
+            head = np.frombuffer(body, np.int64, 2 + 2 * len(cls.NAMES))
+            at = head.nbytes
+            for k, (name, kind) in enumerate(zip(cls.NAMES, cls.KINDS, strict=True)):
+                base, size = int(head[2 + 2 * k]), int(head[3 + 2 * k])
+                raw = np.frombuffer(body, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[size], int(head[0]), at)
+                at += raw.nbytes
+                found[name].append(raw.astype(np.int64) + base if name == "doc" else raw.astype(kind))
+            found["wide"].append(np.frombuffer(body, np.uint64, int(head[1]), at))
+        joined = {k: np.concatenate(v) for k, v in found.items()}
+        return cls({k: joined[k] for k in cls.NAMES}, joined["wide"])
+
+
+ASKS, LEADS = 1, 2
+_GONE, _BLOCK = 0, 1
+
+
+def _pairs_fit(e: Entries, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """True for the pairs of entries that the filters let through."""
+    n, m = e.n[a].astype(np.int64), e.n[b].astype(np.int64)
+    most = most_apart(n, m, percent)
+    ok = np.bitwise_count(e.pic[a] ^ e.pic[b]) <= most
+    ok &= np.minimum(n - e.place[a], m - e.place[b]) >= overlap(n, m, percent)
+    at = np.flatnonzero(ok)
+    longs = np.minimum(e.longs[a[at]], e.longs[b[at]])
+    for w in np.unique(longs[longs > 1]):
+        some = at[longs == w]
+        x, y = (_folded(e, c[some], int(w)) for c in (a, b))
+        ok[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[some]
+    return ok
+
+
+def _folded(e: Entries, rows: np.ndarray, longs: int) -> np.ndarray:
+    out = np.zeros((len(rows), longs), np.uint64)
+    for w in np.unique(e.longs[rows]):
+        at = np.flatnonzero(e.longs[rows] == w)
+        whole = e.wide[e.wide_at[rows[at]][:, None] + np.arange(w)]
+        out[at] = np.bitwise_xor.reduce(whole.reshape(len(at), w // longs, longs), 1)
+    return out
+
+
+def _earlier(e: Entries, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (e.doc[a] < e.doc[b]) | (e.doc[a] == e.doc[b]) & (e.line[a] < e.line[b])
+
+
+def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int, asked: np.ndarray | None) -> tuple[Lines, np.ndarray, Entries, np.ndarray]:
+    """Of the lines of a unit: those that copy or resemble another of it (doc and line), and the entries and cells of the rest."""
+    order = np.lexsort((x.line, x.doc, x.key, x.n))
+    copy = np.r_[False, (x.key[order][1:] == x.key[order][:-1]) & (x.n[order][1:] == x.n[order][:-1])] if len(order) else np.zeros(0, bool)
+    gone = [order[copy]] if asked is None else [order[:0]]
+    heads = order if asked is not None else order[~copy]
+    y = take(x, heads)
+    row, place, key, cell = keys_of(y, percent, rare, common, long)
+    wide_n = longs_of(y.n)
+    pic = pictures(y, 1)[:, 0]
+    flags = np.full(len(row), ASKS, np.uint8) if asked is None else np.where(asked[heads][row], ASKS, 0).astype(np.uint8)
+    # A set's copies meet in all its keys; they are told of in the one of least value.
+    least = np.full(len(y.n), np.uint64(2**64 - 1))
+    np.minimum.at(least, row, key)
+    flags |= np.where(key == least[row], LEADS, 0).astype(np.uint8)
+    wide, wide_at = [np.zeros(0, np.uint64)], np.zeros(len(y.n), np.int64)
+    at = 0
+    for w in np.unique(wide_n[wide_n > 1]):
+        rows = np.flatnonzero(wide_n == w)
+        made = pictures(take(y, rows), int(w))
+        wide.append(made.ravel())
+        wide_at[rows] = at + np.arange(len(rows)) * w
+        at += made.size
+    columns = {"token": (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), "key": y.key[row], "doc": y.doc[row], "line": y.line[row].astype(np.uint32), "n": y.n[row].astype(np.uint32), "place": place.astype(np.uint32), "flags": flags, "pic": pic[row]}
+    room = np.where(wide_n[row] > 1, wide_n[row], 0)
+    e = Entries(columns, np.concatenate(wide)[_spread(wide_at[row], room)])
+    if asked is None and len(row):
+        order = np.lexsort((e.line, e.doc, key))
+        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        pivot = np.repeat(order[start], np.diff(np.r_[start, len(order)]))
+        near = order[order != pivot]
+        pivot = pivot[order != pivot]
+        fit = _pairs_fit(e, pivot, near, percent)
+        pairs = np.unique(np.stack([row[pivot[fit]], row[near[fit]]], 1), axis=0)
+        a, b = pairs[:, 0], pairs[:, 1]
+        both = shared_words(y.words, y.begin, y.n, a, b)
+        done = np.unique(b[both * 100 >= (y.n[a] + y.n[b] - both) * percent])
+        gone.append(heads[done])
+        settled = np.zeros(len(y.n), bool)
+        settled[done] = True
+        e.flags[settled[row]] &= np.uint8(255 - ASKS)
+    out = np.concatenate(gone)
+    return take(x, out), key, e, cell
+
+
+def match(e: Entries, percent: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: entries that copy an earlier one; the candidates (later, earlier) of the entries that ask, at most ``first`` a line and key, and whether there are more."""
+    order = np.argsort(e.token.astype(np.uint64) << np.uint64(32) | e.key & np.uint64(0xFFFFFFFF))
+    copies = np.zeros(0, np.int64)
+    if first is not None and len(order):
+        a, b = order[:-1], order[1:]
+        same = (e.token[a] == e.token[b]) & (e.key[a] == e.key[b]) & (e.n[a] == e.n[b]) & (e.pic[a] == e.pic[b])
+        run = np.cumsum(np.r_[True, ~same])
+        many = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        rows = order[many]
+        rows = rows[np.lexsort((e.flags[rows] & ASKS, e.line[rows], e.doc[rows], run[many]))]
+        run = np.sort(run[many])
+        # An entry that was dealt twice, to ask here and to be found here, is no copy of itself.
+        head = np.r_[True, run[1:] != run[:-1]] if len(rows) else np.zeros(0, bool)
+        mine = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))] if len(rows) else rows
+        twin = (e.doc[rows] == e.doc[mine]) & (e.line[rows] == e.line[mine])
+        later = rows[~twin]
+        copies = later[e.flags[later] & LEADS > 0]
+        # The first of a set's copies asks if any of its entries does.
+        keep = np.ones(len(e.token), bool)
+        keep[rows[~head]] = False
+        asks = rows[twin & (e.flags[rows] & ASKS > 0)]
+        e.flags[mine[np.isin(rows, asks)]] |= np.uint8(ASKS)
+        order = order[keep[order]]
+    later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    token, more, held = e.token[order], np.zeros(0, np.int64), 0
+    start = np.arange(max(0, len(order) - 1))
+    lag = 1
+    asks = e.flags & ASKS > 0
+
+    def trim() -> None:
+        nonlocal later, earlier, more, held
+        x, y = np.concatenate(later), np.concatenate(earlier)
+        rank = np.lexsort((e.line[y], e.doc[y], x))
+        x, y = x[rank], y[rank]
+        begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        number = np.arange(len(x)) - np.repeat(begin, np.diff(np.r_[begin, len(x)]))
+        if first is not None:
+            more = np.union1d(more, x[number >= first])
+            x, y = x[number < first], y[number < first]
+        later, earlier, held = [x], [y], 0
+
+    while len(start):
+        start = start[start + lag < len(order)]
+        start = start[token[start] == token[start + lag]]
+        for i in range(0, len(start), 1 << 18):
+            a, b = order[start[i : i + (1 << 18)]], order[start[i : i + (1 << 18)] + lag]
+            some = asks[a] | asks[b]
+            a, b = a[some], b[some]
+            fit = _pairs_fit(e, a, b, percent)
+            a, b = a[fit], b[fit]
+            before = _earlier(e, a, b)
+            x, y = np.where(before, b, a), np.where(before, a, b)
+            ok = asks[x] & ((e.doc[x] != e.doc[y]) | (e.line[x] != e.line[y]))
+            later.append(x[ok])
+            earlier.append(y[ok])
+            held += int(ok.sum())
+            if held > 1 << 20:
+                trim()
+        lag += 1
+    trim()
+    return copies, later[0], earlier[0], np.isin(later[0], more)
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """Occurrences of words in each cell, over all documents."""
+    ranges = 16
+    size = CELLS // ranges
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            data, offsets = vt.buffers(batch["t"])
+            for _, _, chunk, own in vt.chunks(data, offsets):
+                total += np.bincount(cells(_words(chunk, own)[1]), minlength=CELLS)
+        for k in range(ranges):
+            part = total[k * size : (k + 1) * size]
+            full = np.flatnonzero(part)
+            if len(full):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([full.astype(np.uint16).tobytes()]), pa.array([part[full].astype(np.uint32 if part.max() < 2**32 else np.uint64).tobytes()])], names=["k", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(*(batch[c].to_pylist() for c in ("k", "at", "n")), strict=True):
+                where = np.frombuffer(at, np.uint16)
+                total.setdefault(k, np.zeros(size, np.int64))[where] += np.frombuffer(n, np.uint32 if len(n) == 4 * len(where) else np.uint64).astype(np.int64)
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()])], names=["k", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    made = texts.select("t").mapInArrow(count, "k int, at binary, n binary").repartitionById(ranges, F.col("k")).mapInArrow(add, "k int, n binary")
+    for r in made.collect():  # a row for each of the ranges
+        out[r.k * size : (r.k + 1) * size] = np.frombuffer(r.n, np.int64)
+    return out
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, t) of all texts, doc in the order of id and content hash; and the numbers by (id, th), unless doc is the id itself."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    if dict(src.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint") and src.groupBy("id").count().where("count > 1 or id is null").limit(1).count() == 0:
+        return src.where("t is not null").select(F.col("id").cast("bigint").alias("doc"), "t"), None
+    keyed = src.where("t is not null").withColumn("th", F.xxhash64("t"))
+    pairs = keyed.select("id", "th").distinct()
+    numbers, _ = global_positions(pairs, [F.col("id").asc_nulls_first(), F.col("th")])
+    numbers = materialize(numbers.select(F.col("id").alias("nid"), F.col("th").alias("nth"), F.col("pos").cast("bigint").alias("doc")), "numbers")
+    joined = keyed.join(small_side(numbers), keyed["id"].eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth")))
+    return materialize(joined.select("doc", "t").dropDuplicates(["doc"]), "texts"), numbers
+
+
+def removed(texts: DataFrame, percent: int, *, common: int = COMMON, long: int = LONG, deal: int = DEAL, first: int = FIRST, unit: int = UNIT) -> DataFrame:
+    """(doc, line) of the lines of ``texts`` (doc, t) that go."""
+    spark = texts.sparkSession
+    counts = _counts(texts)
+    rare = np.minimum(np.log2(counts + 1) * (255 / 48) + 0.5, 255).astype(np.uint8)  # 48: the logarithm of 3e14 words
+    level = int(np.log2(common + 1) * (255 / 48) + 0.5)
+    dealt = np.maximum(1, -(-counts // deal)).astype(np.int64)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (5 * BUCKET)) + 1)
+
+    def send(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: list[Lines] = []
+            wanted: list[np.ndarray] = []
+            held = 0
+            for batch in batches:
+                data, offsets = vt.buffers(batch["t"])
+                doc = batch["doc"].to_numpy()
+                ask = dict(zip(doc.tolist(), batch["ask"].to_pylist(), strict=True)) if asked else {}
+                for i, j, chunk, own in vt.chunks(data, offsets):
+                    parts.append(cut(chunk, own, doc[i:j], rare))
+                    if asked:
+                        p = parts[-1]
+                        wanted.append(np.array([ask[d] is not None and n in ask[d] for d, n in zip(p.doc.tolist(), p.line.tolist(), strict=True)], bool))
+                    held += len(parts[-1].words)
+                    if held > unit:
+                        yield from flush(parts, wanted)
+                        parts, wanted, held = [], [], 0
+            if parts:
+                yield from flush(parts, wanted)
+
+        def flush(parts: list[Lines], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            x = join(parts)
+            gone, key, e, cell = settle_unit(x, percent, rare, level, long, np.concatenate(wanted) if asked else None)
+            rows: list[tuple[int, int, bytes]] = []
+            if len(gone.n):
+                rows.append((int(gone.doc[0] % buckets), _GONE, np.stack([gone.doc, gone.line.astype(np.int64)]).tobytes()))
+            share = dealt[cell]
+            home = (vt.mix64(e.key) % share.astype(np.uint64)).astype(np.int64)
+            # Found in its home; asks in all.
+            copies = np.where(e.flags & ASKS > 0, share, 1)
+            at = np.repeat(np.arange(len(key)), copies)
+            deal_no = np.where(copies[at] > 1, _spread(np.zeros(len(copies), np.int64), copies), home[at])
+            bucket = (vt.mix64((key[at] >> np.uint64(32)) + deal_no.astype(np.uint64) * np.uint64(2**33 + 1)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+            for i, j in zip(edge, np.r_[edge[1:], len(order)] if len(edge) else edge, strict=True):
+                some = at[order[i:j]]
+                columns = {k: getattr(e, k)[some] for k in Entries.NAMES}
+                room = np.where(e.longs[some] > 1, e.longs[some], 0)
+                rows.append((int(bucket[order[i]]), _BLOCK, Entries(columns, e.wide[_spread(e.wide_at[some], room)]).pack()))
+            for i in range(0, len(rows), 64):
+                some_rows = rows[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some_rows], pa.int32()), pa.array([r[1] for r in some_rows], pa.int32()), pa.array([r[2] for r in some_rows], pa.binary())], names=["bucket", "kind", "body"])
+
+        return run
+
+    names = ["doc", "line", "with_doc", "with_line", "more"]
+
+    def meet(limit: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for bucket, kind, body in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "body")), strict=True):
+                    if kind == _BLOCK:
+                        blocks.setdefault(bucket, []).append(body)
+                    else:
+                        doc, line = np.frombuffer(body, np.int64).reshape(2, -1)
+                        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(np.zeros(len(doc), bool))], names=names)
+            for bucket in list(blocks):
+                e = Entries.unpack(blocks.pop(bucket))
+                copies, x, y, more = match(e, percent, limit)
+                whole = [np.r_[e.doc[copies], e.doc[x]], np.r_[e.line[copies], e.line[x]].astype(np.int64)]
+                mate = [pa.concat_arrays([pa.nulls(len(copies), pa.int64()), pa.array(c[y].astype(np.int64))]) for c in (e.doc, e.line)]
+                flag = np.r_[np.zeros(len(copies), bool), more]
+                for i in range(0, len(flag), 1 << 16):
+                    j = i + (1 << 16)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i:j]) for c in whole), *(c[i:j] for c in mate), pa.array(flag[i:j])], names=names)
+
+        return run
+
+    def candidates(lines: DataFrame, asked: bool) -> DataFrame:
+        sent = lines.mapInArrow(send(asked), "bucket int, kind int, body binary").repartitionById(buckets, F.col("bucket"))
+        return materialize(sent.mapInArrow(meet(None if asked else first), "doc bigint, line bigint, with_doc bigint, with_line bigint, more boolean"), "candidates")
+
+    found = candidates(texts.select("doc", "t"), False)
+    copies = found.where("with_doc is null").select("doc", "line").distinct()
+    near = _verified(texts, found.where("with_doc is not null"), percent)
+    gone = materialize(copies.unionByName(near).distinct(), "gone")
+    left = found.where("more").select("doc", "line").distinct().join(gone, ["doc", "line"], "left_anti")
+    left = materialize(left.groupBy("doc").agg(F.collect_list("line").alias("ask")), "left")
+    if left.limit(1).count():
+        again = candidates(texts.join(small_side(left), "doc", "left").select("doc", "t", "ask"), True)
+        gone = gone.unionByName(_verified(texts, again, percent)).distinct()
+    return gone
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc, line) of the later lines of the candidates (doc, line, with_doc, with_line) that are similar, word by word."""
+    pairs = materialize(pairs.select("doc", "line", "with_doc", "with_line").distinct(), "pairs")
+    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("with_doc").alias("doc"), F.col("with_line").alias("line"))).distinct()
+    wanted = materialize(ends.groupBy("doc").agg(F.collect_list("line").alias("want")), "wanted")
+    flat = np.zeros(CELLS, np.uint8)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = vt.buffers(batch["t"])
+            doc, want = batch["doc"].to_numpy(), batch["want"].to_pylist()
+            ask = {(d, n) for d, w in zip(doc.tolist(), want, strict=True) for n in w}
+            for i, j, chunk, own in vt.chunks(data, offsets):
+                x = cut(chunk, own, doc[i:j], flat)
+                rows = np.array([(d, n) in ask for d, n in zip(x.doc.tolist(), x.line.tolist(), strict=True)], bool)
+                y = take(x, np.flatnonzero(rows))
+                words = [y.words[b : b + n].tobytes() for b, n in zip(y.begin, y.n, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(y.doc), pa.array(y.line.astype(np.int64)), pa.array(words, pa.binary())], names=["doc", "line", "words"])
+
+    lines = materialize(texts.join(small_side(wanted), "doc").select("doc", "t", "want").mapInArrow(read, "doc bigint, line bigint, words binary"), "words")
+
+    @F.arrow_udf("boolean")
+    def similar(sets: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in sets:
+            parts = [np.frombuffer(v, np.uint64) for v in (*a.to_pylist(), *b.to_pylist())]
+            n = np.array([len(p) for p in parts], np.int64)
+            k = np.arange(len(a))
+            both = shared_words(np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum(n) - n, n, k, k + len(a))
+            yield pa.array(both * 100 >= (n[k] + n[k + len(a)] - both) * percent)
+
+    mates = lines.select(F.col("doc").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
+    joined = pairs.join(lines, ["doc", "line"]).join(mates, ["with_doc", "with_line"])
+    return joined.where(similar("words", "with_words")).select("doc", "line").distinct()
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **how) -> DataFrame:
     """``docs`` with the later of similar lines removed from the text, and two columns more: n_lines and removed_lines (their numbers from 0, in order).
 
     A null text has no lines and stays null; an empty text has one empty line.
     A null id comes first in the order.  Rows that repeat an id and a text are
-    a document and its copies: the copies lose all lines with words.
-    Columns of the result's names are replaced; others pass through.
+    a document and its copies: the copies lose all lines with words.  An empty
+    table gives an empty one; a text or line of any length is read whole.
+    Columns named n_lines or removed_lines are replaced; all others pass
+    through, whatever their names.  ``how``: the limits of ``removed``, which
+    change its work but not its result.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("t")).where("t is not null")
-    rarity = _rarity(texts)
-
-    lines = texts.select("id", "th", F.posexplode(F.split("t", "\n")).alias("line", "s")).select("id", "th", "line", F.sort_array(_hashes(F.col("s"))).alias("h")).withColumn("n", F.size("h")).where("n > 0")
-    place = F.transform("h", lambda h: F.shiftleft(F.get(rarity, F.pmod(h, F.lit(CELLS)).cast("int")), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1))))
-    # Two views of 64 bits each: a word sets one bit in either.
-    picture, second = (_view(k) for k in (20, 36))
-    prefix = F.slice(F.sort_array(place), F.lit(1), F.expr(f"n - cast((n * {percent} + 99) div 100 as int) + 1"))
-    ends = F.slice("h", F.lit(1), F.lit(KEY)), F.slice("h", F.lit(-KEY), F.lit(KEY)), F.slice(F.sort_array(F.transform("h", lambda h: F.xxhash64(h))), F.lit(1), F.lit(KEY))
-    parts = [F.when(F.col("n") >= KEY, F.xxhash64(e)).otherwise(0) for e in ends]
-    lines = lines.select(F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "id", "th", "line", "n", picture.alias("bits"), second.alias("bits2"), F.array(*parts).alias("parts"), prefix.alias("prefix"))
-    sets = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line", "n", "bits", "bits2", "parts", "prefix")).alias("r"), F.count("*").alias("copies")).select("k1", "copies", "r.*"), "sets")
-    places = sets.select("k1", "id", "th", "line")
-
-    # Each set and the one of most copies, the earliest of equal ones, that agrees with it in a key.
-    part = sets.select("k1", "copies", F.struct("id", "th", "line").alias("at"), "n", "bits", F.posexplode("parts").alias("p", "v")).where("v <> 0")
-    pivot = F.first(F.struct("k1", "n", "bits")).over(Window.partitionBy("p", "v").orderBy(F.desc("copies"), "at"))
-    near = part.withColumn("y", pivot).select("k1", "n", "bits", F.col("y.k1").alias("yk"), F.col("y.n").alias("yn"), F.col("y.bits").alias("ybits"))
-    near = near.where("k1 <> yk").where(_may_match("", "y", percent)).select(F.col("k1").alias("a"), F.col("yk").alias("b"))
-    first = _verified(texts, places, near, percent)
-
-    # A row for each set and prefix word: the words in order, the set's size and picture, and whether it is settled in one long.
-    settled = sets.select("k1", "n", "bits", "bits2", "prefix").join(small_side(first.withColumn("done", F.lit(1))), "k1", "left")
-    size = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.coalesce("done", F.lit(0)).cast("bigint"))
-    members = settled.select("k1", "bits", "bits2", size.alias("size"), F.posexplode("prefix").alias("i", "w")).select("w", "k1", "bits", "bits2", F.col("size").bitwiseOR(F.shiftleft("i", 1)).alias("size"))
-    x, y = (members.select(F.col("w").alias(f"{s}w"), F.col("k1").alias(f"{s}k"), F.col("bits").alias(f"{s}bits"), F.col("bits2").alias(f"{s}more"), F.col("size").alias(f"{s}s")) for s in "xy")
-    n, i = (lambda s: f"shiftright({s}s, 32)"), (lambda s: f"(shiftright({s}s, 1) & {(1 << 31) - 1})")
-    overlap = f"((({n('x')} + {n('y')}) * {percent} + {99 + percent}) div {100 + percent})"
-    fits = F.expr(
-        f"xw = yw and xk < yk and (xs & ys & 1) = 0 and least({n('x')}, {n('y')}) * 100 >= greatest({n('x')}, {n('y')}) * {percent}"
-        f" and greatest(bit_count(xbits ^ ybits), bit_count(xmore ^ ymore)) <= {n('x')} + {n('y')} - 2 * {overlap} and least({n('x')} - {i('x')}, {n('y')} - {i('y')}) >= {overlap}"
-    )
-    pairs = x.join(y, fits).select(F.col("xk").alias("a"), F.col("yk").alias("b"))
-    second = _verified(texts, places, pairs, percent)
-
-    later = first.unionByName(second).distinct()
-    kept = sets.select("k1", "id", "th", "line").join(small_side(materialize(later, "all")), "k1", "left_anti").groupBy("id", "th").agg(F.collect_list("line").alias("__kept"))
-    kept = materialize(kept.select(F.col("id").alias("__kid"), F.col("th").alias("__kth"), "__kept"), "kept")
-
-    out = docs.withColumns({"__id": F.col(id_col), "__th": F.xxhash64(F.col(text_col)), "__text": F.col(text_col), "__lines": F.split(text_col, "\n")})
-    with_words = F.filter(F.transform("__lines", lambda s, i: F.when(s.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
-    out = out.withColumns({"__full": with_words, "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long")}).drop("__lines")
-    out = out.join(kept, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__th") == F.col("__kth")), "left")
-    copy = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
-    out = out.withColumn("__copy", copy)
-    removed = F.array_except(F.coalesce("__full", F.array().cast("array<int>")), F.when(F.col("__copy") == 1, F.coalesce("__kept", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")))
-    out = out.withColumn("removed_lines", removed)
-    rest_of = F.array_join(F.filter(F.split("__text", "\n"), lambda s, i: ~F.array_contains("removed_lines", i)), "\n")
-    text = F.when(F.size("removed_lines") == 0, F.col("__text")).otherwise(rest_of)
+    texts, numbers = _numbered(docs, id_col, text_col)
+    gone = materialize(removed(texts, percent, **how).groupBy("doc").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone")), "lines")
+    doc, lost, copy, part, th = fresh(docs, "doc", "lost", "copy", "part", "th")
+    text = F.col(text_col)
+    out = docs.withColumn("n_lines", F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"))
+    none = F.array().cast("array<int>")
+    if numbers is None:
+        gone = gone.select(F.col("doc").alias(doc), F.col("gone").alias(lost))
+        out = out.join(small_side(gone), out[id_col] == F.col(doc), "left").withColumn("removed_lines", F.coalesce(lost, none))
+    else:
+        nid, nth = fresh(docs, "nid", "nth")
+        gone = materialize(numbers.join(gone, "doc", "left").select(F.col("nid").alias(nid), F.col("nth").alias(nth), F.coalesce("gone", none).alias(lost)), "lost")
+        out = out.withColumn(th, F.xxhash64(text)).join(small_side(gone), out[id_col].eqNullSafe(F.col(nid)) & (F.col(th) == F.col(nth)) & text.isNotNull(), "left")
+        # The first of rows that repeat keeps its lines: first within its partition, then of these.
+        out = out.withColumn(part, F.spark_partition_id())
+        out = out.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, th, part).orderBy(F.lit(0))))
+        out = out.withColumn(part, F.when(F.col(copy) == 1, -1).otherwise(F.col(part)))
+        out = out.withColumn(copy, F.when(F.col(copy) == 1, F.row_number().over(Window.partitionBy(id_col, th, part).orderBy(F.lit(0)))).otherwise(F.col(copy)))
+        out = out.withColumn("removed_lines", F.when(F.col(copy) == 1, F.coalesce(lost, none)).otherwise(_with_words(text)))
+    text = F.when(F.size("removed_lines") == 0, F.col(text_col)).otherwise(_without(F.col(text_col), F.col("removed_lines")))
     return out.withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("n_lines", "removed_lines")], "n_lines", "removed_lines")
+
+
+@F.arrow_udf(T.StringType())
+def _without(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, lost in texts:
+        out = []
+        for t, gone in zip(text.to_pylist(), lost.to_pylist(), strict=True):
+            drop = set(gone or ())
+            out.append(t if t is None or not drop else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
+        yield pa.array(out, pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _with_words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in texts:
+        data, offsets = vt.buffers(column)
+        found: list[list[int]] = [[] for _ in range(len(column))]
+        for i, j, chunk, own in vt.chunks(data, offsets):
+            x = cut(chunk, own, np.arange(i, j), np.zeros(CELLS, np.uint8))
+            for d, n in zip(x.doc.tolist(), x.line.tolist(), strict=True):
+                found[d].append(n)
+        yield pa.array(found, pa.list_(pa.int32()))

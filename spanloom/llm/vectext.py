@@ -58,14 +58,49 @@ def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK) -> Iterator
 
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of member bytes; runs don't cross rows."""
+    start, end = spans(member, offsets)
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of member bytes; runs don't cross rows."""
     first, last = member.copy(), member.copy()
     first[1:] &= ~member[:-1]
     last[:-1] &= ~member[1:]
     full = np.flatnonzero(np.diff(offsets) > 0)
     first[offsets[full]] = member[offsets[full]]
     last[offsets[full + 1] - 1] = member[offsets[full + 1] - 1]
-    start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+_WORD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def quick_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, read eight bytes at a time."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(-(-len(data) // 8) * 8 + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint64), (len(data),), (1,))
+    size = end - start
+    with np.errstate(over="ignore"):
+        out = mix64(eight[start] & _WORD[np.minimum(size, 8)] ^ size.astype(np.uint64) * _PLACE[61])
+        more, at = np.flatnonzero(size > 8), 8
+        while len(more):
+            out[more] = mix64(out[more] * _STEP + (eight[start[more] + at] & _WORD[np.minimum(size[more] - at, 8)]))
+            at += 8
+            more = more[size[more] > at]
+    return out
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, row and number within its row of each line; lines are cut at line feeds."""
+    feed = np.flatnonzero(data == 10)
+    start = np.unique(np.concatenate([offsets[:-1], feed + 1]))
+    start = start[start < len(data)]
+    row = np.searchsorted(offsets, start, "right") - 1
+    return start, row, np.searchsorted(feed, start) - np.searchsorted(feed, offsets[row])
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
