@@ -69,8 +69,8 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def _words(chunk: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = vt.LOWER[chunk]
-    start, end = vt.spans(vt.ITEM[low], own)
+    low, member = vt.item_bytes(chunk)
+    start, end = vt.spans(member, own)
     return start, vt.quick_hashes(low, start, end)
 
 
@@ -258,14 +258,15 @@ def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int
     copy = np.r_[False, (x.key[order][1:] == x.key[order][:-1]) & (x.n[order][1:] == x.n[order][:-1])] if len(order) else np.zeros(0, bool)
     gone = [order[copy]] if asked is None else [order[:0]]
     heads = order if asked is not None else order[~copy]
+    heads = heads[np.lexsort((x.line[heads], x.doc[heads]))]
     y = take(x, heads)
     row, place, key, cell = keys_of(y, percent, rare, common, long)
     wide_n = longs_of(y.n)
     pic = pictures(y, 1)[:, 0]
     flags = np.full(len(row), ASKS, np.uint8) if asked is None else np.where(asked[heads][row], ASKS, 0).astype(np.uint8)
     # A set's copies meet in all its keys; they are told of in the one of least value.
-    least = np.full(len(y.n), np.uint64(2**64 - 1))
-    np.minimum.at(least, row, key)
+    by_row = np.argsort(row, kind="stable") if (row[1:] < row[:-1]).any() else slice(None)
+    least = np.minimum.reduceat(key[by_row], np.searchsorted(row[by_row], np.arange(len(y.n)))) if len(row) else key
     flags |= np.where(key == least[row], LEADS, 0).astype(np.uint8)
     wide, wide_at = [np.zeros(0, np.uint64)], np.zeros(len(y.n), np.int64)
     at = 0
@@ -279,8 +280,11 @@ def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int
     room = np.where(wide_n[row] > 1, wide_n[row], 0)
     e = Entries(columns, np.concatenate(wide)[_spread(wide_at[row], room)])
     if asked is None and len(row):
-        order = np.lexsort((e.line, e.doc, key))
-        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        order = order[np.lexsort((row[order], key[order]))]
+        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else order
         pivot = np.repeat(order[start], np.diff(np.r_[start, len(order)]))
         near = order[order != pivot]
         pivot = pivot[order != pivot]

@@ -64,13 +64,23 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each maximal run of member bytes; runs don't cross rows."""
-    first, last = member.copy(), member.copy()
-    first[1:] &= ~member[:-1]
-    last[:-1] &= ~member[1:]
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    first[offsets[full]] = member[offsets[full]]
-    last[offsets[full + 1] - 1] = member[offsets[full + 1] - 1]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(member):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    turn = np.flatnonzero(member[1:] != member[:-1]) + 1
+    turn = np.concatenate([np.zeros(int(member[0]), np.int64), turn, np.full(int(member[-1]), len(member))])
+    start, end = turn[::2], turn[1::2]
+    inner = offsets[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < len(member))])
+    inner = inner[member[inner - 1] & member[inner]]
+    if len(inner):
+        start, end = np.insert(start, np.searchsorted(start, inner), inner), np.insert(end, np.searchsorted(end, inner), inner)
+    return start, end
+
+
+def item_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with A-Z in lower case, and which of them belong to item words."""
+    low = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+    return low, (low - np.uint8(97) < 26) | (low - np.uint8(48) < 10) | (low > 127)
 
 
 _WORD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
