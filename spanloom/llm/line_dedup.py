@@ -50,7 +50,7 @@ DEAL = 1 << 22
 #: Words that a task collects before it sends blocks, and entries of a bucket.
 UNIT, BUCKET = 1 << 21, 1 << 21
 #: Candidates of a line and key in the first round.
-FIRST = 8
+FIRST = 64
 #: Longs of the picture at most.
 MOST_LONGS = 16
 _SCALE = 16.0
