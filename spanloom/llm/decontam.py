@@ -25,8 +25,31 @@ from .words import item_words, long_array
 MOST_BITS = 1 << 21
 
 
-def _gram(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.concat_ws(" ", F.slice(words, at, F.lit(size))))
+def _zipped(a: Column, b: Column, shift: int, n: Column) -> Column:
+    """Hashes of the pairs a[i], b[i + shift], for the n first i."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def _grams(df: DataFrame, words: str, sizes: list[int]) -> tuple[DataFrame, dict[int, str]]:
+    """``df`` with an array for each size: the hash of each shingle of so many ``words``, made of hashes of shorter ones; and their names."""
+    n = F.size(words)
+    df = df.withColumn("g1", F.transform(words, lambda w: F.xxhash64(w)))
+    made = {1: "g1"}
+
+    def make(s: int) -> None:
+        nonlocal df
+        if s in made:
+            return
+        half = 1 << (s - 1).bit_length() - 1
+        make(half)
+        make(s - half)
+        df = df.withColumn(f"g{s}", _zipped(F.col(made[half]), F.col(made[s - half]), half, n - (s - 1)))
+        made[s] = f"g{s}"
+
+    for s in sizes:
+        make(s)
+    return df, {s: made[s] for s in sizes}
 
 
 def _bit_filter(grams: DataFrame) -> tuple[Column, int]:
@@ -36,7 +59,7 @@ def _bit_filter(grams: DataFrame) -> tuple[Column, int]:
     while bits < 16 * n and bits < MOST_BITS:
         bits *= 2
     words = bits // 64
-    spot = F.pmod(F.col("h"), F.lit(bits))
+    spot = F.col("h").bitwiseAND(F.lit(bits - 1))
     rows = grams.select(spot.alias("b")).distinct().groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x")).collect()  # at most MOST_BITS / 64 rows
     table = [0] * words
     for r in rows:
@@ -44,21 +67,24 @@ def _bit_filter(grams: DataFrame) -> tuple[Column, int]:
     return long_array(table), bits
 
 
-def _passes(s: int, table: Column, bits: int):
-    def test(p: Column) -> Column:
-        bit = F.pmod(_gram(F.col("words"), p, s), F.lit(bits))
-        word = F.get(table, F.shiftright(bit, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def _passes(h: Column, table: Column, bits: int) -> Column:
+    bit = h.bitwiseAND(F.lit(bits - 1))
+    word = F.get(table, F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
 
-    return test
+_FOUND = "array<struct<pos:int,h:bigint,s:int,from:int,ctx:array<string>>>"
 
 
-def _place(s: int, window: int):
-    def around(p: Column) -> Column:
+def _places(grams: str, s: int, window: int, table: Column, bits: int) -> Column:
+    """The shingles of ``s`` words that pass the filter, with the words around them."""
+
+    def around(h: Column, i: Column) -> Column:
+        p = i + 1
         begin = F.greatest(F.lit(1), p - (window - s))
-        return F.struct(p.cast("int").alias("pos"), _gram(F.col("words"), p, s).alias("h"), F.lit(s).alias("s"), begin.cast("int").alias("from"), F.slice("words", begin, p + window - begin).alias("ctx"))
+        return F.struct(p.cast("int").alias("pos"), h.alias("h"), F.lit(s).alias("s"), begin.cast("int").alias("from"), F.slice("words", begin, p + window - begin).alias("ctx"))
 
-    return around
+    return F.array_compact(F.transform(grams, lambda h, i: F.when(_passes(h, table, bits), around(h, i)))).cast(_FOUND)
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5) -> DataFrame:
@@ -75,17 +101,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     spans = it.select("item", "words", F.explode(at).alias("at")).select("item", F.slice("words", F.col("at"), F.lit(window)).alias("w"))
     spans = materialize(spans.select("item", "w", F.concat_ws(" ", "w").alias("wtext")), "windows")
     windows = spans.select("wtext", "w").dropDuplicates(["wtext"]).withColumn("len", F.size("w")).withColumn("s", F.least("len", F.lit(shingle)))
-    grams = windows.select("wtext", "len", "s", F.posexplode(F.expr("transform(sequence(1, len - s + 1), p -> xxhash64(concat_ws(' ', slice(w, p, s))))")).alias("off", "h"))
-    grams = materialize(grams, "grams")
-    sizes = sorted(r.s for r in grams.select("s").distinct().collect())  # at most `shingle` values
+    sizes = sorted(r.s for r in windows.select("s").distinct().collect())  # at most `shingle` values
+    made, names = _grams(windows, "w", sizes)
+    own = F.coalesce(*[F.when(F.col("s") == s, F.col(g)) for s, g in names.items()], F.array().cast("array<bigint>"))
+    grams = materialize(made.select("wtext", "len", "s", F.posexplode(own).alias("off", "h")), "grams")
 
     base = docs.select(F.monotonically_increasing_id().alias("rid"), "id", item_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    found: Column = F.array().cast("array<struct<pos:int,h:bigint,s:int,from:int,ctx:array<string>>>")
-    for s in sizes:
+    base, names = _grams(base, "words", sizes)
+    found: Column = F.array().cast(_FOUND)
+    for s, g in names.items():
         table, bits = _bit_filter(grams.where(F.col("s") == s))
-        passes, place = _passes(s, table, bits), _place(s, window)
-        spots = F.filter(F.sequence(F.lit(1), F.col("n_words") - s + 1), passes)
-        found = F.concat(found, F.when(F.col("n_words") >= s, F.transform(spots, place)).otherwise(F.array().cast("array<struct<pos:int,h:bigint,s:int,from:int,ctx:array<string>>>")))
+        found = F.concat(found, _places(g, s, window, table, bits))
     base = materialize(base.select("rid", "id", "n_words", found.alias("found")), "places")
     places = base.where("size(found) > 0").select("rid", "n_words", F.explode("found").alias("f")).select("rid", "n_words", "f.*")
 
