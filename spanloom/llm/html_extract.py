@@ -18,8 +18,9 @@ leads to them, and the text of each block.
    the deepest.  A host of fewer than LEAST_PAGES pages takes the template of
    all hosts.
 4. Extraction reads each whole page again and joins the blocks of its main
-   slot, without nested chrome.  The element names are the exact check: a page
-   whose main slot is missing falls back on its article, main or body.
+   slot, less the template's own texts (blocks that almost all pages of the host
+   have at the same path) and nested chrome.  A page whose main slot is missing
+   falls back on its article, main or body.
 
 Tokens are counted per host before the shuffle, and the table of main paths has
 a row for each host that differs from the common one.
@@ -34,10 +35,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, small_side
+from ..scratch import fresh, materialize, small_side
 
 LEAST_PAGES = 5
 #: Share of a host's pages that a template token occurs in at least.
@@ -57,11 +58,63 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 #: Start tags that end an open element of these names.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_BREAKS = re.compile("[>\"']")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 #: Elements whose class, id and role say nothing of chrome, and code, in which they are marks of syntax.
 _NAMELESS, _CODE = frozenset("html body article main".split()), frozenset("pre code".split())
+#: Elements nested deeper than this share the path of this level; their texts stay.
+DEEPEST = 256
+
+
+class Scanner:
+    """The tags of a page, in one pass; ``at`` may be moved ahead.
+
+    A < that starts no tag, or has no > behind it, is text.  Quotes hide a >;
+    once a tag has none outside of quotes, quotes no longer count.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quoted, self.last = page, 0, True, page.rfind(">")
+
+    def next(self) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, closes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while True:
+            start = page.find("<", self.at)
+            if start < 0:
+                return None
+            for mark, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(mark, start):
+                    end = page.find(stop, start + len(mark))
+                    self.at = len(page) if end < 0 else end + len(stop)
+                    return start, self.at, "", "", False
+            if start > self.last:
+                return None
+            if page[start + 1] in "!?":
+                self.at = page.index(">", start) + 1
+                return start, self.at, "", "", False
+            m = _NAME.match(page, start + 1)
+            if not m:
+                self.at = start + 1
+                continue
+            self.at = self._close(m.end())
+            return start, self.at, m[1].lower(), page[m.end() : self.at - 1], page[start + 1] == "/"
+
+    def _close(self, at: int) -> int:
+        """Place after the > that ends the tag whose name ends at ``at``."""
+        end = at
+        while self.quoted:
+            m = _BREAKS.search(self.page, end)
+            if not m:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                end = self.page.find(m[0], m.end()) + 1
+                self.quoted = end > 0
+        return self.page.index(">", at) + 1
 
 
 def _is_chrome(tag: str, attributes: str) -> str:
@@ -77,136 +130,183 @@ def _is_chrome(tag: str, attributes: str) -> str:
     return "name" if named else ""
 
 
-def _wrappers(page: str) -> frozenset[int]:
+class Element:
+    """An open element: its tag, whether it is chrome, and by name only, how many are chrome otherwise down to it, its number, path and level, and the text in front of it."""
+
+    __slots__ = ("tag", "chrome", "named", "sure", "number", "path", "level", "text")
+
+    def __init__(self, tag: str, chrome: bool, named: bool, sure: int, number: int, path: str, level: int):
+        self.tag, self.chrome, self.named, self.sure, self.number, self.path, self.level, self.text = tag, chrome, named, sure, number, path, level, 0
+
+
+def wrappers(page: str) -> frozenset[int]:
     """Numbers of the elements, chrome by name only, around the article or main of a page that has none elsewhere; of a page without any, those around its only h1s or over half of its text."""
-    held: list[tuple[str, int, tuple[int, ...], int]] = []
-    for _ in _walk(page, frozenset(), held):
-        if held and held[-1][0] in ("article", "main") and not held[-1][1] and not held[-1][2]:
-            return frozenset()
-    seen = [(tag, names, size) for tag, sure, names, size in held if not sure]
-    free = {n for tag, names, _ in seen if tag in ("article", "main") for n in names}
-    if not free:
-        heads = [names for tag, names, _ in seen if tag == "h1"]
+    free: set[int] = set()
+    heads: list[tuple[int, ...]] = []
+    mass: Counter = Counter()
+    seen = 0
+
+    def named(stack: list[Element]) -> tuple[int, ...]:
+        return tuple(e.number for e in stack if e.named)
+
+    found = False
+    for kind, stack, value, _ in _walk(page, frozenset()):
+        sure = stack[-1].sure if stack else 0
+        if kind == "text" and not sure:
+            seen += len(value.strip())
+        elif kind == "open" and not sure and value in ("article", "main", "h1"):
+            around = named(stack[:-1])
+            if value == "h1":
+                heads.append(around)
+            elif not around:
+                return frozenset()
+            else:
+                found = True
+                free.update(around)
+        elif kind == "shut" and stack[-1].named:
+            mass[stack[-1].number] += seen - stack[-1].text
+        if kind == "open" and stack:
+            stack[-1].text = seen
+    if not found:
         free = {n for names in heads for n in names} if all(heads) else set()
-        mass: Counter = Counter()
-        for _, names, size in seen:
-            for n in names:
-                mass[n] += size
-        half = sum(size for *_, size in seen) / 2
-        free |= {n for n, size in mass.items() if size > half}
+        free |= {n for n, size in mass.items() if 2 * size > seen}
     return frozenset(free)
 
 
-def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
-    """Events of a page: ("open", path, name, chrome) and ("text", path, text, chrome); chrome counts the open elements that never hold main text."""
-    return _walk(page, _wrappers(page), None)
-
+def _walk(page: str, free: frozenset[int]) -> Iterator[tuple[str, list[Element], str, int]]:
+    """Events of a page, with the stack of open elements and the number of those that are chrome: ("text", text), ("open", tag), ("shut", tag) before an element leaves the stack, and ("end", tag) for an end tag.  Elements numbered in ``free`` are no chrome by name."""
+    stack: list[Element] = []
+    depth, at, number, code, whole = 0, 0, 0, 0, 0
 
-def _walk(page: str, free: frozenset[int], held: list[tuple[str, int, tuple[int, ...], int]] | None) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
-    """The events of ``walk``; elements numbered in ``free`` are no chrome.  ``held`` gets (name, sure chrome, numbers of chrome by name, size) around each article, main, h1 and text."""
-    stack: list[tuple[str, bool]] = []
-    names: list[tuple[int, int]] = []  # places in the stack and numbers of the open elements that are chrome by name
-    depth, at, number, code = 0, 0, 0, 0
-
-    def shut(k: int) -> None:
-        nonlocal depth, code
+    def leave(k: int) -> Iterator[tuple[str, list[Element], str, int]]:
+        nonlocal depth, code, whole
         while len(stack) > k:
-            tag, chrome = stack.pop()
-            depth -= chrome
-            code -= tag in _CODE
-        while names and names[-1][0] >= k:
-            names.pop()
-
-    while True:
-        m = _TAG.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            if held is not None:
-                held.append(("", depth - len(names), tuple(n for _, n in names), len(page[at:end].strip())))
-            yield "text", tuple(n for n, _ in stack), page[at:end], depth
-        if not m:
-            return
-        at = m.end()
-        if not m[2]:
+            yield "shut", stack, stack[-1].tag, depth
+            e = stack.pop()
+            depth -= e.chrome
+            code -= e.tag in _CODE
+            whole -= e.tag == "article"
+
+    open_tags: Counter = Counter()
+    scanner = Scanner(page)
+    while found := scanner.next():
+        start, end, tag, attributes, closes = found
+        if start > at:
+            yield "text", stack, page[at:start], depth
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    shut(k)
-                    break
-            yield "end", tuple(n for n, _ in stack), tag, depth
+        if closes:
+            if open_tags[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                for e in stack[k:]:
+                    open_tags[e.tag] -= 1
+                yield from leave(k)
+            yield "end", stack, tag, depth
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    shut(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag in CLOSES:
+        for names, through in ((_P, INLINE), (CLOSES.get(tag, _NONE), _INLINE_P)) if tag in CLOSES_P or tag in CLOSES else ():
+            if names is _P and tag not in CLOSES_P or not any(open_tags[n] for n in names):
+                continue
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    shut(k)
+                if stack[k].tag in names:
+                    for e in stack[k:]:
+                        open_tags[e.tag] -= 1
+                    yield from leave(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
+                if stack[k].tag not in through:
                     break
         number += 1
-        why = _is_chrome(tag, m[3])
+        why = _is_chrome(tag, attributes)
+        if tag == "header" and whole:
+            why = ""  # the head of an article is part of it
         chrome = bool(why) and number not in free and (why == "sure" or not code or tag == "form")
-        if held is not None and tag in ("article", "main", "h1"):
-            held.append((tag, depth + chrome - len(names), tuple(n for _, n in names), 0))
-        yield "open", (*(n for n, _ in stack), tag), tag, depth + chrome
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if chrome and why == "name":
-            names.append((len(stack), number))
-        stack.append((tag, chrome))
+        above = stack[-1] if stack else None
+        level = above.level + 1 if above else 1
+        path = (f"{above.path}/{tag}" if above else tag) if level <= DEEPEST else above.path
+        sure = (above.sure if above else 0) + (chrome and why == "sure")
+        stack.append(Element(tag, chrome, chrome and why == "name", sure, number, path, min(level, DEEPEST)))
         depth += chrome
         code += tag in _CODE
+        whole += tag == "article"
+        yield "open", stack, tag, depth
+        if tag in VOID or attributes.endswith("/"):
+            yield from leave(len(stack) - 1)
+        elif tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = scanner.at = close.end() if close else len(page)
+            yield from leave(len(stack) - 1)
+        else:
+            open_tags[tag] += 1
+    if at < len(page):
+        yield "text", stack, page[at:], depth
+    yield from leave(0)
 
 
-def blocks(page: str, main: tuple[str, ...] | None) -> list[str]:
-    """The text blocks within the elements of path ``main`` (None: the whole page), without chrome."""
-    out: list[str] = []
+_P, _NONE, _INLINE_P = frozenset("p".split()), frozenset(), INLINE | {"p"}
+
+
+def units(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """("tag", path, tag, chrome) for each open tag of a block and ("block", path, text, chrome) for each text block, in page order; paths are of block elements only."""
     parts: list[str] = []
+    where, hidden = "", 0
 
-    def flush() -> None:
+    def block() -> Iterator[tuple[str, str, str, int]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(text)
+            yield "block", where, text, hidden
 
-    size = len(main) if main else 0
-    for kind, path, value, chrome in walk(page):
-        inside = not main or path[:size] == main
+    for kind, stack, value, chrome in _walk(page, wrappers(page)):
         if kind == "text":
-            if inside and not chrome:
-                parts.append(value)
+            if parts and bool(chrome) != bool(hidden):
+                yield from block()
+            if not parts:
+                k = len(stack) - 1
+                while k >= 0 and stack[k].tag in INLINE:
+                    k -= 1
+                where, hidden = stack[k].path if k >= 0 else "", chrome
+            parts.append(value)
         elif value == "br":
-            parts.append(" ")
-        elif value not in INLINE or chrome:
-            flush()
-    flush()
-    return out
+            if parts:
+                parts.append(" ")
+        elif value not in INLINE or kind == "open" and chrome:
+            yield from block()
+            if kind == "open" and value not in INLINE:
+                yield "tag", stack[-1].path, value, chrome
+    yield from block()
+
+
+def inside(path: str, main: str | None) -> bool:
+    return not main or path == main or path.startswith(f"{main}/")
+
+
+def blocks(page: str, main: str | None, template: frozenset[int] = frozenset()) -> list[str]:
+    """The text blocks within the elements of path ``main`` (None: the whole page), without chrome and without blocks of the template.
+
+    If most of the text is the template's, the pages are copies of each other, and it stays.
+    """
+    found = [(text, bool(template) and text_hash(path, text) in template) for kind, path, text, chrome in units(page) if kind == "block" and not chrome and inside(path, main)]
+    fixed = sum(len(t) for t, known in found if known)
+    drop = 2 * fixed < sum(len(t) for t, _ in found)
+    return [t for t, known in found if not (known and drop)]
+
+
+def text_hash(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
 
 
 def _tokens(page: str) -> tuple[Counter, Counter]:
-    """Numbers of the tag tokens (paths of non-inline elements) and of the texts (path, hash) with their sizes."""
-    tags: Counter = Counter()
+    """Numbers of the tag tokens (paths of block elements) and of the text blocks (path, hash) with their sizes."""
+    tag_tokens: Counter = Counter()
     texts: Counter = Counter()
-    for kind, path, value, chrome in walk(page):
-        if kind == "open" and value not in INLINE:
-            tags["/".join(path) + ("!" if chrome else "")] += 1
-        elif kind == "text":
-            clean = " ".join(value.split())
-            if clean:
-                texts["/".join(p for p in path if p not in INLINE), xxhash.xxh64_intdigest(clean) >> 1, len(clean), bool(chrome)] += 1
-    return tags, texts
+    for kind, path, value, chrome in units(page):
+        if kind == "tag":
+            tag_tokens[path + ("!" if chrome else "")] += 1
+        else:
+            texts[path, text_hash(path, value), len(value), bool(chrome)] += 1
+    return tag_tokens, texts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,31 +331,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "text", "pages", "n", "vector", "size"])
 
 
-def main_paths(pages: DataFrame) -> tuple[DataFrame, str]:
-    """(host, path) of the main slot for the hosts whose template differs from that of all pages, and the latter's path."""
+#: Stands for all hosts together.
+_ALL = "*"
+
+
+def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, str]:
+    """(host, path, texts) of the hosts whose main slot differs from that of all pages or that have template texts, and the path of the main slot of all pages."""
     made = pages.mapInArrow(_count, "host string, token string, text bigint, pages bigint, n bigint, vector bigint, size bigint")
     made = made.groupBy("host", "token", "text").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.max("size").alias("size"))
     made = materialize(made, "tokens")
     total = materialize(pages.groupBy("host").agg(F.count("*").alias("all")), "hosts")
-    everywhere = made.groupBy("token", "text").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.max("size").alias("size")).withColumn("host", F.lit(None).cast("string"))
-    whole = total.agg(F.sum("all").alias("all")).withColumn("host", F.lit(None).cast("string"))
+    everywhere = made.groupBy("token", "text").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.max("size").alias("size")).withColumn("host", F.lit(_ALL))
+    whole = total.agg(F.sum("all").alias("all")).withColumn("host", F.lit(_ALL))
 
     def slots(tokens: DataFrame, number: DataFrame) -> DataFrame:
-        """The best slot of each host: from the deepest valid element with most of the text that isn't itself template up to the one that has the whole article."""
-        t = tokens.join(number.withColumnRenamed("host", "h"), tokens["host"].eqNullSafe(F.col("h"))).drop("h")
-        tags = t.where("text is null")
-        group = Window.partitionBy("host", "pages", "vector")
-        valid = tags.withColumn("class", F.count("*").over(group)).where(f"pages >= {ALMOST_ALL} * all and n = pages and token not like '%!' and class >= 2")
+        """The main slot of each host: from the deepest valid element with most of the text that isn't itself template up to the one that has the whole article."""
+        t = tokens.join(number, "host")
+        found = t.where("text is null")
+        classes = found.groupBy("host", "pages", "vector").agg(F.count("*").alias("class"))
+        valid = found.where(f"pages >= {ALMOST_ALL} * all and n = pages and token not like '%!'").join(classes, ["host", "pages", "vector"]).where("class >= 2")
         valid = valid.select("host", F.col("token").alias("slot"))
         lone = F.expr("pages < 3 or pages < 0.5 * all")
         mass = F.col("size") * F.col("pages")
         chars = t.where("text is not null and size > 0").groupBy("host", "token").agg(F.sum(F.when(lone, mass).otherwise(0)).alias("chars"), F.sum(F.when(lone, 0).otherwise(mass)).alias("fixed"))
         held = chars.select("host", "chars", "fixed", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("token", "/"))), lambda k: F.array_join(F.slice(F.split("token", "/"), F.lit(1), k), "/"))).alias("slot")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("fixed").alias("fixed")).where("chars > 0")
-        best = valid.alias("v").join(held.alias("c"), (F.col("v.slot") == F.col("c.slot")) & F.col("v.host").eqNullSafe(F.col("c.host"))).select("v.host", F.size(F.split("v.slot", "/")).alias("deep"), "v.slot", "c.chars", "c.fixed")
-        most = best.groupBy("host").agg(F.max("chars").alias("most")).withColumnRenamed("host", "h")
-        core = best.join(most, F.col("host").eqNullSafe(F.col("h"))).where("chars >= 0.95 * most").groupBy(F.col("host").alias("h")).agg(F.max(F.struct("deep", "slot", "chars", "fixed")).alias("core"))
+        best = valid.join(held, ["host", "slot"]).select("host", F.size(F.split("slot", "/")).alias("deep"), "slot", "chars", "fixed")
+        most = best.groupBy("host").agg(F.max("chars").alias("most"))
+        core = best.join(most, "host").where("chars >= 0.95 * most").groupBy("host").agg(F.max(F.struct("deep", "slot", "chars", "fixed")).alias("core"))
         named = F.expr("coalesce(nullif(regexp_extract(core.slot, '^(?:.*?/)?article(?=/|$)', 0), ''), regexp_extract(core.slot, '^(?:.*?/)?main(?=/|$)', 0))")
-        chain = best.join(core, F.col("host").eqNullSafe(F.col("h"))).where("startswith(concat(core.slot, '/'), concat(slot, '/'))")
+        chain = best.join(core, "host").where("startswith(concat(core.slot, '/'), concat(slot, '/'))")
         step = F.struct("deep", "slot", "chars", "fixed", (F.col("slot") == named).alias("named"))
         chain = chain.groupBy("host").agg(F.reverse(F.array_sort(F.collect_list(step))).alias("up"))
         higher = lambda x, y: F.when(y["named"] | (y["fixed"] - x["fixed"] <= y["chars"] - x["chars"]), y).otherwise(x)
@@ -265,47 +369,48 @@ def main_paths(pages: DataFrame) -> tuple[DataFrame, str]:
 
     common = slots(everywhere, whole).collect()  # one row
     path = common[0].path if common else ""
-    own = slots(made, total.where(F.col("all") >= LEAST_PAGES)).where(F.col("path") != path).where("host is not null")
-    return own, path
+    known = total.where(F.col("all") >= least_pages)
+    own = slots(made, known).where(F.col("path") != path)
+    fixed = made.join(known, "host").where(f"text is not null and size > 0 and pages >= {ALMOST_ALL} * all").groupBy("host").agg(F.collect_set("text").alias("texts"))
+    return own.join(fixed, "host", "full").select("host", "path", "texts"), path
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` with main_text: the blocks of the main slot of each page, in page order, two line feeds between.
 
     A null page is empty.  Pages of null or odd URLs are a host of their own.
     White space in a block is one space; character references are decoded once.
     Repeated rows are extracted one by one, but count as pages of their host.
-    A column named main_text is replaced; others pass through.
+    Pages are read whole, in time in proportion to their length whatever their
+    markup; elements nested deeper than DEEPEST levels count as of that level.
+    An empty table gives an empty one.  A column named main_text is replaced;
+    others pass through, whatever their names.  ``least_pages``: a host of
+    fewer pages shows no template of its own.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    own, common = main_paths(pages.select(host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")))
-    own = materialize(own.select(F.col("host").alias("__host"), F.col("path").alias("__path")), "paths")
+    own, common = deduce(pages.select(host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")), least_pages)
+    at, name, path, texts = fresh(pages, "at", "name", "path", "texts")
+    own = materialize(own.select(F.col("host").alias(name), F.col("path").alias(path), F.col("texts").alias(texts)), "paths")
 
     @F.arrow_udf("string")
-    def extract(htmls: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for column, paths in htmls:
+    def extract(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for htmls, paths, fixed in columns:
             out = []
-            for page, path in zip(column.to_pylist(), paths.to_pylist(), strict=True):
-                found: list[str] = []
-                tried = [tuple(path.split("/"))] if path else []
-                if page:
-                    for main in tried:
-                        found = blocks(page, main)
-                    if not found:
-                        found = _by_name(page)
-                out.append("\n\n".join(found))
+            for page, main, known in zip(htmls.to_pylist(), paths.to_pylist(), fixed.to_pylist(), strict=True):
+                found = blocks(page, main, frozenset(known or ())) if page and main else []
+                out.append("\n\n".join(found or (by_name(page, frozenset(known or ())) if page else [])))
             yield pa.array(out, pa.string())
 
-    joined = pages.withColumn("__h", host).join(small_side(own), F.col("__h") == F.col("__host"), "left")
-    return joined.withColumn("main_text", extract(F.col(html_col), F.coalesce("__path", F.lit(common)))).drop("__h", "__host", "__path")
+    joined = pages.withColumn(at, host).join(small_side(own), F.col(at) == F.col(name), "left")
+    return joined.withColumn("main_text", extract(F.col(html_col), F.coalesce(path, F.lit(common)), F.col(texts))).select(*[c for c in pages.columns if c != "main_text"], "main_text")
 
 
-def _by_name(page: str) -> list[str]:
+def by_name(page: str, template: frozenset[int] = frozenset()) -> list[str]:
     """The blocks of the first kind of element, article, main or body, that has any; else of the whole page."""
-    paths = [path for kind, path, _, chrome in walk(page) if kind == "open" and not chrome]
+    paths = [path for kind, path, _, chrome in units(page) if kind == "tag" and not chrome]
     for name in ("article", "main", "body"):
-        for path in dict.fromkeys(p for p in paths if p[-1] == name):
-            found = blocks(page, path)
+        for path in dict.fromkeys(p for p in paths if p == name or p.endswith(f"/{name}")):
+            found = blocks(page, path, template)
             if found:
                 return found
-    return blocks(page, None)
+    return blocks(page, None, template)

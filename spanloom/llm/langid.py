@@ -13,19 +13,21 @@ The filter learns from at most about ``fit_docs`` documents of each language
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as vt
+from ..scratch import materialize, small_side
 
 GRAMS = (3, 4)
 PROBES = 3
 FIT_DOCS = 1500
-#: N-grams kept for each language at most, the most frequent ones.
+#: N-grams kept for each language at most, the most frequent ones; those of one step of frequency stay or go together.
 MOST_GRAMS = 20_000
 #: An n-gram is a language's own if it is at least so frequent there, relative to the language where it is most frequent.
 LEAST_SHARE = 0.25
@@ -92,20 +94,28 @@ class Filter:
         return np.clip((share - self.false) / np.maximum(1 - self.false, 1e-9), 0, 1)
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Filter:
-    """The filter of all languages outside the held-out fold; null languages and texts are left out."""
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, most_grams: int = MOST_GRAMS) -> Filter:
+    """The filter of all languages outside the held-out fold.
+
+    Null languages and texts are left out, and an empty table teaches nothing.
+    Repeated rows count as often as they are there; texts of any length are
+    read whole.  Two parameters bound the model: about ``fit_docs`` documents
+    of each language are read, and the ``most_grams`` n-grams at most that are
+    most frequent in it are kept.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("id")))
     number = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     langs = sorted(number)
     if not langs:
         return Filter([], [], [])
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, fit_docs / n))) for k, n in sorted(number.items())])
-    some = rows.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < rate * (1 << 30)).select("text", "lang")
+    spark = docs.sparkSession
+    rates = spark.createDataFrame([(k, i, min(1.0, fit_docs / number[k])) for i, k in enumerate(langs)], "lang string, code int, rate double")
+    some = rows.join(small_side(rates), "lang").where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("text", "code")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = vt.buffers(batch["text"])
-            code = np.array([langs.index(x) for x in batch["lang"].to_pylist()], np.int64)
+            code = batch["code"].to_numpy().astype(np.int64)
             for first, last, chunk, own in vt.chunks(data, offsets):
                 for n in GRAMS:
                     hashes, row = gram_hashes(chunk, own, n)
@@ -114,10 +124,20 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int32)), pa.array(np.full(len(value), n, np.int32)), pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "size", "gram", "n"])
 
     made = some.mapInArrow(count, "lang int, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy("lang", "size")
-    made = made.withColumn("f", F.col("n") / F.sum("n").over(whole)).withColumn("top", F.max("f").over(Window.partitionBy("size", "gram")))
-    made = made.where((F.col("n") >= 2) & (F.col("f") >= F.col("top") * LEAST_SHARE)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "gram"))).where(f"rank <= {MOST_GRAMS}")
-    table = made.select("lang", "gram").toArrow()  # at most MOST_GRAMS rows a language
+    made = materialize(made, "grams")
+    totals = made.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    made = made.join(small_side(materialize(totals, "totals")), ["lang", "size"]).withColumn("f", F.col("n") / F.col("total"))
+    top = made.groupBy("size", "gram").agg(F.max("f").alias("top"))
+    made = made.join(top, ["size", "gram"]).where((F.col("n") >= 2) & (F.col("f") >= F.col("top") * LEAST_SHARE)).withColumn("step", F.floor(F.log2("f") * 64).cast("int"))
+    made = materialize(made.select("lang", "gram", "step"), "own")
+    # The step of frequency down to which the n-grams of a language are few enough; a row for each language and step.
+    steps, cut = Counter(), []
+    for r in made.groupBy("lang", "step").count().orderBy(F.desc("step")).collect():
+        steps[r.lang] += r["count"]
+        if steps[r.lang] <= most_grams:
+            cut.append((r.lang, r.step))
+    kept = made.join(small_side(spark.createDataFrame(cut, "lang int, step int")), ["lang", "step"])
+    table = kept.select("lang", "gram").toArrow()  # at most most_grams rows a language
     lang, gram = table["lang"].to_numpy(), table["gram"].to_numpy().view(np.uint64)
     return Filter(langs, [number[k] for k in langs], [gram[lang == i] for i in range(len(langs))])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, small_side
+from ..scratch import fresh, materialize, small_side
 from .words import blank_word_count
 
 LEAF = 2048
@@ -154,13 +154,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the number of the copy (from 0) as ``copy``."""
+    pid, pkey, copies, rows, key, own = fresh(docs, "pid", "pkey", "copies", "rows", "key", "own")
     plan = mix(docs, id_col=id_col, text_col=text_col, **how)
     # Rows that share id and text are alike, so their copies are summed and dealt out again in turn.
-    plan = materialize(plan.groupBy(F.col("id").alias("__pid"), F.col("key").alias("__pkey")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "plan")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__key": F.xxhash64(F.col(text_col))})
-    out = keyed.join(plan.where("__copies > 0"), F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__key") == F.col("__pkey")))
-    turn = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key")) - 1
-    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(turn < F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    out = out.withColumn("__own", own.cast("int")).where("__own > 0")
+    plan = materialize(plan.groupBy(F.col("id").alias(pid), F.col("key").alias(pkey)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)), "plan")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    out = keyed.join(plan.where(F.col(copies) > 0), F.col(id_col).eqNullSafe(F.col(pid)) & (F.col(key) == F.col(pkey)))
+    turn = F.row_number().over(Window.partitionBy(id_col, key).orderBy(F.lit(0))) - 1
+    many = out.where(F.col(rows) > 1).withColumn(own, (F.floor(F.col(copies) / F.col(rows)) + F.when(turn < F.col(copies) % F.col(rows), 1).otherwise(0)).cast("int"))
+    out = out.where(F.col(rows) == 1).withColumn(own, F.col(copies).cast("int")).unionByName(many).where(F.col(own) > 0)
     kept = [c for c in docs.columns if c != "copy"]
-    return out.select(*kept, F.explode(F.sequence(F.lit(0), F.col("__own") - 1)).alias("copy"))
+    return out.select(*kept, F.explode(F.sequence(F.lit(0), F.col(own) - 1)).alias("copy"))

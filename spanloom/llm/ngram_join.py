@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import vectext as vt
 from ..operators.components import components
-from ..scratch import materialize, small_side
+from ..scratch import fresh, materialize, small_side
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -300,12 +300,18 @@ def similar(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, maybe:
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class; the one of the least id stays, and all documents without words."""
+    """``docs`` with one document of each class; the one of the least id stays, and all documents without words.
+
+    All columns pass through, whatever their names.
+    """
     rows, heads = similar_documents(docs, id_col=id_col, text_col=text_col, width=width, threshold=threshold)
     empty = rows.where("n_shingles = 0").select("id", "key").distinct()
-    keep = heads.select("id", "key", F.lit(True).alias("__one")).unionByName(empty.select("id", "key", F.lit(False).alias("__one")))
-    keep = materialize(keep.select(F.col("id").alias("__kid"), F.col("key").alias("__kkey"), "__one"), "keep")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__key": F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))})
-    out = keyed.join(small_side(keep), F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__key") == F.col("__kkey")))
-    out = out.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__key")))
-    return out.where("__copy = 1 or not __one").select(*docs.columns)
+    kid, kkey, one, key, copy, part = fresh(docs, "kid", "kkey", "one", "key", "copy", "part")
+    keep = heads.select("id", "key", F.lit(True).alias("one")).unionByName(empty.select("id", "key", F.lit(False).alias("one")))
+    keep = materialize(keep.select(F.col("id").alias(kid), F.col("key").alias(kkey), F.col("one").alias(one)), "keep")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    out = keyed.join(small_side(keep), F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(key) == F.col(kkey)))
+    # Of rows that repeat one stays: the first within its partition, then of these.
+    out = out.withColumn(part, F.spark_partition_id())
+    out = out.where(F.col(one)).withColumn(copy, F.row_number().over(Window.partitionBy(id_col, key, part).orderBy(F.lit(0)))).where(F.col(copy) == 1).withColumn(copy, F.row_number().over(Window.partitionBy(id_col, key).orderBy(F.lit(0)))).where(F.col(copy) == 1).unionByName(out.where(~F.col(one)).withColumn(copy, F.lit(1)))
+    return out.select(*docs.columns)

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
 from .chat import BEGIN, END, PART_TURNS
-from .licenses import ANCHORS, LICENCE_RULES, SENTENCES
+from .licenses import ANCHORS, KNOWN, LICENCE_RULES, NOTICES, known_pattern
 
 ORACLE: dict[str, str] = {}
 
@@ -80,35 +80,42 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN f USING (rid)"""
 )
 
-_WORDS = "array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), ' ')"
-
-
-def _sequence(cut: str) -> str:
-    return f"list_transform(list_filter(list_transform({cut}, lambda x: list_position({_list(SENTENCES.values())}, {_WORDS})), lambda p: p > 0), lambda p: {_list(SENTENCES)}[p])"
-
-
-def _rules(column: str) -> str:
-    return ", ".join(f"CASE WHEN len({column}) > 0 AND regexp_matches(',' || array_to_string({column}, ',') || ',', '{',' + ',(?:[^,]+,)*?'.join(ids) + ','}') THEN '{name}' END" for name, ids in LICENCE_RULES)
-
-
-ORACLE["op2_licence_scan"] = f"""
-WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){'|'.join(ANCHORS)}') THEN text END AS t FROM documents),
-s AS (SELECT doc_id,
-        coalesce({_sequence(r"regexp_split_to_array(regexp_replace(t, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), '\n+')")}, []) AS a,
-        coalesce({_sequence(r"string_split(regexp_replace(t, '([.!?:;])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))")}, []) AS b FROM d),
-r AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS ids,
-        list_sort(list_distinct(list_filter([{_rules("a")}, {_rules("b")}], lambda x: x IS NOT NULL))) AS l FROM s)
-SELECT doc_id, array_to_string(CASE WHEN list_contains(l, 'BSD-3-Clause') THEN list_filter(l, lambda x: x <> 'BSD-2-Clause') ELSE l END, ',') AS licences,
-       array_to_string(ids, ',') AS sentences, CAST(len(ids) AS BIGINT) AS n_sentences FROM r
-"""
+# RE2 has no look-around, so the marks are doubled: each sentence takes its own.
+_SENTENCE, _NOTICE = known_pattern("(?: |\x02\x02)")
+_BETWEEN = "(?:[^,]+,)*?"
+
+
+def _fits(ids: tuple[str, ...], but: str | None) -> str:
+    if len(ids) == 1:
+        return f"contains(line, ',{ids[0]},')"
+    rest = "^," + _BETWEEN + _BETWEEN.join(f"{k}," for k in ids[1:])
+    return f"len(list_filter(string_split(line, ',{ids[0]},')[2:], lambda p: regexp_matches(',' || p, '{rest}')" + (f" AND NOT contains(',' || p, ',{but},')" if but else "") + ")) > 0"
+
+
+_NAME = "|".join(NOTICES)
+ORACLE["op2_licence_scan"] = (
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN regexp_matches(text, '(?i){'|'.join(ANCHORS)}') THEN translate(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(1) || chr(2), '--') ELSE '' END AS t FROM documents),
+m AS (SELECT rid, doc_id, regexp_replace(regexp_replace(regexp_replace(t, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '([:;])[ \t\n\x0B\f\r]+', '\1' || chr(2), 'g'), '\n+', chr(2), 'g') AS t FROM d),
+n AS (SELECT rid, doc_id, chr(1) || regexp_replace(t, '[\x00\x03-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') || chr(1) AS t FROM m),
+c AS (SELECT rid, doc_id, regexp_replace(regexp_replace(t, ' ?\x02[ \x02]*', chr(2), 'g'), '[ \x02]?\x01[ \x01\x02]*', chr(1), 'g') AS t FROM n),
+s AS (SELECT rid, doc_id, list_transform(regexp_extract_all(replace(replace(t, chr(1), chr(1) || chr(1)), chr(2), chr(2) || chr(2)), '[\x01\x02]((?:{_SENTENCE})[\x01\x02]|{_NOTICE})', 1),
+        lambda x: rtrim(replace(replace(x, chr(2) || chr(2), ' '), chr(1), ''), ' ' || chr(2))) AS found FROM c),
+i AS (SELECT rid, doc_id, list_transform(found, lambda x: coalesce({_list(KNOWN.values())}[nullif(list_position({_list(KNOWN)}, x), 0)], {_list(NOTICES.values())}[nullif(list_position({_list(NOTICES)}, regexp_extract(x, '({_NAME})$', 1)), 0)])) AS ids FROM s),
+l AS (SELECT *, ',' || array_to_string(ids, ',') || ',' AS line FROM i)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(["""
+    + ", ".join(f"CASE WHEN {_fits(ids, but)} THEN '{name}' END" for name, ids, but in LICENCE_RULES)
+    + """], lambda x: x IS NOT NULL))), ',') AS licences, array_to_string(ids, ',') AS sentences, CAST(len(ids) AS BIGINT) AS n_sentences FROM l"""
+)
 
 ORACLE["op8_chat_perspectives"] = f"""
 WITH t AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / {PART_TURNS}.0), 0) AS BIGINT) AS part, turn,
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) / {PART_TURNS}.0) AS BIGINT) AS part
+  FROM (SELECT conv_id, turn,
          replace(replace(coalesce(role, 'unknown'), '{BEGIN}', '<| im_start |>'), '{END}', '<| im_end |>') AS role,
          replace(replace(coalesce(text, ''), '{BEGIN}', '<| im_start |>'), '{END}', '<| im_end |>') AS text
-  FROM conversations),
-p AS (SELECT DISTINCT conv_id, part, role AS participant FROM t),
+  FROM conversations)),
+p AS (SELECT * FROM (SELECT DISTINCT conv_id, role AS participant FROM t) a JOIN (SELECT DISTINCT conv_id AS c, part FROM t) b ON a.conv_id IS NOT DISTINCT FROM b.c),
 j AS (SELECT p.conv_id, p.part, p.participant, t.turn, t.role, t.text, t.role = p.participant AS own,
         CASE WHEN t.role = p.participant THEN '{BEGIN}assistant' || chr(10) ELSE '{BEGIN}user name=' || t.role || chr(10) END AS head, t.text || '{END}' AS body
       FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.part = p.part),

@@ -149,7 +149,7 @@ def fit(texts: pa.Array, good: np.ndarray, share: float, rounds: int = 120, pena
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> tuple[np.ndarray, float, float] | None:
     """The model, or None if the labelled texts aren't of both classes.
 
-    Of rows that repeat an id the least label counts; null ids, labels and texts are left out.
+    Of rows that repeat an id the least label and the least text count; null ids, labels and texts are left out.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     number = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     order = [F.xxhash64(F.lit(29), "id"), F.col("id")]
     some = known.where("y = 0").orderBy(*order).limit(most_rows).unionByName(known.where("y = 1").orderBy(*order).limit(most_rows))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "id")  # at most 2 * most_rows ids
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
     share = number[1] / (number[0] + number[1])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +202,10 @@ def _scorer(model: tuple[np.ndarray, float, float] | None):
 def judge_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_quality: float = LEAST_QUALITY, most_rows: int = MOST_ROWS) -> DataFrame:
     """``docs`` with a struct ``quality``: the counts, p_good, base_failed and kept.
 
-    A null text counts as empty: no words, so it fails the base rules.  Without
-    labels of both classes the base rules decide alone.  A column named
-    ``quality`` is replaced; others pass through.
+    A null or empty text has no words, so it fails the base rules.  Texts of any
+    length are read whole; repeated rows are judged alike.  Without labels of
+    both classes the base rules decide alone.  An empty table gives an empty
+    one.  A column named ``quality`` is replaced; others pass through.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, most_rows=most_rows)
     q = F.col("quality")

@@ -55,15 +55,37 @@ def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, though used often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
-    """Leftmost matches that don't overlap, those with too short a value dropped."""
+    """Leftmost matches that don't overlap, those with too short a value dropped.
+
+    Running sums of the lengths give the places, in two steps of about the
+    square root of the number of matches, so that no list grows long by
+    appending.
+    """
     cut = F.lit(rf"(?s)\G(.*?)({rule.pattern})")
-    whole, gap = F.regexp_extract_all(text, cut, F.lit(0)), F.regexp_extract_all(text, cut, F.lit(1))
-    value = F.regexp_extract_all(text, cut, F.lit(2 + rule.value))
-    sizes = F.arrays_zip(F.transform(whole, F.length).alias("w"), F.transform(gap, F.length).alias("g"), F.transform(value, F.length).alias("v"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,v:int>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x["w"]).alias("at"), F.array_append(a["out"], F.struct(F.lit(rule.kind).alias("kind"), (a["at"] + x["g"]).alias("start"), (a["at"] + x["w"]).alias("end"), x["v"].alias("v"))).alias("out"))
-    found = F.aggregate(sizes, start, step)["out"]
+    sizes = F.arrays_zip(*[F.transform(F.regexp_extract_all(text, cut, F.lit(g)), F.length).alias(n) for n, g in (("w", 0), ("g", 1), ("v", 2 + rule.value))])
+    zero = F.lit(0).cast("bigint")
+    spot = F.struct(F.lit(rule.kind).alias("kind"), zero.alias("start"), zero.alias("end"), F.lit(0).alias("v"))
+    none = F.filter(F.array(spot), lambda _: F.lit(False))
+
+    def placed(part: Column, begin: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x["w"]).alias("at"), F.array_append(a["out"], F.struct(F.lit(rule.kind).alias("kind"), (a["at"] + x["g"]).alias("start"), (a["at"] + x["w"]).alias("end"), x["v"].alias("v"))).alias("out"))
+        return F.aggregate(part, F.struct(begin.alias("at"), none.alias("out")), step)["out"]
+
+    def whole(found: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(found))).cast("int") + 1
+        part = lambda k: F.slice(found, k * step + 1, step)
+        length = lambda k: F.aggregate(part(k), zero, lambda a, x: a + x["w"])
+        numbers = F.sequence(F.lit(0), F.floor(F.size(found) / step).cast("int"))
+        starts = F.aggregate(numbers, F.array(zero), lambda a, k: F.array_append(a, F.element_at(a, -1) + length(k)))
+        return _let(starts, lambda at: F.flatten(F.transform(numbers, lambda k: placed(part(k), F.get(at, k)))))
+
+    found = _let(sizes, whole)
     kept = F.transform(F.filter(found, lambda x: x["v"] >= rule.least), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     hint = text.contains(rule.hint) & text.rlike(rule.pattern) if rule.hint else text.rlike(rule.pattern)
     return F.when(hint, kept).otherwise(_none())
