@@ -48,7 +48,7 @@ COMMON, LONG = 1 << 15, 160
 #: Occurrences of a word for each bucket that its keys are dealt over.
 DEAL = 1 << 22
 #: Words that a task collects before it sends blocks, and entries of a bucket.
-UNIT, BUCKET = 1 << 21, 1 << 21
+UNIT, BUCKET = 1 << 20, 1 << 19
 #: Candidates of a line and key in the first round.
 FIRST = 64
 #: Longs of the picture at most.
@@ -440,6 +440,7 @@ def removed(texts: DataFrame, percent: int, *, common: int = COMMON, long: int =
                         parts, wanted, held = [], [], 0
             if parts:
                 yield from flush(parts, wanted)
+            vt.give_back()
 
         def flush(parts: list[Lines], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             x = join(parts)
@@ -488,6 +489,8 @@ def removed(texts: DataFrame, percent: int, *, common: int = COMMON, long: int =
                 for i in range(0, len(flag), 1 << 16):
                     j = i + (1 << 16)
                     yield pa.RecordBatch.from_arrays([*(pa.array(c[i:j]) for c in whole), *(c[i:j] for c in mate), pa.array(flag[i:j])], names=names)
+                del e, copies, x, y, more, whole, mate, flag
+            vt.give_back()
 
         return run
 

@@ -5,6 +5,7 @@ All separators are ASCII, so UTF-8 bytes can be cut without decoding them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,15 @@ SOLID[[32, 9, 10, 11, 12, 13]] = False
 CHUNK = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task would keep it from the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finalizer of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
