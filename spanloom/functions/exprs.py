@@ -248,3 +248,157 @@ def sampson(e: Column | str, a: Column | str, b: Column | str) -> Column:
 def srgb_to_linear(x: Column | str) -> Column:
     x = col(x)
     return F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, 2.4))
+
+
+# Texts of numbers and hashes of records --------------------------------------
+
+
+def general_number(x: Column | str, digits: int = 6) -> Column:
+    """``x`` with so many significant digits and no trailing zeros, in powers of ten beyond them; null unless it is finite."""
+    x = col(x).cast("double")
+    power = F.format_string(f"%.{digits - 1}e", x)
+    e = F.substring_index(power, "e", -1).cast("int")
+    plain = F.coalesce(*[F.when(e == k, F.format_string(f"%.{digits - 1 - k}f", x)) for k in range(-4, digits)])
+    strip = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    return F.when(is_finite(x), F.coalesce(strip(plain), F.concat(strip(F.substring_index(power, "e", 1)), F.lit("e"), F.substring_index(power, "e", -1))))
+
+
+def number_text(x: Column | str, default: str = "") -> Column:
+    """A number in six digits; ``default`` for null, empty and not finite ones; text that is no number as it is."""
+    text = col(x).cast("string")
+    number = text.try_cast("double")
+    return F.when(text.isNull() | (text == ""), default).when(number.isNull(), text).otherwise(F.coalesce(general_number(number), F.lit(default)))
+
+
+def ascii_json(text: Column | str) -> Column:
+    """JSON text with all beyond ASCII written as UTF-16 escapes."""
+    units = F.regexp_extract_all(F.hex(F.encode(col(text), "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    one = lambda u: F.when(u > "007E", F.concat(F.lit("\\u"), F.lower(u))).otherwise(F.char(F.conv(u, 16, 10).cast("int")))
+    return F.when(col(text).rlike(r"[^ -~]"), F.array_join(F.transform(units, one), "")).otherwise(col(text))
+
+
+def canonical_sha256(*columns: str) -> Column:
+    """SHA-256 of the canonical JSON (sorted keys, no spaces, ASCII only) of the named columns."""
+    return F.sha2(ascii_json(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})), 256)
+
+
+def id_list_sha256(ids: Column | str) -> Column:
+    """SHA-256 of a list of whole numbers as JSON, in its order."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(col(ids), lambda i: i.cast("string")), ","), F.lit("]")), 256)
+
+
+def names_sha256(names: Column | str) -> Column:
+    """SHA-256 of names, each with a line feed behind it."""
+    return F.sha2(F.concat(F.array_join(col(names), "\n"), F.lit("\n")), 256)
+
+
+def schedule_sha256(pairs: Column | str) -> Column:
+    """SHA-256 of a list of pairs (a, b) of names, each in order, as JSON; a pair that comes twice is an error."""
+    ordered = F.transform(col(pairs), lambda p: F.array(F.least(p["a"], p["b"]), F.greatest(p["a"], p["b"])))
+    twice = F.size(F.array_distinct(ordered)) < F.size(ordered)
+    return F.when(twice, F.raise_error(F.lit("the schedule has a pair twice"))).otherwise(F.sha2(F.to_json(ordered), 256))
+
+
+def cache_identity(source: Column | str, mask: Column | str, model: Column) -> Column:
+    """SHA-256 of a cache's sources and model (a struct); null unless both sources are hashes of 64 characters."""
+    whole = F.struct(model.alias("model_identity"), col(mask).alias("feature_mask_sha256"), col(source).alias("source_sha256"))
+    body = F.to_json(F.struct(whole["feature_mask_sha256"].alias("feature_mask_sha256"), whole["model_identity"].alias("model_identity"), whole["source_sha256"].alias("source_sha256")))
+    return F.when((F.length(col(source)) == 64) & (F.length(col(mask)) == 64), F.sha2(body, 256))
+
+
+# Small rules ------------------------------------------------------------------
+
+
+def degrees_or_null(x: Column | str) -> Column:
+    return F.degrees(finite_or_null(x))
+
+
+def optional_angle_deg(x: Column | str) -> Column:
+    """Degrees of an angle of which negative values stand for none."""
+    return F.when(col(x) >= 0, degrees_or_null(x))
+
+
+def unit_or_error(v: Column | str) -> Column:
+    """``v`` at length 1; no direction, below 1e-12 or not finite, is an error."""
+    n = norm(v)
+    bad = ~is_finite(n) | (n <= 1e-12)
+    return F.when(bad, F.raise_error(F.lit("a translation without direction"))).otherwise(F.transform(col(v), lambda x: x / n))
+
+
+def to_original(x: Column | str, from_size: Column | int, to_size: Column | int) -> Column:
+    """A coordinate of a scaled image in the original, in single precision."""
+    size = lambda s: s if isinstance(s, Column) else F.lit(s)
+    return col(x).cast("float") * (size(to_size).cast("double") / size(from_size)).cast("float")
+
+
+def camera_params(focal_35mm: Column | str, width: Column | str, height: Column | str) -> Column:
+    """Focal length in pixels, centre and distortion 0 of a camera, in twelve digits."""
+    focal = col(focal_35mm) / math.hypot(36.0, 24.0) * F.sqrt(col(width) * col(width) + col(height) * col(height))
+    return F.concat_ws(",", *[general_number(v, 12) for v in (focal, col(width) / 2.0, col(height) / 2.0, F.lit(0.0))])
+
+
+def simplification(faces: Column | str, size: Column | str) -> Column:
+    """Whether a mesh needs fewer faces (used, target_faces, target_ratio): beyond 750,000 faces or 512 MB, half of them, within 100,000 and 500,000."""
+    faces = col(faces)
+    used = ~((faces <= 750_000) & (col(size) <= 512 * 1024 * 1024))
+    target = F.least(F.lit(500_000), F.greatest(F.lit(100_000), F.floor(faces / 2).cast("bigint")))
+    return F.struct(used.alias("used"), F.when(used, target).alias("target_faces"), F.when(used, target / faces).alias("target_ratio"))
+
+
+def smaller_after_oom(category: Column | str, size: Column | str) -> Column:
+    """The one step down that a lack of GPU memory permits, from 2000 to 1600 pixels; null for anything else."""
+    return F.when((col(category) == "cuda_oom") & (col(size) == 2000), F.lit(1600))
+
+
+def smaller_after_failure(attempts: Column | str, status: Column | str, category: Column | str, size: Column | str) -> Column:
+    """The size for the one retry of a dense run after a single failure of resources, time or runtime; null for anything else."""
+    allowed = (col(attempts) == 1) & col(status).isin("failed", "timeout", "interrupted") & col(category).isin("resource", "timeout", "runtime")
+    return F.when(allowed, F.when(col(size) > 1600, 1600).otherwise(1200))
+
+
+def edge_weight(inliers: Column | str, conditioned: Column | str) -> Column:
+    """Inliers, 1 at least; a thousandth of them without good conditioning."""
+    n = F.greatest(F.lit(1.0), F.coalesce(col(inliers).cast("double"), F.lit(1.0)))
+    return F.when(F.coalesce(col(conditioned), F.lit(False)), n).otherwise(F.greatest(F.lit(0.001), n * 0.001))
+
+
+def first_rotation(*columns: str) -> Column:
+    """The first of the columns that isn't null, if it has nine finite entries."""
+    r = F.coalesce(*columns)
+    return F.when((F.size(r) == 9) & F.forall(r, is_finite), r)
+
+
+def in_bounds(first: Column | str, second: Column | str, first_count: Column | str, second_count: Column | str) -> Column:
+    """Match rows whose places are within both images."""
+    return (col(first) >= 0) & (col(first) < col(first_count)) & (col(second) >= 0) & (col(second) < col(second_count))
+
+
+def padded_box(x: Column, y: Column, width: Column, height: Column, mask_width: Column, mask_height: Column, share: float = 0.08) -> Column:
+    """(x1, y1, x2, y2) of a box with a margin of ``share``, 8 at least, within the mask; an empty box is an error."""
+    px, py = (F.greatest(F.lit(8.0), F.rint(s * share)) for s in (width, height))
+    box = F.array(F.greatest(F.lit(0.0), x - px), F.greatest(F.lit(0.0), y - py), F.least(mask_width.cast("double"), x + width + px), F.least(mask_height.cast("double"), y + height + py))
+    return F.when((width <= 0) | (height <= 0), F.raise_error(F.lit("an empty mask has no box"))).otherwise(box)
+
+
+def equals_measured(value: Column | str, measured: Column | str) -> Column:
+    """A finite number that equals a measured one exactly; false if either is missing."""
+    return F.coalesce(is_finite(value) & (col(value).cast("double") == col(measured)), F.lit(False))
+
+
+def is_count(x: Column | str) -> Column:
+    return F.coalesce(col(x) >= 0, F.lit(False))
+
+
+def list_rank(x: Column | str, order: list[str]) -> Column:
+    """Place of ``x`` in a list, from 1; 0 if it isn't there."""
+    return F.array_position(F.array(*[F.lit(o) for o in order]), col(x))
+
+
+def masked(value: Column | str, mask: Column | str, outside: int = 0) -> Column:
+    """``value`` where the mask is positive, else ``outside``."""
+    return F.when(col(mask) > 0, col(value)).otherwise(F.lit(outside))
+
+
+def without_board(mask: Column | str, board: Column | str) -> Column:
+    """255 where a mask is positive and no board evidence is; evidence only ever takes away."""
+    return F.when((col(mask) > 0) & (F.coalesce(col(board), F.lit(0)) <= 0), 255).otherwise(0)

@@ -80,3 +80,47 @@ def bind_on_key(evidence: DataFrame, *others: DataFrame, key: str = "pair_id") -
     for o in others:
         evidence = evidence.join(o, key, "left")
     return evidence
+
+
+def trajectory_outliers(df: DataFrame, ring: str, center: str, ray: str, same_ring: str, scale: float = 8.0) -> DataFrame:
+    """``df`` with is_outlier: a centre or ray jump of a same-ring pair over median + scale * max(MAD, 1e-9) of its ring.
+
+    Only finite jumps count, in the thresholds as in the flags; a missing jump
+    is none.  Medians are of a table of each ring's distinct values and counts,
+    so that no window holds a ring.
+    """
+    used = F.coalesce(F.col(same_ring), F.lit(True)) & F.col(ring).isNotNull() & F.col(center).isNotNull()
+    thresholds = None
+    for jump in (center, ray):
+        x = F.when(used & E.is_finite(jump), F.col(jump).cast("double"))
+        rows = df.select(F.col(ring).alias("r"), x.alias("x")).where("x is not null")
+        med = rows.groupBy("r").agg(F.percentile("x", F.lit(0.5)).alias("med"))
+        mad = rows.join(med, "r").groupBy("r", "med").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
+        found = mad.select(F.col("r").alias(ring), (F.col("med") + scale * F.greatest("mad", F.lit(1e-9))).alias(f"{jump}_threshold"))
+        thresholds = found if thresholds is None else thresholds.join(found, ring, "full")
+    out = df.join(thresholds, ring, "left")
+    over = [F.coalesce(E.is_finite(j) & (F.col(j) > F.col(f"{j}_threshold")), F.lit(False)) for j in (center, ray)]
+    return out.withColumn("is_outlier", used & (over[0] | over[1]))
+
+
+def translation_edges(edges: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Edges (pair_id, first, second, translation, conditioned) against camera centres: projected_scale, orthogonal_residual_fraction and direction_error_deg.
+
+    ``cameras``: name, center (3) and rotation (9, from the world).  Edges that
+    are badly conditioned, lack a camera or have no direction or distance are
+    left out.
+    """
+    known = cameras.where((F.size("center") == 3) & F.forall("center", E.is_finite) & (F.size("rotation") == 9) & F.forall("rotation", E.is_finite))
+    e = with_ends(edges.where("conditioned is distinct from false"), known)
+    e = e.where((F.size("translation") == 3) & F.forall("translation", E.is_finite)).withColumn("len", E.norm("translation")).where("len > 1e-9")
+    away = F.transform(E.matvec(E.transpose("second_rotation"), F.transform("translation", lambda x: x / F.col("len"))), lambda x: -x)
+    e = e.withColumn("away", away).withColumn("delta", F.zip_with("second_center", "first_center", lambda b, a: b - a)).withColumn("distance", E.norm("delta")).where(E.is_finite("distance") & (F.col("distance") > 1e-9))
+    e = e.withColumn("away", F.transform("away", lambda x: x / F.greatest(E.norm("away"), F.lit(1e-12)))).withColumn("projected_scale", E.dot("delta", "away"))
+    rest = E.norm(F.zip_with("delta", "away", lambda d, a: d - F.col("projected_scale") * a)) / F.col("distance")
+    return e.select("pair_id", "first", "second", F.col("distance").alias("center_distance"), "projected_scale", rest.alias("orthogonal_residual_fraction"), E.angle_deg(F.col("projected_scale") / F.col("distance")).alias("direction_error_deg"))
+
+
+def translation_summary(edges: DataFrame) -> DataFrame:
+    """One row of ``translation_edges``: their number, the 90th percentiles of error and residual, and the share of positive scales."""
+    p90 = lambda c: F.percentile(c, F.lit(0.9))
+    return edges.agg(F.count("*").alias("evaluated_edge_count"), p90("direction_error_deg").alias("direction_error_p90"), p90("orthogonal_residual_fraction").alias("orthogonal_residual_p90"), F.coalesce(F.avg((F.col("projected_scale") > 0).cast("double")), F.lit(0.0)).alias("positive_fraction"))

@@ -96,28 +96,37 @@ def _contamination_checks(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def contamination_gate(df: DataFrame) -> DataFrame:
+def contamination_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """contamination_metrics (map of fractions) and contamination_findings (map of booleans); the columns board_point_fraction and cloth_point_fraction, if there are any, must equal the metrics."""
-    return gate(df, _contamination_checks(df))
+    return gate(df, _contamination_checks(df), keep)
 
 
 def transition_gate(df: DataFrame) -> DataFrame:
-    """measured_pairs, selected_pairs, mean_coverage, mean_consistency of a ring transition."""
-    return gate(df, {
-        "pairs_measured": F.col("measured_pairs") > 0,
-        "all_pairs_measured": F.col("measured_pairs") == F.col("selected_pairs"),
-        "coverage": F.col("mean_coverage") >= 0.5,
-        "consistency": F.col("mean_consistency") >= 0.5,
-    }, [c for c in df.columns if c not in ("measured_pairs", "selected_pairs", "mean_coverage", "mean_consistency")])
-
-
-def bounds_gate(df: DataFrame) -> DataFrame:
-    """Bounds (lo, hi of each axis) within a span of the reference's, and coverage .99 or more."""
+    """measured_pairs, selected_pairs, mean_coverage, mean_consistency of a ring transition: status, diagnostic_status and acceptance_basis.
+
+    A transition passes if all its selected pairs were measured with an overlap
+    of 1 % or more.  Consistency is a diagnostic only and never decides.
+    """
+    complete = _all(F.col("selected_pairs") > 0, F.col("measured_pairs") == F.col("selected_pairs"), is_finite("mean_coverage") & F.col("mean_coverage").between(0.01, 1.0))
+    steady = complete & F.coalesce(is_finite("mean_consistency") & (F.col("mean_consistency") >= 0.5), F.lit(False))
+    return df.select(
+        *[c for c in df.columns if c not in ("measured_pairs", "selected_pairs", "mean_coverage", "mean_consistency")],
+        F.when(complete, "passed").otherwise("failed").alias("status"), F.when(steady, "passed").otherwise("below_threshold").alias("diagnostic_status"),
+        F.when(complete, "all_selected_source_z_pairs_measured_with_masked_overlap").otherwise("incomplete_or_insufficient_source_z_measurements").alias("acceptance_basis"),
+    )
+
+
+def bounds_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Bounds (lo, hi of each axis), finite and not empty, within a span of the reference's, which isn't empty either, and coverage .99 or more (1 if it is missing)."""
     checks = {}
     for a in "xyz":
-        span = F.col(f"ref_{a}_hi") - F.col(f"ref_{a}_lo")
-        checks[f"{a}_within_span"] = (F.col(f"{a}_lo") >= F.col(f"ref_{a}_lo") - span) & (F.col(f"{a}_hi") <= F.col(f"ref_{a}_hi") + span)
-    return gate(df, checks | {"coverage": F.col("coverage") >= 0.99})
+        low, high, ref_low, ref_high = (F.col(f"{k}{a}_{e}") for k in ("", "ref_") for e in ("lo", "hi"))
+        span = ref_high - ref_low
+        checks[f"{a}_finite"] = is_finite(low) & is_finite(high)
+        checks[f"{a}_reference_span"] = is_finite(span) & (span > 0)
+        checks[f"{a}_not_empty"] = high > low
+        checks[f"{a}_within_span"] = (low >= ref_low - span) & (high <= ref_high + span)
+    return gate(df, checks | {"coverage": F.coalesce("coverage", F.lit(1.0)) >= 0.99}, keep)
 
 
 def lineage_gate(df: DataFrame, hashes: list[str], expected: str | None = None) -> DataFrame:

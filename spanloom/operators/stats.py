@@ -61,3 +61,68 @@ def robust_bounds(points: DataFrame, axes: list[str], low: float = 0.001, high:
     for a in axes:
         aggs += [F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max"), F.percentile(a, F.lit(low)).alias(f"{a}_low"), F.percentile(a, F.lit(high)).alias(f"{a}_high")]
     return points.agg(*aggs)
+
+
+def database_counts(images: DataFrame, cameras: DataFrame, keypoints: DataFrame, matches: DataFrame, geometries: DataFrame, rows: str = "rows") -> DataFrame:
+    """(metric, value): counts of the tables of a match database, and sums of their ``rows``."""
+    total = lambda df: df.agg(F.coalesce(F.sum(rows), F.lit(0)).cast("bigint").alias("value"))
+    count = lambda df: df.agg(F.count("*").alias("value"))
+    parts = {
+        "image_count": count(images), "camera_count": count(cameras), "keypoint_rows": total(keypoints), "match_pair_rows": count(matches), "raw_match_rows": total(matches),
+        "verified_pair_rows": count(geometries.where(F.col(rows) > 0)), "verified_inlier_rows": total(geometries),
+    }
+    out = None
+    for name, df in parts.items():
+        row = df.select(F.lit(name).alias("metric"), "value")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def logical_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: number of rows, and a digest of them that no order of rows changes: the sum of 60 bits of each row's MD5."""
+    body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
+    bits = F.conv(F.substring(F.md5(body), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("digest"))
+
+
+def public_rows(df: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields in their order, as text; what is missing is empty."""
+    return df.select(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields])
+
+
+def pairing_summary(frames: DataFrame, pairs: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(metric, value) of a pair schedule: selected frames, pairs, frames in pairs, frames in none, and ambiguous offsets."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    parts = {
+        "selected_geometry_count": frames.agg(F.count_distinct("name").alias("value")), "schedule_pair_count": pairs.agg(F.count("*").alias("value")), "schedule_image_coverage": paired.agg(F.count("*").alias("value")),
+        "images_without_pair": frames.select("name").distinct().join(paired, "name", "left_anti").agg(F.count("*").alias("value")), "ambiguous_offset_count": offsets.agg(F.count_if("ambiguous").alias("value")),
+    }
+    out = None
+    for name, df in parts.items():
+        row = df.select(F.lit(name).alias("metric"), "value")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: The map files of a dense workspace, by folder and ending.
+MAP_FILES = {"photometric_depth_count": ("depth_maps", "photometric"), "photometric_normal_count": ("normal_maps", "photometric"), "geometric_depth_count": ("depth_maps", "geometric"), "geometric_normal_count": ("normal_maps", "geometric")}
+
+
+def map_file_counts(files: DataFrame, by: list[str], path: str = "path") -> DataFrame:
+    """Numbers of depth and normal maps of each kind among listed files."""
+    return files.groupBy(*by).agg(*[F.count_if(F.col(path).rlike(rf"(^|/)stereo/{folder}/[^/]*\.{kind}\.bin$")).alias(name) for name, (folder, kind) in MAP_FILES.items()])
+
+
+def region_means(regions: DataFrame, by: list[str], fields: list[str], least_regions: int = 8) -> DataFrame:
+    """Means of measured fractions over all regions of a group; null for a group that lacks a region or has a fraction out of 0 to 1."""
+    valid = F.lit(True)
+    for f in fields:
+        x = F.col(f).cast("double")
+        valid = valid & F.coalesce(~F.isnan(x) & x.between(0.0, 1.0), F.lit(False))
+    out = regions.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(valid).alias("valid"), *[F.avg(f).alias(f) for f in fields])
+    return out.select(*by, *[F.when(F.col("valid") & (F.col("n") == least_regions), F.col(f)).alias(f"{f}_mean") for f in fields])
+
+
+def metric_record(value: str, count: str, denominator: str, method: str, evidence: Column) -> Column:
+    """A measured metric with the hash of its evidence."""
+    return F.struct(F.col(value).cast("double").alias("value"), F.col(count).cast("bigint").alias("count"), F.col(denominator).cast("bigint").alias("denominator"), F.lit(method).alias("measurement_method"), evidence.alias("evidence_sha256"))

@@ -1,6 +1,8 @@
 """Registered queries of the evidence operators and their DuckDB equivalents."""
 
-from .oracle import ORACLE
-from .queries import QUERIES
+from . import oracle, queries, records
+
+QUERIES = queries.QUERIES | records.QUERIES
+ORACLE = oracle.ORACLE | records.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]

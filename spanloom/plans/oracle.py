@@ -34,7 +34,7 @@ SELECT l AS "left", r AS "right", round(o, 6) AS "offset", round(best, 6) AS bes
        round(CASE WHEN best = 0 AND second = 0 THEN 1.0 ELSE greatest(0.0, best - second) / greatest(abs(best), 1e-9) END, 6) AS confidence, best - second <= 0.5 AS ambiguous FROM b"""
 
 ORACLE["cycle_split"] = """WITH e AS (SELECT label % 2 AS ring, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS sig, row_number() OVER (PARTITION BY label % 2 ORDER BY vec_id) - 1 AS pos FROM embeddings),
-f AS (SELECT *, count(*) OVER (PARTITION BY ring) AS n FROM e WHERE pos < 120),
+f AS (SELECT *, count(*) OVER (PARTITION BY ring) AS n FROM e),
 b AS (SELECT DISTINCT ring, n, greatest(30, round_even(n * 0.30, 0)) AS least, least(12, greatest(5, n // 16)) AS w FROM f WHERE n >= 100),
 s AS (SELECT ring, n, w, split FROM (SELECT *, unnest(range(CAST(greatest(least, round_even(n * 0.35, 0)) AS BIGINT), CAST(least(n - least, round_even(n * 0.75, 0)) AS BIGINT) + 1)) AS split FROM b) WHERE split + w < n),
 d AS (
@@ -110,13 +110,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ref, same ORDER BY inliers DESC,
 r AS (SELECT ref, source, CAST(row_number() OVER (PARTITION BY ref ORDER BY (CASE WHEN same THEN side <= 2 ELSE side <= 1 END) DESC, same DESC, inliers DESC, source) AS INTEGER) AS rank FROM k)
 SELECT * FROM r WHERE rank <= 4"""
 
-ORACLE["exactly_once"] = """WITH w AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), e AS (SELECT DISTINCT o_orderkey AS k FROM orders),
+ORACLE["exactly_once"] = """WITH w AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) GROUP BY 1), e AS (SELECT DISTINCT o_orderkey AS k FROM orders),
 x AS (SELECT e.k AS e, w.k AS w, n FROM e FULL JOIN w ON e.k = w.k)
 SELECT count(e) AS n_expected, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_written, count(w) AS n_distinct, count(*) FILTER (w IS NULL) AS n_missing, count(*) FILTER (e IS NULL) AS n_unexpected, count(*) FILTER (n > 1) AS n_repeated,
        count(*) FILTER (w IS NULL OR e IS NULL OR n > 1) = 0 AS passed FROM x"""
 
-ORACLE["set_differences"] = """SELECT 'left' AS side, k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)
-UNION ALL SELECT 'right', k FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)"""
+ORACLE["set_differences"] = """WITH x AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), y AS (SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '5-LOW')
+SELECT 'left' AS side, k FROM (SELECT k FROM x EXCEPT SELECT k FROM y) UNION ALL SELECT 'right', k FROM (SELECT k FROM y EXCEPT SELECT k FROM x)"""
 
 ORACLE["pair_prune"] = "SELECT l_returnflag, count(*) AS rows, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1"
 
@@ -181,7 +181,7 @@ r(id, root) USING KEY (id) AS (SELECT id, id AS root FROM n UNION SELECT e.v, mi
 g AS (SELECT root, count(*) AS k FROM r GROUP BY root)
 SELECT CAST(sum(k) AS BIGINT) AS cells, count(*) AS components, round(max(k) / sum(k), 6) AS largest_fraction FROM g"""
 
-ORACLE["connected_parts"] = """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey * 2 AS u, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) * 2 + 1 AS v FROM orders WHERE o_orderpriority = '2-HIGH'),
+ORACLE["connected_parts"] = """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey * 2 AS u, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) * 2 + 1 AS v FROM orders),
 e AS (SELECT u, v FROM o UNION SELECT v, u FROM o),
 r(id, root) USING KEY (id) AS (SELECT DISTINCT u AS id, u AS root FROM e UNION SELECT e.v, min(r.root) FROM r JOIN e ON e.u = r.id JOIN recurring.r AS q ON q.id = e.v WHERE r.root < q.root GROUP BY e.v)
 SELECT root, count(*) AS size FROM r GROUP BY root"""

@@ -1,5 +1,8 @@
+import hashlib
+import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import exprs as E
@@ -51,3 +54,39 @@ def test_capture_names_in_order(spark):
 def test_hashes_and_logs(spark):
     r = one(spark, h=E.hamming(F.lit(5).cast("bigint"), F.lit(6).cast("bigint")), sha=E.is_sha256(F.lit("A" * 64)), no=E.is_sha256(F.lit(None).cast("string")), cat=E.failure_category(F.lit("CUDA error: out of memory")))
     assert r.h == 2 and r.sha and not r.no and r.cat == "memory"
+
+
+def _one(spark, expression):
+    return spark.range(1).select(expression.alias("x")).first().x
+
+
+def test_number_texts(spark):
+    for x in (0.0, 1.0, -2.5, 1234567.0, 0.00001234, 123456.0, 999999.5, 1e-4, 1e20, 100.0, 3.14159265):
+        assert _one(spark, E.number_text(F.lit(x))) == f"{x:g}"
+    assert [_one(spark, E.number_text(F.lit(x), "-")) for x in (None, "", "nan", "inf", "abc", "12.50")] == ["-", "-", "-", "-", "abc", "12.5"]
+
+
+def test_canonical_hashes(spark):
+    row = spark.createDataFrame([("é🙂\n\"", 3)], "b string, a int")
+    want = hashlib.sha256(json.dumps({"a": 3, "b": "é🙂\n\""}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert row.select(E.canonical_sha256("b", "a")).first()[0] == want
+    assert _one(spark, E.id_list_sha256(F.array(F.lit(3), F.lit(1)))) == hashlib.sha256(b"[3,1]").hexdigest()
+    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    assert _one(spark, E.schedule_sha256(F.array(pair("z", "b"), pair("a", "c")))) == hashlib.sha256(b'[["b","z"],["a","c"]]').hexdigest()
+    with pytest.raises(Exception, match="twice"):
+        _one(spark, E.schedule_sha256(F.array(pair("z", "b"), pair("b", "z"))))
+    assert _one(spark, E.cache_identity(F.lit("a" * 63), F.lit("b" * 64), F.struct(F.lit(1).alias("m")))) is None
+
+
+def test_small_rules(spark):
+    third = F.array(*[F.lit(x) for x in (0.0, 3.0, 4.0)])
+    assert _one(spark, E.unit_or_error(third)) == [0.0, 0.6, 0.8]
+    with pytest.raises(Exception, match="direction"):
+        _one(spark, E.unit_or_error(F.array(F.lit(0.0), F.lit(1e-13))))
+    assert _one(spark, E.optional_angle_deg(F.lit(-1.0))) is None and _one(spark, E.degrees_or_null(F.lit(float("nan")))) is None
+    assert _one(spark, E.edge_weight(F.lit(None).cast("int"), F.lit(True))) == 1.0 and _one(spark, E.edge_weight(F.lit(200), F.lit(None).cast("boolean"))) == 0.2
+    assert _one(spark, E.smaller_after_oom(F.lit("timeout"), F.lit(2000))) is None and _one(spark, E.smaller_after_failure(F.lit(1), F.lit("timeout"), F.lit("timeout"), F.lit(1600))) == 1200
+    assert tuple(_one(spark, E.simplification(F.lit(750_000), F.lit(10)))) == (False, None, None) and _one(spark, E.simplification(F.lit(150_000), F.lit(1 << 30))).target_faces == 100_000
+    assert [_one(spark, E.masked(F.lit(7), F.lit(m), 9)) for m in (1, 0)] == [7, 9] and [_one(spark, E.without_board(F.lit(m), F.lit(b))) for m, b in ((5, 0), (5, 3), (0, 0), (5, None))] == [255, 0, 0, 255]
+    with pytest.raises(Exception, match="empty mask"):
+        _one(spark, E.padded_box(*[F.lit(float(x)) for x in (1, 1, 0, 5, 50, 50)]))

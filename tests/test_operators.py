@@ -290,3 +290,27 @@ def test_stage_table(spark):
     assert not state.reusable(s, "a", {"x": "2"}, "cfg", {"out": "h"}).first().reusable
     done = state.complete(state.begin(s, "b", {}, ""), "b", {})
     assert [r.status for r in state.invalidate_from(done, "b").orderBy("ordinal").collect()] == ["complete", "pending", "pending"]
+
+
+def test_transition_rule(spark):
+    row = "measured_pairs int, selected_pairs int, mean_coverage double, mean_consistency double"
+    cases = [((3, 3, 0.01, 0.1), ("passed", "below_threshold")), ((3, 3, 1.0, 0.5), ("passed", "passed")), ((2, 3, 0.5, 0.9), ("failed", "below_threshold")), ((0, 0, 0.5, 0.9), ("failed", "below_threshold")), ((3, 3, float("nan"), 0.9), ("failed", "below_threshold")), ((3, 3, 0.5, float("nan")), ("passed", "below_threshold")), ((3, 3, 0.009, 0.9), ("failed", "below_threshold")), ((3, None, 0.5, 0.9), ("failed", "below_threshold"))]
+    for values, want in cases:
+        r = gates.transition_gate(spark.createDataFrame([values], row)).first()
+        assert (r.status, r.diagnostic_status) == want, values
+
+
+def test_bounds_rule(spark):
+    good = {"x_lo": 0.0, "x_hi": 1.0, "ref_x_lo": 0.0, "ref_x_hi": 1.0}
+    row = {k.replace("x", a, 1) if k[0] == "x" else k.replace("_x_", f"_{a}_"): v for a in "xyz" for k, v in good.items()} | {"coverage": 0.99}
+    changes = [({}, True), ({"coverage": None}, True), ({"coverage": 0.98}, False), ({"ref_y_hi": 0.0}, False), ({"z_hi": 0.0}, False), ({"x_hi": float("inf")}, False), ({"x_hi": 2.0}, True), ({"x_hi": 2.1}, False), ({"x_lo": None}, False)]
+    for change, want in changes:
+        values = row | change
+        df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} double" for k in values))
+        assert gates.bounds_gate(df).first().passed == want, change
+
+
+def test_trajectory_outliers(spark):
+    rows = [(i, "r", True, 1.0 + i % 3, 5.0) for i in range(20)] + [(100, "r", True, 99.0, 5.0), (101, "r", True, float("nan"), 5.0), (102, "r", False, 99.0, 99.0), (103, "r", True, 1.0, 50.0), (104, "r", True, None, 99.0), (105, None, True, 99.0, 99.0), (106, "alone", True, float("nan"), None)]
+    got = evidence.trajectory_outliers(spark.createDataFrame(rows, "k int, ring string, same boolean, c double, ray double"), "ring", "c", "ray", "same")
+    assert {r.k for r in got.where("is_outlier").collect()} == {100, 103} and got.count() == len(rows)

@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DIR).columns
+    assert QUERIES[name](spark, DIR).count() > 0
 
 
 def test_cycle_split_scores_whole_rings(spark, db):
