@@ -60,6 +60,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
 _BREAKS = re.compile("[>\"']")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 #: Elements whose class, id and role say nothing of chrome, and code, in which they are marks of syntax.
@@ -85,6 +86,10 @@ class Scanner:
             start = page.find("<", self.at)
             if start < 0:
                 return None
+            m = _PLAIN.match(page, start)
+            if m:
+                self.at = m.end()
+                return start, self.at, m[2].lower(), m[3], m[1] == "/"
             for mark, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
                 if page.startswith(mark, start):
                     end = page.find(stop, start + len(mark))
@@ -139,8 +144,10 @@ class Element:
         self.tag, self.chrome, self.named, self.sure, self.number, self.path, self.level, self.text = tag, chrome, named, sure, number, path, level, 0
 
 
-def wrappers(page: str) -> frozenset[int]:
+def wrappers(page: str, tags: list[tuple[int, int, str, bool, bool, str, int]]) -> frozenset[int]:
     """Numbers of the elements, chrome by name only, around the article or main of a page that has none elsewhere; of a page without any, those around its only h1s or over half of its text."""
+    if not any(why == "name" for *_, why, _ in tags):
+        return frozenset()
     free: set[int] = set()
     heads: list[tuple[int, ...]] = []
     mass: Counter = Counter()
@@ -150,7 +157,7 @@ def wrappers(page: str) -> frozenset[int]:
         return tuple(e.number for e in stack if e.named)
 
     found = False
-    for kind, stack, value, _ in _walk(page, frozenset()):
+    for kind, stack, value, _ in _walk(page, tags, frozenset()):
         sure = stack[-1].sure if stack else 0
         if kind == "text" and not sure:
             seen += len(value.strip())
@@ -173,7 +180,20 @@ def wrappers(page: str) -> frozenset[int]:
     return frozenset(free)
 
 
-def _walk(page: str, free: frozenset[int]) -> Iterator[tuple[str, list[Element], str, int]]:
+def tape(page: str) -> list[tuple[int, int, str, bool, bool, str, int]]:
+    """(start, end, tag, whether it stands alone, closes, why chrome, place from which to read on) of each tag of a page."""
+    out = []
+    scanner = Scanner(page)
+    while found := scanner.next():
+        start, end, tag, attributes, closes = found
+        if tag in RAW and not closes:
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
+            scanner.at = close.end() if close else len(page)
+        out.append((start, end, tag, tag in VOID or tag in RAW or attributes.endswith("/"), closes, "" if closes or not tag else _is_chrome(tag, attributes), scanner.at))
+    return out
+
+
+def _walk(page: str, tags: list[tuple[int, int, str, bool, bool, str, int]], free: frozenset[int]) -> Iterator[tuple[str, list[Element], str, int]]:
     """Events of a page, with the stack of open elements and the number of those that are chrome: ("text", text), ("open", tag), ("shut", tag) before an element leaves the stack, and ("end", tag) for an end tag.  Elements numbered in ``free`` are no chrome by name."""
     stack: list[Element] = []
     depth, at, number, code, whole = 0, 0, 0, 0, 0
@@ -188,12 +208,10 @@ def _walk(page: str, free: frozenset[int]) -> Iterator[tuple[str, list[Element],
             whole -= e.tag == "article"
 
     open_tags: Counter = Counter()
-    scanner = Scanner(page)
-    while found := scanner.next():
-        start, end, tag, attributes, closes = found
+    for start, _, tag, alone, closes, why, after in tags:
         if start > at:
             yield "text", stack, page[at:start], depth
-        at = end
+        at = after
         if not tag:
             continue
         if closes:
@@ -218,7 +236,6 @@ def _walk(page: str, free: frozenset[int]) -> Iterator[tuple[str, list[Element],
                 if stack[k].tag not in through:
                     break
         number += 1
-        why = _is_chrome(tag, attributes)
         if tag == "header" and whole:
             why = ""  # the head of an article is part of it
         chrome = bool(why) and number not in free and (why == "sure" or not code or tag == "form")
@@ -231,11 +248,7 @@ def _walk(page: str, free: frozenset[int]) -> Iterator[tuple[str, list[Element],
         code += tag in _CODE
         whole += tag == "article"
         yield "open", stack, tag, depth
-        if tag in VOID or attributes.endswith("/"):
-            yield from leave(len(stack) - 1)
-        elif tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = scanner.at = close.end() if close else len(page)
+        if alone:
             yield from leave(len(stack) - 1)
         else:
             open_tags[tag] += 1
@@ -253,12 +266,14 @@ def units(page: str) -> Iterator[tuple[str, str, str, int]]:
     where, hidden = "", 0
 
     def block() -> Iterator[tuple[str, str, str, int]]:
-        text = " ".join(entities.unescape("".join(parts)).split())
+        raw = "".join(parts)
         parts.clear()
+        text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
             yield "block", where, text, hidden
 
-    for kind, stack, value, chrome in _walk(page, wrappers(page)):
+    tags = tape(page)
+    for kind, stack, value, chrome in _walk(page, tags, wrappers(page, tags)):
         if kind == "text":
             if parts and bool(chrome) != bool(hidden):
                 yield from block()
@@ -272,7 +287,8 @@ def units(page: str) -> Iterator[tuple[str, str, str, int]]:
             if parts:
                 parts.append(" ")
         elif value not in INLINE or kind == "open" and chrome:
-            yield from block()
+            if parts:
+                yield from block()
             if kind == "open" and value not in INLINE:
                 yield "tag", stack[-1].path, value, chrome
     yield from block()
