@@ -113,16 +113,29 @@ def name_order(name: Column | str) -> list[Column]:
     return [stamp(name), F.coalesce(suffix.try_cast("int"), F.lit(0)), F.lower(basename(name))]
 
 
-def failure_category(log: Column | str) -> Column:
-    """First class of failure that a log names."""
-    text = F.lower(col(log))
-    return (
-        F.when(text.contains("out of memory") | text.contains("bad_alloc"), "memory")
-        .when(text.contains("timeout") | text.contains("timed out"), "timeout")
-        .when(text.contains("cuda"), "device")
-        .when(text.contains("no such file") | text.contains("not found"), "missing_input")
-        .otherwise("unknown")
-    )
+#: What a log says in lower case when memory or time of the device ran out, and when it can't run at all; for dense runs and for others.
+DENSE_MEMORY = ("out of memory", "cudaerrormemoryallocation", "bad_alloc", "memory allocation")
+DENSE_CAPABILITY = ("no kernel image", "requires cuda", "not compiled", "cuda driver")
+RUN_RESOURCE = ("out of memory", "cudaerrormemoryallocation", "launch timed out", "tdr", "cudaerrormemory", "bad_alloc")
+RUN_CAPABILITY = ("no kernel image", "requires cuda", "cuda driver version", "not compiled", "unknown command")
+
+
+def _says(log: Column | str, words: tuple[str, ...]) -> Column:
+    text, found = F.lower(F.coalesce(col(log), F.lit(""))), F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def dense_failure_category(log: Column | str, status: Column | str) -> Column:
+    """Why a dense run failed, by its log, then by its status."""
+    return F.when(_says(log, DENSE_MEMORY), "cuda_oom").when(_says(log, DENSE_CAPABILITY), "capability").when(col(status) == "timeout", "timeout").otherwise("runtime")
+
+
+def failure_category(log: Column | str, status: Column | str) -> Column:
+    """Why a run failed, by its log, then by its status; null for a completed one."""
+    other = F.when(_says(log, RUN_RESOURCE), "resource").when(_says(log, RUN_CAPABILITY), "capability").when(col(status) == "timeout", "timeout").otherwise("subprocess")
+    return F.when(col(status).eqNullSafe("completed"), F.lit(None)).otherwise(other)
 
 
 # Hashes ------------------------------------------------------------------

@@ -124,3 +124,35 @@ def translation_summary(edges: DataFrame) -> DataFrame:
     """One row of ``translation_edges``: their number, the 90th percentiles of error and residual, and the share of positive scales."""
     p90 = lambda c: F.percentile(c, F.lit(0.9))
     return edges.agg(F.count("*").alias("evaluated_edge_count"), p90("direction_error_deg").alias("direction_error_p90"), p90("orthogonal_residual_fraction").alias("orthogonal_residual_p90"), F.coalesce(F.avg((F.col("projected_scale") > 0).cast("double")), F.lit(0.0)).alias("positive_fraction"))
+
+
+def shared_tracks(pairs: DataFrame, observations: DataFrame) -> DataFrame:
+    """``pairs`` (first, second, ...) with shared_tracks: the tracks that both images of (image, track) observations see; 0 if there is none."""
+    seen = observations.select("image", "track").where("track is not null").distinct()
+    first, second = (seen.select(F.col("image").alias(c), "track") for c in ("first", "second"))
+    ends = pairs.select("first", "second").distinct()
+    n = ends.join(first, "first").join(second, ["second", "track"]).groupBy("first", "second").agg(F.count("*").alias("shared_tracks"))
+    return pairs.join(n, ["first", "second"], "left").withColumn("shared_tracks", F.coalesce("shared_tracks", F.lit(0)))
+
+
+def pose_delta(source: DataFrame, result: DataFrame) -> DataFrame:
+    """One row over the views of both models (name, rotation, center): their number, the greatest turn and move (infinite without any), and whether the poses are unchanged."""
+    both = source.select("name", F.col("rotation").alias("r1"), F.col("center").alias("c1")).join(result.select("name", F.col("rotation").alias("r2"), F.col("center").alias("c2")), "name")
+    inf = F.lit(float("inf"))
+    most = lambda x: F.coalesce(F.max(x), inf)
+    out = both.agg(F.count("*").alias("common_view_count"), most(E.geodesic_deg("r1", "r2")).alias("rotation_geodesic_max_deg"), most(E.norm(F.zip_with("c2", "c1", lambda b, a: b - a))).alias("center_delta_max_m"))
+    return out.withColumn("pose_field_unchanged", (F.col("common_view_count") > 0) & (F.col("rotation_geodesic_max_deg") <= 1e-5) & (F.col("center_delta_max_m") <= 1e-9))
+
+
+def conditioned_records(audit: DataFrame, classification: DataFrame) -> DataFrame:
+    """Audit rows of a pair_id with well_conditioned_calibrated of the classification (one row a pair); false if it is missing there."""
+    known = classification.select("pair_id", "well_conditioned_calibrated").where("pair_id is not null")
+    out = audit.drop("well_conditioned_calibrated").where("pair_id is not null").join(known, "pair_id", "left")
+    return out.withColumn("well_conditioned_calibrated", F.coalesce("well_conditioned_calibrated", F.lit(False)))
+
+
+def image_rings(edges: DataFrame, order: str) -> DataFrame:
+    """(name, ring) from both ends of the edges (first, ring, second, second_ring); the last edge by ``order`` decides, and of one edge its second end."""
+    end = lambda name, ring, side: F.struct(F.col(name).alias("name"), F.col(ring).alias("ring"), F.struct(F.col(order).alias("at"), F.lit(side).alias("side")).alias("at"))
+    ends = edges.select(F.explode(F.array(end("first", "ring", 0), end("second", "second_ring", 1))).alias("e")).select("e.*")
+    return ends.groupBy("name").agg(F.max_by("ring", "at").alias("ring"))

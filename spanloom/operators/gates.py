@@ -116,8 +116,7 @@ def transition_gate(df: DataFrame) -> DataFrame:
     )
 
 
-def bounds_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Bounds (lo, hi of each axis), finite and not empty, within a span of the reference's, which isn't empty either, and coverage .99 or more (1 if it is missing)."""
+def _bounds_checks() -> dict[str, Column]:
     checks = {}
     for a in "xyz":
         low, high, ref_low, ref_high = (F.col(f"{k}{a}_{e}") for k in ("", "ref_") for e in ("lo", "hi"))
@@ -126,7 +125,12 @@ def bounds_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         checks[f"{a}_reference_span"] = is_finite(span) & (span > 0)
         checks[f"{a}_not_empty"] = high > low
         checks[f"{a}_within_span"] = (low >= ref_low - span) & (high <= ref_high + span)
-    return gate(df, checks | {"coverage": F.coalesce("coverage", F.lit(1.0)) >= 0.99}, keep)
+    return checks | {"coverage": F.coalesce("coverage", F.lit(1.0)) >= 0.99}
+
+
+def bounds_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Bounds (lo, hi of each axis), finite and not empty, within a span of the reference's, which isn't empty either, and coverage .99 or more (1 if it is missing)."""
+    return gate(df, _bounds_checks(), keep)
 
 
 def lineage_gate(df: DataFrame, hashes: list[str], expected: str | None = None) -> DataFrame:
@@ -222,3 +226,92 @@ def integrity_gate(df: DataFrame) -> DataFrame:
         "positive_fraction": F.col("positive_fraction") >= 0.95,
         "orthogonal_p90": F.col("orthogonal_p90") <= 0.60,
     })
+
+
+def _solid_checks() -> dict[str, Column]:
+    return {"finite": F.col("finite_xyz_fraction") == 1.0, "spatial_rank_3": F.col("rank") == 3, "plausible_bounds": _all(*_bounds_checks().values()), "visual": F.col("visual_status") == "passed"}
+
+
+def cloud_gate(df: DataFrame, keep: list[str] | None = None, *, sparse_points: int = 6099, target: int = 60990) -> DataFrame:
+    """point_count, has_color, finite_xyz_fraction, rank, visual_status and the columns of ``bounds_gate``; quality_target_met is told but doesn't decide."""
+    met = F.coalesce(F.col("point_count") >= target, F.lit(False))
+    more = {"more_than_sparse": F.col("point_count") > sparse_points, "reference_coverage": F.coalesce("coverage", F.lit(1.0)) >= 0.99, "color": F.col("has_color")}
+    return gate(df.withColumn("quality_target_met", met), more | _solid_checks(), [*(keep or []), "quality_target_met"])
+
+
+def mesh_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """vertex_count, face_count, dominant_fraction, finite_xyz_fraction, rank, visual_status and the columns of ``bounds_gate``."""
+    return gate(df, {"vertices": F.col("vertex_count") > 0, "faces": F.col("face_count") > 0, "dominant_component": F.col("dominant_fraction") >= 0.3} | _solid_checks(), keep)
+
+
+def integrated_success(stages: DataFrame, by: list[str], first: int = 14, last: int = 17) -> DataFrame:
+    """Groups of (stage, passed): whether each stage from ``first`` to ``last`` is there and passed, in all of its rows."""
+    within = F.col("stage").between(first, last)
+    there, sound = F.count_distinct(F.when(within, F.col("stage"))), F.bool_and(F.when(within, F.coalesce("passed", F.lit(False))))
+    return stages.groupBy(*by).agg(((there == last - first + 1) & F.coalesce(sound, F.lit(False))).alias("passed"))
+
+
+def _has(column: str, *names: str) -> Column:
+    return _all(*[F.array_contains(column, n) for n in names])
+
+
+def scene_gate(df: DataFrame, keep: list[str] | None = None, *, collections: list[str], raw: str, clean: str, final: str, material: str) -> DataFrame:
+    """objects, collections and materials (arrays of names), final_vertex_count, final_face_count, sane_transforms of a scene."""
+    return gate(df, {
+        "collections": _has("collections", *collections),
+        "raw_preserved": _has("objects", raw),
+        "clean_high_present": _has("objects", clean),
+        "final_present": _has("objects", final),
+        "brass_material": _has("materials", material),
+        "nonzero_mesh": (F.col("final_vertex_count") > 0) & (F.col("final_face_count") > 0),
+        "sane_transforms": F.col("sane_transforms"),
+    }, keep)
+
+
+def export_gate(df: DataFrame, keep: list[str] | None = None, *, material: str) -> DataFrame:
+    """vertex_count, face_count, materials (array), textures_resolve, sane_bounds, normals_ok and only_final_exported of an exported file."""
+    flags = ("textures_resolve", "sane_bounds", "normals_ok", "only_final_exported")
+    return gate(df, {"mesh_nonzero": (F.col("vertex_count") > 0) & (F.col("face_count") > 0), "material_present": _has("materials", material)} | {f: F.col(f) for f in flags}, keep)
+
+
+def process_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """residuals, termination, promotion_allowed and eligible of a candidate's solver; the reasons say what is lacking."""
+    end = F.upper(F.coalesce("termination", F.lit("")))
+    return gate(df, {
+        "bundle_adjustment_not_successfully_executed": (F.col("residuals") > 0) & ~end.contains("FAILURE") & ~end.contains("NO_CONVERGENCE"),
+        "promotion_not_allowed": F.col("promotion_allowed"),
+        "full_sparse_candidate_not_eligible": F.col("eligible"),
+    }, keep)
+
+
+#: Terminations of a solver that count as success.
+CONVERGED = ("SUCCESS", "CONVERGENCE", "USER_SUCCESS")
+
+
+def adjustment_gate(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """configured, residuals and termination (a name, qualified or not) of a bundle adjustment."""
+    end = F.upper(F.element_at(F.split("termination", r"\."), -1))
+    return gate(df, {"residuals_configured": F.col("configured") > 0, "residuals_reported": F.col("residuals") > 0, "converged": end.isin(*CONVERGED)}, keep)
+
+
+def completion_class(df: DataFrame) -> DataFrame:
+    """``df`` (passed, reasons, ...) labelled as strict or best-defensible evidence; work may go on in both cases, and a failure keeps its reasons."""
+    strict = F.coalesce(F.col("passed"), F.lit(False))
+    return df.select(
+        *[c for c in df.columns if c not in ("passed", "reasons")], strict.alias("strict_gate_passed"), (~strict).alias("best_defensible"), F.lit(True).alias("continuation_allowed"),
+        F.when(strict, "dense_evidence_passed").otherwise("dense_best_defensible").alias("status"), F.coalesce("reasons", F.array().cast("array<string>")).alias("strict_failure_reasons"),
+    )
+
+
+def detached_components(df: DataFrame, keep: list[str], default: float = 0.02) -> DataFrame:
+    """face_counts (array, greatest first), second_fraction and second_max (``default`` if it is missing): a proxy that never passes, as sizes prove nothing of what a component is."""
+    fraction, limit = F.coalesce("second_fraction", F.lit(0.0)), F.coalesce("second_max", F.lit(default))
+    return df.select(*keep, F.lit(False).alias("passed"), F.coalesce(F.get("face_counts", F.lit(1)), F.lit(0)).alias("second_faces"), fraction.alias("second_fraction"), limit.alias("threshold"), (fraction <= limit).alias("fraction_proxy_passed"))
+
+
+def upper_recovery(df: DataFrame, keep: list[str]) -> DataFrame:
+    """baseline_ratio, candidate_ratio (infinite unless finite) and candidate_resolved: a candidate is promoted if it is resolved and narrower."""
+    ratio = lambda c: F.when(is_finite(c), F.col(c).cast("double")).otherwise(F.lit(float("inf")))
+    better = ratio("candidate_ratio") < ratio("baseline_ratio")
+    promote = better & F.coalesce("candidate_resolved", F.lit(False))
+    return df.select(*keep, promote.alias("promote"), F.when(promote, "upper_recovery_improved").otherwise("recovery_exhausted_unresolved").alias("status"), better.alias("ratio_improved"))

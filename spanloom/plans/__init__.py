@@ -1,8 +1,8 @@
 """Registered queries of the evidence operators and their DuckDB equivalents."""
 
-from . import oracle, queries, records
+from . import oracle, queries, records, verdicts
 
-QUERIES = queries.QUERIES | records.QUERIES
-ORACLE = oracle.ORACLE | records.ORACLE
+QUERIES = queries.QUERIES | records.QUERIES | verdicts.QUERIES
+ORACLE = oracle.ORACLE | records.ORACLE | verdicts.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -52,8 +52,8 @@ def test_capture_names_in_order(spark):
 
 
 def test_hashes_and_logs(spark):
-    r = one(spark, h=E.hamming(F.lit(5).cast("bigint"), F.lit(6).cast("bigint")), sha=E.is_sha256(F.lit("A" * 64)), no=E.is_sha256(F.lit(None).cast("string")), cat=E.failure_category(F.lit("CUDA error: out of memory")))
-    assert r.h == 2 and r.sha and not r.no and r.cat == "memory"
+    r = one(spark, h=E.hamming(F.lit(5).cast("bigint"), F.lit(6).cast("bigint")), sha=E.is_sha256(F.lit("A" * 64)), no=E.is_sha256(F.lit(None).cast("string")), cat=E.failure_category(F.lit("CUDA error: out of memory"), F.lit("failed")))
+    assert r.h == 2 and r.sha and not r.no and r.cat == "resource"
 
 
 def _one(spark, expression):
@@ -90,3 +90,10 @@ def test_small_rules(spark):
     assert [_one(spark, E.masked(F.lit(7), F.lit(m), 9)) for m in (1, 0)] == [7, 9] and [_one(spark, E.without_board(F.lit(m), F.lit(b))) for m, b in ((5, 0), (5, 3), (0, 0), (5, None))] == [255, 0, 0, 255]
     with pytest.raises(Exception, match="empty mask"):
         _one(spark, E.padded_box(*[F.lit(float(x)) for x in (1, 1, 0, 5, 50, 50)]))
+
+
+def test_failure_categories(spark):
+    rows = [("x Bad_Alloc", "failed", "cuda_oom", "resource"), ("launch timed out", "timeout", "timeout", "resource"), ("CUDA driver old", "failed", "capability", "subprocess"), ("unknown command", "failed", "runtime", "capability"), (None, "timeout", "timeout", "timeout"), (None, None, "runtime", "subprocess"), ("out of memory", "completed", "cuda_oom", None)]
+    df = spark.createDataFrame(rows, "log string, status string, dense string, run string")
+    for r in df.withColumns({"d": E.dense_failure_category("log", "status"), "f": E.failure_category("log", "status")}).collect():
+        assert (r.d, r.f) == (r.dense, r.run), r

@@ -314,3 +314,22 @@ def test_trajectory_outliers(spark):
     rows = [(i, "r", True, 1.0 + i % 3, 5.0) for i in range(20)] + [(100, "r", True, 99.0, 5.0), (101, "r", True, float("nan"), 5.0), (102, "r", False, 99.0, 99.0), (103, "r", True, 1.0, 50.0), (104, "r", True, None, 99.0), (105, None, True, 99.0, 99.0), (106, "alone", True, float("nan"), None)]
     got = evidence.trajectory_outliers(spark.createDataFrame(rows, "k int, ring string, same boolean, c double, ray double"), "ring", "c", "ray", "same")
     assert {r.k for r in got.where("is_outlier").collect()} == {100, 103} and got.count() == len(rows)
+
+
+def test_finishing_gates(spark):
+    nothing = spark.createDataFrame([(1, None, None, None, None, None)], "k int, residuals int, configured int, termination string, promotion_allowed boolean, eligible boolean")
+    assert gates.process_gate(nothing, ["k"]).first().reasons == ["bundle_adjustment_not_successfully_executed", "promotion_not_allowed", "full_sparse_candidate_not_eligible"]
+    assert not gates.adjustment_gate(nothing).first().passed
+    nan = float("nan")
+    ratios = spark.createDataFrame([(1, 0.9, 0.8, True), (2, 0.9, 0.8, False), (3, nan, 0.8, True), (4, 0.9, nan, True), (5, None, None, True)], "k int, baseline_ratio double, candidate_ratio double, candidate_resolved boolean")
+    assert [r.promote for r in gates.upper_recovery(ratios, ["k"]).orderBy("k").collect()] == [True, False, True, False, False]
+    stages = spark.createDataFrame([("a", s, True) for s in range(14, 18)] + [("b", s, True) for s in (14, 15, 16)] + [("c", s, s != 15) for s in range(14, 18)] + [("d", 3, True)], "run string, stage int, passed boolean")
+    assert {r.run: r.passed for r in gates.integrated_success(stages, ["run"]).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_pose_delta_of_nothing(spark):
+    none = spark.createDataFrame([], "name string, rotation array<double>, center array<double>")
+    r = evidence.pose_delta(none, none).first()
+    assert (r.common_view_count, r.rotation_geodesic_max_deg, r.pose_field_unchanged) == (0, float("inf"), False)
+    eye = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [1.0, 2.0, 3.0])], none.schema)
+    assert evidence.pose_delta(eye, eye).first().pose_field_unchanged
