@@ -374,7 +374,7 @@ def _counts(texts: DataFrame) -> np.ndarray:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             data, offsets = vt.buffers(batch["t"])
-            for _, _, chunk, own in vt.chunks(data, offsets):
+            for _, _, chunk, own in vt.chunks(data, offsets, UNIT):
                 total += np.bincount(cells(_words(chunk, own)[1]), minlength=CELLS)
         for k in range(ranges):
             part = total[k * size : (k + 1) * size]

@@ -61,8 +61,9 @@ def needed(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of rows: the sorted distinct shingle hashes, row after row, and the offset of each row."""
     data, offsets = vt.buffers(column)
-    for first, last, chunk, own in vt.chunks(vt.LOWER[data], offsets):
-        start, end, row = vt.runs(vt.ITEM[chunk], own)
+    for first, last, chunk, own in vt.chunks(data, offsets):
+        chunk, member = vt.item_bytes(chunk)
+        start, end, row = vt.runs(member, own)
         hashes, of = vt.windows(vt.span_hashes(chunk, start, end), row, width)
         order = np.lexsort((hashes, of))
         hashes, of = hashes[order], of[order]
@@ -102,6 +103,7 @@ def _sketch(width: int):
                 counts.append(size)
                 sigs += [made[i].tobytes() if size[i] else None for i in range(len(size))]
             yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(sigs, pa.binary())], fields=list(kind))
+        vt.give_back()
 
     return sketch
 
@@ -123,6 +125,7 @@ def _set_bytes(width: int):
     def set_bytes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             yield pa.array([hashes[at[i] : at[i + 1]].tobytes() for hashes, at in shingle_sets(column, width) for i in range(len(at) - 1)], pa.binary())
+        vt.give_back()
 
     return set_bytes
 

@@ -195,6 +195,7 @@ def _scorer(model: tuple[np.ndarray, float, float] | None):
                 parts["p"].append(1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))))
             whole = {k: np.concatenate(v) if v else np.zeros(0) for k, v in parts.items()}
             yield pa.StructArray.from_arrays([*(pa.array(whole[k], pa.int64()) for k in names), pa.array(whole["p"], pa.float64())], names=[*names, "p_good"])
+        vt.give_back()
 
     return score
 
