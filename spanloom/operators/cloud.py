@@ -157,3 +157,11 @@ def keypoints_in_mask(points: DataFrame, mask: DataFrame, boundary: DataFrame |
     if boundary is not None:
         p = p.join(boundary.select("image", "px", "py"), ["image", "px", "py"], "left_anti")
     return p.drop("px", "py")
+
+
+def band_evidence(points: DataFrame) -> DataFrame:
+    """Number and supported share of points (h, supported) in each region; a region without points has zeros."""
+    ok = F.coalesce(F.col("supported"), F.lit(False)).cast("double")
+    regions = regions_table(points.sparkSession)
+    found = points.join(F.broadcast(regions), F.col("h").between(F.col("low"), F.col("high"))).groupBy("region").agg(F.count("*").alias("point_count"), F.avg(ok).alias("supported_fraction"))
+    return regions.join(found, "region", "left").fillna({"point_count": 0, "supported_fraction": 0.0})

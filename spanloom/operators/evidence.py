@@ -156,3 +156,31 @@ def image_rings(edges: DataFrame, order: str) -> DataFrame:
     end = lambda name, ring, side: F.struct(F.col(name).alias("name"), F.col(ring).alias("ring"), F.struct(F.col(order).alias("at"), F.lit(side).alias("side")).alias("at"))
     ends = edges.select(F.explode(F.array(end("first", "ring", 0), end("second", "second_ring", 1))).alias("e")).select("e.*")
     return ends.groupBy("name").agg(F.max_by("ring", "at").alias("ring"))
+
+
+def verified_support(geometries: DataFrame, images: DataFrame) -> DataFrame:
+    """(first, second, inliers) by names in order, from geometries (pair_id, inliers) and images (image_id, name); pairs of unknown images are left out and missing inliers are 0."""
+    pairs = geometries.select(E.decode_pair_id("pair_id").alias("p"), F.coalesce("inliers", F.lit(0)).alias("inliers")).select(F.col("p.first").alias("i"), F.col("p.second").alias("j"), "inliers")
+    named = with_ends(pairs, images, first="i", second="j", key="image_id")
+    return named.select(F.least("first_name", "second_name").alias("first"), F.greatest("first_name", "second_name").alias("second"), "inliers")
+
+
+def verified_graph(pairs: DataFrame, support: DataFrame, rings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges both ways (ref, source, inliers, same_ring) of pairs (first, second) with verified support, and what is wrong as (problem, first, second).
+
+    ``rings`` (name, ring) lists the registered views.  Wrong are pairs of an
+    unknown view or of one view with itself, pairs without inliers, and views
+    without an edge.
+    """
+    low, high = F.least("first", "second"), F.greatest("first", "second")
+    p = with_ends(pairs.select("first", "second"), rings.withColumn("known", F.lit(True)), "left")
+    known = F.col("first_known").isNotNull() & F.col("second_known").isNotNull() & (F.col("first") != F.col("second"))
+    best = support.groupBy(F.col("first").alias("low"), F.col("second").alias("high")).agg(F.max("inliers").alias("inliers"))
+    p = p.withColumns({"known": known, "low": low, "high": high}).join(best, ["low", "high"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)))
+    sound = p.where(F.col("known") & (F.col("inliers") > 0))
+    way = lambda a, b: F.struct(F.col(a).alias("ref"), F.col(b).alias("source"))
+    edges = sound.select(F.explode(F.array(way("first", "second"), way("second", "first"))).alias("e"), "inliers", F.col("first_ring").eqNullSafe(F.col("second_ring")).alias("same_ring")).select("e.*", "inliers", "same_ring").distinct()
+    problem = F.when(~F.col("known"), "unknown_or_self").otherwise("unsupported")
+    wrong = p.where(~F.col("known") | (F.col("inliers") <= 0)).select(problem.alias("problem"), "first", "second")
+    alone = rings.select(F.col("name").alias("ref")).join(edges.select("ref").distinct(), "ref", "left_anti")
+    return edges, wrong.unionByName(alone.select(F.lit("isolated").alias("problem"), F.col("ref").alias("first"), F.lit(None).cast(wrong.schema["second"].dataType).alias("second")))

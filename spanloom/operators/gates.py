@@ -315,3 +315,28 @@ def upper_recovery(df: DataFrame, keep: list[str]) -> DataFrame:
     better = ratio("candidate_ratio") < ratio("baseline_ratio")
     promote = better & F.coalesce("candidate_resolved", F.lit(False))
     return df.select(*keep, promote.alias("promote"), F.when(promote, "upper_recovery_improved").otherwise("recovery_exhausted_unresolved").alias("status"), better.alias("ratio_improved"))
+
+
+#: Checks that a model's provenance and its set of images need, and the number of images.
+PROVENANCE_CHECKS = ("stable_model_hash_bound", "sqlite_snapshot_lineage_bound", "cross_ring_graph_connected")
+EXACT_CHECKS = ("registered_image_set_exact", "single_coherent_model")
+EXACT_IMAGES = 372
+
+
+def defensible_candidate(df: DataFrame, keep: list[str], images: int = EXACT_IMAGES) -> DataFrame:
+    """registered_images, model_count, gate_checks (map of booleans), rotation_failures, trajectory_failures, independent_graph, constructed_pairwise_tracks (true if missing) and process_valid (true if the candidate has no solver).
+
+    The candidate is defensible if its model is exact, its poses and
+    trajectories are clean, its provenance is clean and its solver is valid;
+    the strict gate's failed checks are told by name, in order.
+    """
+    named = lambda names: _all(*[_value("gate_checks", k) for k in names])
+    exact = _all(F.col("registered_images") == images, F.col("model_count") == 1, named(EXACT_CHECKS))
+    clean = (F.coalesce("rotation_failures", F.lit(0)) == 0) & (F.coalesce("trajectory_failures", F.lit(0)) == 0)
+    sound = _all(F.col("independent_graph"), ~F.col("constructed_pairwise_tracks"), named(PROVENANCE_CHECKS))
+    failed = F.array_sort(F.map_keys(F.map_filter("gate_checks", lambda _, v: ~F.coalesce(v, F.lit(False)))))
+    process = F.coalesce("process_valid", F.lit(True))
+    return df.select(
+        *keep, exact.alias("exact_model"), clean.alias("pose_and_trajectory_clean"), sound.alias("provenance_clean"), process.alias("process_valid"),
+        F.coalesce(failed, F.array().cast("array<string>")).alias("strict_gate_failures"), (exact & clean & sound & process).alias("defensible"),
+    )

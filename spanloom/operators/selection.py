@@ -53,3 +53,11 @@ def even_sample(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     ranked, n = global_positions(df, order)
     places = df.sparkSession.range(1).select(F.explode(even_positions(F.lit(n).cast("bigint"), k)).alias("pos")) if n else df.sparkSession.createDataFrame([], "pos bigint")
     return ranked.join(F.broadcast(places), "pos")
+
+
+def verified_sources(edges: DataFrame, most: int = 6) -> DataFrame:
+    """(ref, source, rank): the strongest source of the same ring, the strongest of another, then all others by inliers and name."""
+    side = Window.partitionBy("ref", "same_ring").orderBy(F.desc("inliers"), "source")
+    place = F.when(F.row_number().over(side) > 1, 2).when(F.col("same_ring"), 0).otherwise(1)
+    rank = F.row_number().over(Window.partitionBy("ref").orderBy("place", F.desc("inliers"), "source"))
+    return edges.withColumn("place", place).withColumn("rank", rank).where(F.col("rank") <= most).select("ref", "source", "rank")

@@ -126,3 +126,43 @@ def region_means(regions: DataFrame, by: list[str], fields: list[str], least_reg
 def metric_record(value: str, count: str, denominator: str, method: str, evidence: Column) -> Column:
     """A measured metric with the hash of its evidence."""
     return F.struct(F.col(value).cast("double").alias("value"), F.col(count).cast("bigint").alias("count"), F.col(denominator).cast("bigint").alias("denominator"), F.lit(method).alias("measurement_method"), evidence.alias("evidence_sha256"))
+
+
+def _finite(*columns: Column) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    return out
+
+
+def model_summary(images: DataFrame, points: DataFrame, observations: DataFrame) -> DataFrame:
+    """One row on a sparse model: images (ring, registered, x, y, z of the centre), points (x, y, z) and observations.
+
+    Bounds are of finite points and null without any; a trajectory is coherent
+    if every ring with a finite centre has three or more.
+    """
+    place = [F.col(a).cast("double") for a in "xyz"]
+    one = F.lit(1).alias("one")
+    total = images.agg(F.count("*").alias("total_images"), F.count_if("registered").alias("registered_images"), one)
+    bounds = [f(F.when(_finite(*place), c)).alias(f"{a}_{f.__name__}") for a, c in zip("xyz", place, strict=True) for f in (F.min, F.max)]
+    cloud = points.agg(F.count("*").alias("sparse_points"), F.count_if(_finite(*place)).alias("finite_sparse_points"), *bounds, one)
+    rings = images.where("registered").where(_finite(*place)).groupBy(F.coalesce("ring", F.lit("unknown")).alias("ring")).count()
+    rings = rings.agg(F.count("*").alias("trajectory_ring_count"), F.coalesce(F.min("count") >= 3, F.lit(False)).alias("trajectory_coherent_candidate"), one)
+    out = total.join(F.broadcast(cloud), "one").join(F.broadcast(rings), "one").join(F.broadcast(observations.agg(F.count("*").alias("observations"), one)), "one").drop("one")
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return out.withColumns({"registration_fraction": share("registered_images", "total_images"), "mean_track_length": share("observations", "sparse_points"), "mean_observations_per_image": share("observations", "registered_images")})
+
+
+def negative_evidence(manifest: DataFrame, records: DataFrame, passes: list[str], rings: list[str], *, role: str = "empty_board", deferred: str = "deferred_until_registered_empty_reference") -> DataFrame:
+    """(kind, name, n, least_frame, greatest_frame): frames of each approved pass in the manifest (role, pass_id, frame), numbers of each refinement status of the records (ring, status), and what follows from them.
+
+    A pass without frames has 0; a missing status is ``missing``.
+    """
+    frames = manifest.where((F.col("role") == role) & F.col("pass_id").isin(*passes)).groupBy(F.col("pass_id").alias("name")).agg(F.count("*").alias("n"), F.min("frame").cast("bigint").alias("least_frame"), F.max("frame").cast("bigint").alias("greatest_frame"))
+    listed = manifest.sparkSession.createDataFrame([(p,) for p in passes], "name string")
+    frames = listed.join(frames, "name", "left").fillna({"n": 0}).select(F.lit("pass").alias("kind"), "name", "n", "least_frame", "greatest_frame")
+    none = F.lit(None).cast("bigint")
+    states = records.where(F.col("ring").isin(*rings)).groupBy(F.coalesce("status", F.lit("missing")).alias("name")).agg(F.count("*").alias("n"))
+    status = F.when(F.count_if(F.col("name") == deferred) > 0, deferred).otherwise("not_evaluable")
+    shape = lambda kind, df: df.select(F.lit(kind).alias("kind"), "name", "n", none.alias("least_frame"), none.alias("greatest_frame"))
+    return frames.unionByName(shape("status", states)).unionByName(shape("result", states.agg(status.alias("name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))))
