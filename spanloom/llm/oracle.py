@@ -124,3 +124,40 @@ SELECT conv_id, part, participant, string_agg(head || body || chr(10), '' ORDER
        coalesce(string_agg(concat_ws(':', CAST(stop - length(body) AS BIGINT), CAST(stop AS BIGINT)), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS spans, count(*) AS n_turns
 FROM k GROUP BY conv_id, part, participant
 """
+
+#: CRC-32 of ASCII text by a table that is made from its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+
+
+def _crc(text: str, table: str = "crc.t") -> str:
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars"))) + " || {})"
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, lang, leaf, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, claim
+  FROM (SELECT doc_id, lang, {_LEAF.format(_field("text"))} AS leaf, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_LEAF.format(_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} END AS claim
+        FROM documents, crc)),
+up AS (SELECT lang, 0 AS lvl, i, leaf AS h, n FROM d
+  UNION ALL SELECT lang, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM up WHERE n > 1 GROUP BY lang, lvl, i // 8),
+subs AS (SELECT lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, i, h, n FROM subs UNION ALL SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM top WHERE n > 1 GROUP BY lvl, i // 8),
+runs AS (SELECT false AS up2, lang, lvl, i // 8 AS run, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY lang, lvl, i // 8
+  UNION ALL SELECT true, NULL, lvl, i // 8, list(h ORDER BY i) FROM top WHERE n > 1 GROUP BY lvl, i // 8),
+walk AS (SELECT row_number() OVER () AS rid, doc_id, lang, leaf, coalesce(claim, leaf) AS f, '' AS proof, false AS up2, 0 AS lvl, i, n FROM d
+  UNION ALL
+  SELECT w.rid, w.doc_id, w.lang, w.leaf, CASE WHEN w.n > 1 THEN sha256(array_to_string(hs[:w.i % 8], '') || w.f || array_to_string(hs[w.i % 8 + 2:], '')) ELSE w.f END,
+         CASE WHEN w.n > 1 THEN w.proof || array_to_string(hs[:w.i % 8], '') || array_to_string(hs[w.i % 8 + 2:], '') ELSE w.proof END,
+         CASE WHEN w.n > 1 THEN w.up2 ELSE true END, CASE WHEN w.n > 1 THEN w.lvl + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.i // 8 ELSE s.i END, CASE WHEN w.n > 1 THEN (w.n + 7) // 8 ELSE s.n END
+  FROM walk w LEFT JOIN runs r ON w.n > 1 AND r.up2 = w.up2 AND (w.up2 OR r.lang IS NOT DISTINCT FROM w.lang) AND r.lvl = w.lvl AND r.run = w.i // 8
+              LEFT JOIN subs s ON s.lang IS NOT DISTINCT FROM w.lang
+  WHERE w.n > 1 OR NOT w.up2)
+SELECT w.doc_id, w.leaf, s.h AS subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.f AS folded_root, w.f = t.h AS verified
+FROM walk w JOIN subs s ON s.lang IS NOT DISTINCT FROM w.lang, (SELECT h FROM top WHERE n = 1) t
+WHERE w.up2 AND w.n = 1
+"""

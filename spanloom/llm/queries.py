@@ -11,10 +11,12 @@ from .html_extract import extract_main_text
 from .langid import held_out, learn, predict
 from .licenses import scan_licences
 from .line_dedup import dedup_lines
+from .merkle import leaf_hash, merkle_manifest
 from .mixing import mix
 from .ngram_join import similar_documents
 from .quality import judge_quality
 from .secrets import BASE_RULES, scan_secrets, spans_text
+from .words import lower_ascii
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"quality.{c}") for c in q])
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims are the rows as they are, but for a third of them in whose text A-Z are lower case."""
+    docs = _read(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    claim = [*head, F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))]
+    return merkle_manifest(docs, [*head, F.col("text")], claim=claim, paths=False).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licence_scan": op2_licence_scan,
@@ -95,4 +106,5 @@ QUERIES = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_html_extract": op9_html_extract,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
