@@ -161,3 +161,52 @@ SELECT w.doc_id, w.leaf, s.h AS subroot, t.h AS root, sha256(w.proof) AS proof_s
 FROM walk w JOIN subs s ON s.lang IS NOT DISTINCT FROM w.lang, (SELECT h FROM top WHERE n = 1) t
 WHERE w.up2 AND w.n = 1
 """
+
+
+def _spoken(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), ' ')"
+
+
+# The rest of a conversation from each state (0 nothing, 1 s, 2 u, 3 a put out last) is a pair of price and audit; a turn is
+# put before it, then inserts before that.  Of a list of pairs the least is that of the least price and then audit.
+def _least(*options: str) -> str:
+    return f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))"
+
+
+def _put(letter: str, price: str, rest: str) -> str:
+    return f"{{'c': {rest}.c + {price}, 'e': '{letter}' || {rest}.e}}"
+
+
+def _state(k: int) -> str:
+    steps = {0: (("s", 2), ("u", 3)), 1: (("u", 3),), 2: (("a", 4),), 3: (("u", 3),)}[k]
+    keeps = [f"CASE WHEN NOT x.g AND x.i = '{i}' THEN {_put('K', 'x.m', f'acc[{at}]')} END" for i, at in steps]
+    reroles = [f"CASE WHEN NOT x.g THEN {_put('R', 'x.m + 2', f'acc[{at}]')} END" for i, at in steps if i != "s"]
+    return _least(_put("D", "3", f"acc[{k + 1}]"), *keeps, *reroles)
+
+
+# An insert leads from state 2 to 3 and from any other to 2; two in a row are never better than none but at the end.
+_TURN = f"list_transform([[{', '.join(_state(k) for k in range(4))}]], lambda w: [{_least('w[1]', _put('I', '2', 'w[3]'))}, {_least('w[2]', _put('I', '2', 'w[3]'))}, {_least('w[3]', _put('I', '2', 'w[4]'))}, {_least('w[4]', _put('I', '2', 'w[3]'))}])[1]"
+ORACLE["op13_conversation_repair"] = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+k AS (SELECT conv_id, turn, {_spoken("role")} AS role, {_spoken("text")} AS text, {_crc(f"({_spoken('conv_id')} || ':' || {_spoken('turn')})")} % 20 AS kind FROM conversations, crc),
+dmg AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS p, left(role, 1) AS i FROM dmg),
+f AS (SELECT conv_id, turn, role, text, p, i,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i NOT IN ('su', 'ua', 'au') AS wrong
+  FROM pl),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (wrong) AS illegal, list({{'g': fault IN (1, 2), 'm': CASE WHEN fault = 3 THEN 1 ELSE 0 END, 'i': i, 'role': role, 'text': text}} ORDER BY p) AS t FROM f GROUP BY conv_id),
+best AS (SELECT *, list_reduce(list_reverse(t), lambda acc, x: {_TURN}, [{{'c': 0, 'e': ''}}, {{'c': 4, 'e': 'II'}}, {{'c': 2, 'e': 'I'}}, {{'c': 0, 'e': ''}}])[1] AS r FROM c),
+made AS (SELECT *, list_reduce(string_split(r.e, ''), lambda acc, e: CASE e
+      WHEN 'D' THEN {{'n': acc.n + 1, 's': acc.s, 'o': acc.o}}
+      WHEN 'I' THEN {{'n': acc.n, 's': CASE acc.s WHEN 'u' THEN 'a' ELSE 'u' END, 'o': list_append(acc.o, CASE acc.s WHEN 'u' THEN 'assistant:' ELSE 'user:' END)}}
+      WHEN 'K' THEN {{'n': acc.n + 1, 's': t[acc.n].i, 'o': list_append(acc.o, t[acc.n].role || ':' || t[acc.n].text)}}
+      WHEN 'R' THEN {{'n': acc.n + 1, 's': CASE acc.s WHEN 'u' THEN 'a' ELSE 'u' END, 'o': list_append(acc.o, CASE acc.s WHEN 'u' THEN 'assistant:' ELSE 'user:' END || t[acc.n].text)}}
+      ELSE acc END, {{'n': CAST(1 AS BIGINT), 's': '', 'o': CAST([] AS VARCHAR[])}}) AS w FROM best)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(r.c, 0) AS BIGINT) AS cost, coalesce(r.e, '') AS audit, sha256(coalesce(array_to_string(w.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN made ON o.conv_id IS NOT DISTINCT FROM made.conv_id
+"""

@@ -15,6 +15,7 @@ from .merkle import leaf_hash, merkle_manifest
 from .mixing import mix
 from .ngram_join import similar_documents
 from .quality import judge_quality
+from .repair import conversation_hashes, damage, repair_conversations
 from .secrets import BASE_RULES, scan_secrets, spans_text
 from .words import lower_ascii
 
@@ -95,6 +96,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs, [*head, F.col("text")], claim=claim, paths=False).withColumnRenamed("id", "doc_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: faults, cost and audit of its repair, and the hash of the repaired one; zeros if damage left none of its turns."""
+    turns = _read(spark, sf_dir, "conversations")
+    report, repaired = repair_conversations(damage(turns))
+    out = turns.select("conv_id").distinct()
+    for part in (report, conversation_hashes(repaired)):
+        part = part.withColumnRenamed("conv", "pconv")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col("pconv")), "left").drop("pconv")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licence_scan": op2_licence_scan,
@@ -107,4 +120,5 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
