@@ -17,6 +17,8 @@ from .ngram_join import similar_documents
 from .quality import judge_quality
 from .repair import conversation_hashes, damage, repair_conversations
 from .secrets import BASE_RULES, scan_secrets, spans_text
+from .subword import held_out as unlearned
+from .subword import score_quality, train
 from .words import lower_ascii
 
 
@@ -96,6 +98,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs, [*head, F.col("text")], claim=claim, paths=False).withColumnRenamed("id", "doc_id")
 
 
+def op12_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, train(docs, _read(spark, sf_dir, "labels")))
+    return out.select("doc_id", unlearned(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: faults, cost and audit of its repair, and the hash of the repaired one; zeros if damage left none of its turns."""
     turns = _read(spark, sf_dir, "conversations")
@@ -120,5 +128,6 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_subword_quality": op12_subword_quality,
     "op13_conversation_repair": op13_conversation_repair,
 }
