@@ -8,8 +8,8 @@ outputs and a softmax give the probability of each label.
 
 The model is fitted by stochastic gradient descent in NumPy on at most
 ``most_rows`` labelled rows of each label, those of the least hash, so the fit
-is the same at every size and in every run.  The rows are dealt into
-``SHARDS``; in each of ``ROUNDS`` rounds each shard goes on by itself from the
+is the same at every size and in every run.  The rows are dealt into shards of
+about ``SHARD_ROWS``; in each of ``ROUNDS`` rounds each shard goes on by itself from the
 common model in a task of its own, row by row as they are read, and the changes
 are averaged over the shards that touched a vector.  As mean and outputs are
 linear, a document's score is the mean of one number for each feature, which is
@@ -34,7 +34,9 @@ BITS, WIDTH = 16, 8
 CELLS = 1 << BITS
 #: Labelled rows of each label that the fit uses at most.
 MOST_ROWS = 2500
-SHARDS, ROUNDS, RATE = 4, 6, 0.25
+ROUNDS, RATE = 6, 0.25
+#: Rows that one task goes through in a round, about.
+SHARD_ROWS = 1250
 #: Squares that each vector begins with; so much that those of rare features move little.
 START = 1e-2
 #: Runs of so many characters.
@@ -169,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if len(used) < 2:
         return Model(np.zeros(CELLS, np.float32), float(np.log(share / (1 - share))))
     weight = {y: sum(used.values()) / (2 * n) for y, n in used.items()}
-    dealt = made.withColumn("shard", F.pmod("order", F.lit(SHARDS)).cast("int"))
+    shards = -(-sum(used.values()) // SHARD_ROWS)
+    dealt = made.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
     vectors, outputs, squares = _begin()
     spark = docs.sparkSession
     for k in range(rounds):
@@ -198,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield changes()
 
         # The order of rows differs from round to round, and is the same in every run.
-        turn = dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(k), "order"), "order")
+        turn = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(k), "order"), "order")
         found = turn.mapInArrow(go_on, "cells binary, vectors binary, outputs binary, squares binary").collect()  # a row for each shard
         common.unpersist()
         times, change, sums, out = np.zeros(CELLS, np.float32), np.zeros_like(vectors), np.zeros(CELLS, np.float32), np.zeros_like(outputs)
