@@ -1,8 +1,8 @@
 """Registered queries of the evidence operators and their DuckDB equivalents."""
 
-from . import models, oracle, queries, records, verdicts
+from . import models, oracle, queries, rasters, records, verdicts
 
-QUERIES = queries.QUERIES | records.QUERIES | verdicts.QUERIES | models.QUERIES
-ORACLE = oracle.ORACLE | records.ORACLE | verdicts.ORACLE | models.ORACLE
+QUERIES = queries.QUERIES | records.QUERIES | verdicts.QUERIES | models.QUERIES | rasters.QUERIES
+ORACLE = oracle.ORACLE | records.ORACLE | verdicts.ORACLE | models.ORACLE | rasters.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
