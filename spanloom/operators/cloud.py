@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import is_finite
 from .components import components
 
 #: Closed, overlapping intervals of normalised height.
@@ -56,11 +57,17 @@ def region_evidence(points: DataFrame, *, bins: int = 8) -> DataFrame:
 
 
 def bottom_escape(points: DataFrame, height: str, outside: str, q: float = 0.15, least_views: int = 2) -> DataFrame:
-    """One row: the height threshold, the share of points with an escape in any view, and of low ones with escapes in several."""
-    t = points.agg(F.percentile(height, F.lit(q)).alias("low_threshold"))
+    """One row: the height threshold, the share of points with an escape in any view, and of low ones with escapes in several.
+
+    Without points the threshold is 0 and both shares are 1; heights that are
+    not finite and negative counts are errors.
+    """
+    wrong = F.count_if(~is_finite(height) | ~F.coalesce(F.col(outside) >= 0, F.lit(False)))
+    low = F.when(wrong > 0, F.raise_error(F.lit("heights must be finite and counts not negative"))).otherwise(F.coalesce(F.percentile(height, F.lit(q)), F.lit(0.0)))
+    t = points.agg(low.alias("low_threshold"))
     rows = points.withColumn("__one", F.lit(1)).join(F.broadcast(t.withColumn("__one", F.lit(1))), "__one")
     low = F.col(height) <= F.col("low_threshold")
-    return rows.agg(F.max("low_threshold").alias("low_threshold"), F.coalesce(F.avg((F.col(outside) > 0).cast("double")), F.lit(1.0)).alias("escape_fraction"), F.coalesce(F.avg((low & (F.col(outside) >= least_views)).cast("double")), F.lit(1.0)).alias("webbing_fraction"))
+    return rows.agg(F.coalesce(F.max("low_threshold"), F.lit(0.0)).alias("low_threshold"), F.coalesce(F.avg((F.col(outside) > 0).cast("double")), F.lit(1.0)).alias("escape_fraction"), F.coalesce(F.avg((low & (F.col(outside) >= least_views)).cast("double")), F.lit(1.0)).alias("webbing_fraction"))
 
 
 def contamination(points: DataFrame, cameras: DataFrame, inside: Column, bottom: Column) -> DataFrame:
@@ -150,8 +157,6 @@ def mask_fraction(points: DataFrame, mask: DataFrame) -> DataFrame:
 
 def keypoints_in_mask(points: DataFrame, mask: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Keypoints (image, idx, x, y) that are finite and whose cell (cut down) is in the mask and not in the boundary."""
-    from ..functions.exprs import is_finite
-
     p = points.where(is_finite("x") & is_finite("y")).withColumns({"px": F.floor("x").cast("bigint"), "py": F.floor("y").cast("bigint")})
     p = p.join(mask.select("image", "px", "py").distinct(), ["image", "px", "py"], "left_semi")
     if boundary is not None:

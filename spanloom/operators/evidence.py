@@ -85,21 +85,23 @@ def bind_on_key(evidence: DataFrame, *others: DataFrame, key: str = "pair_id") -
 def trajectory_outliers(df: DataFrame, ring: str, center: str, ray: str, same_ring: str, scale: float = 8.0) -> DataFrame:
     """``df`` with is_outlier: a centre or ray jump of a same-ring pair over median + scale * max(MAD, 1e-9) of its ring.
 
-    Only finite jumps count, in the thresholds as in the flags; a missing jump
-    is none.  Medians are of a table of each ring's distinct values and counts,
-    so that no window holds a ring.
+    Thresholds of centre jumps are of the finite ones; an infinite jump is over
+    any threshold, NaN is over none and a missing jump is none.  Of ray jumps
+    all that are there count, so a ring with a NaN among them has no ray
+    threshold.  Medians are of a table of each ring's distinct values and
+    counts, so that no window holds a ring.
     """
     used = F.coalesce(F.col(same_ring), F.lit(True)) & F.col(ring).isNotNull() & F.col(center).isNotNull()
     thresholds = None
-    for jump in (center, ray):
-        x = F.when(used & E.is_finite(jump), F.col(jump).cast("double"))
-        rows = df.select(F.col(ring).alias("r"), x.alias("x")).where("x is not null")
-        med = rows.groupBy("r").agg(F.percentile("x", F.lit(0.5)).alias("med"))
-        mad = rows.join(med, "r").groupBy("r", "med").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
-        found = mad.select(F.col("r").alias(ring), (F.col("med") + scale * F.greatest("mad", F.lit(1e-9))).alias(f"{jump}_threshold"))
+    for jump, counts in ((center, E.is_finite(center)), (ray, F.col(ray).isNotNull())):
+        rows = df.select(F.col(ring).alias("r"), F.when(used & counts, F.col(jump).cast("double")).alias("x")).where("x is not null")
+        med = rows.groupBy("r").agg(F.percentile("x", F.lit(0.5)).alias("med"), F.max(F.isnan("x")).alias("odd"))
+        mad = rows.join(med, "r").groupBy("r", "med", "odd").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
+        threshold = F.when(~F.col("odd") & E.is_finite("med"), F.col("med") + scale * F.greatest("mad", F.lit(1e-9)))
+        found = mad.select(F.col("r").alias(ring), threshold.alias(f"{jump}_threshold"))
         thresholds = found if thresholds is None else thresholds.join(found, ring, "full")
     out = df.join(thresholds, ring, "left")
-    over = [F.coalesce(E.is_finite(j) & (F.col(j) > F.col(f"{j}_threshold")), F.lit(False)) for j in (center, ray)]
+    over = [F.coalesce(~F.isnan(j) & (F.col(j) > F.col(f"{j}_threshold")), F.lit(False)) for j in (center, ray)]
     return out.withColumn("is_outlier", used & (over[0] | over[1]))
 
 

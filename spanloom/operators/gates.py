@@ -206,28 +206,6 @@ def role_gate(counts: DataFrame, contract: dict[str, int]) -> DataFrame:
     return gate(row, {r: F.col(f"__{i}") == n for i, (r, n) in enumerate(contract.items())})
 
 
-def integrity_gate(df: DataFrame) -> DataFrame:
-    """One row of sparse evidence against the thresholds of a defensible model."""
-    return gate(df, {
-        "registered_fraction": F.col("registered_fraction") >= 0.95,
-        "reprojection_error": is_finite("reprojection_error") & (F.col("reprojection_error") <= 3.0),
-        "tracks_of_three": F.col("frac_ge_3") >= 0.50,
-        "median_track": F.col("p50") >= 3,
-        "long_tracks": F.col("p90") >= 4,
-        "no_duplicate_images": F.col("duplicate_image_tracks") == 0,
-        "rings_connected": F.col("ring_components") == 1,
-        "no_trajectory_outliers": F.col("trajectory_outliers") == 0,
-        "pose_disagreements": F.col("pose_disagreements") == 0,
-        "shared_tracks": F.col("min_shared_tracks") >= 20,
-        "mask_precision_p10": F.col("precision_p10") >= 0.90,
-        "mask_recall_p10": F.col("recall_p10") >= 0.60,
-        "mask_iou_p10": F.col("iou_p10") >= 0.60,
-        "direction_p90": F.col("direction_p90_deg") <= 35.0,
-        "positive_fraction": F.col("positive_fraction") >= 0.95,
-        "orthogonal_p90": F.col("orthogonal_p90") <= 0.60,
-    })
-
-
 def _solid_checks() -> dict[str, Column]:
     return {"finite": F.col("finite_xyz_fraction") == 1.0, "spatial_rank_3": F.col("rank") == 3, "plausible_bounds": _all(*_bounds_checks().values()), "visual": F.col("visual_status") == "passed"}
 

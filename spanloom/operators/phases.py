@@ -118,7 +118,8 @@ def cycle_splits(frames: DataFrame, *, ring: str = "ring", pos: str = "pos", sig
 
     A split's score is the mean signature distance of two windows: the first
     frames with those from the split on, and the last frames with those as far
-    before the split's end.
+    before the split's end.  As a split is at 35 or later and a window has 12
+    frames at most, the second window always fits.
     """
     n = F.count("*").over(Window.partitionBy(ring))
     f = frames.select(F.col(ring).alias("ring"), F.col(pos).alias("pos"), F.col(signature).alias("sig"), n.alias("n")).where("n >= 100")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import small_side
+
 
 def quantiles(value: str, *points: float) -> Column:
     """Linearly interpolated quantiles, as an array."""
@@ -153,6 +155,21 @@ def model_summary(images: DataFrame, points: DataFrame, observations: DataFrame)
     return out.withColumns({"registration_fraction": share("registered_images", "total_images"), "mean_track_length": share("observations", "sparse_points"), "mean_observations_per_image": share("observations", "registered_images")})
 
 
+def trajectory_spread(images: DataFrame) -> DataFrame:
+    """Of each ring's registered images (ring, registered, x, y, z): their number, centroid, and median, deviation (of the whole) and variation of the distances from it.
+
+    Centres that are not finite are left out; a missing ring is ``unknown``.
+    The centroids are a row for each ring and go to a second pass over the images.
+    """
+    place = [F.col(a).cast("double") for a in "xyz"]
+    own = images.where("registered").where(_finite(*place)).select(F.coalesce("ring", F.lit("unknown")).alias("ring"), *[c.alias(a) for a, c in zip("xyz", place, strict=True)])
+    middle = own.groupBy("ring").agg(F.count("*").alias("registered_count"), *[F.avg(a).alias(f"centroid_{a}") for a in "xyz"])
+    radius = F.sqrt(sum((F.col(a) - F.col(f"centroid_{a}")) ** 2 for a in "xyz"))
+    by = ["ring", "registered_count", *[f"centroid_{a}" for a in "xyz"]]
+    spread = own.join(small_side(middle), "ring").withColumn("radius", radius).groupBy(*by)
+    return spread.agg(F.percentile("radius", F.lit(0.5)).alias("radius_median"), F.stddev_pop("radius").alias("radius_std"), (F.stddev_pop("radius") / F.greatest(F.avg("radius"), F.lit(1e-9))).alias("radius_cv"))
+
+
 def negative_evidence(manifest: DataFrame, records: DataFrame, passes: list[str], rings: list[str], *, role: str = "empty_board", deferred: str = "deferred_until_registered_empty_reference") -> DataFrame:
     """(kind, name, n, least_frame, greatest_frame): frames of each approved pass in the manifest (role, pass_id, frame), numbers of each refinement status of the records (ring, status), and what follows from them.
 
