@@ -1,8 +1,8 @@
 """Registered queries of the evidence operators and their DuckDB equivalents."""
 
-from . import acceptance, models, oracle, queries, rasters, records, verdicts
+from . import acceptance, matches, models, oracle, queries, rasters, records, verdicts
 
-QUERIES = queries.QUERIES | records.QUERIES | verdicts.QUERIES | models.QUERIES | rasters.QUERIES | acceptance.QUERIES
-ORACLE = oracle.ORACLE | records.ORACLE | verdicts.ORACLE | models.ORACLE | rasters.ORACLE | acceptance.ORACLE
+QUERIES = queries.QUERIES | records.QUERIES | verdicts.QUERIES | models.QUERIES | rasters.QUERIES | acceptance.QUERIES | matches.QUERIES
+ORACLE = oracle.ORACLE | records.ORACLE | verdicts.ORACLE | models.ORACLE | rasters.ORACLE | acceptance.ORACLE | matches.ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
