@@ -87,14 +87,14 @@ def pair_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH p AS (SELECT l_orderkey * 8 + l_linenumber AS pid, l_quantity / 10 - 2.5 AS x, l_discount * 20 - 1 AS y, l_tax * 20 + 2 AS z FROM lineitem)
-SELECT pid, count(*) AS n, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(z), 4) AS z, 0.0::DOUBLE AS error FROM p GROUP BY 1""")
+SELECT pid, count(*) AS n, round(sum(x), 4) + 0.0 AS x, round(sum(y), 4) + 0.0 AS y, round(sum(z), 4) + 0.0 AS z, 0.0::DOUBLE AS error FROM p GROUP BY 1""")
 def triangulated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points seen by two cameras, found again from what these see."""
     pose = lambda t: F.array(*[F.lit(float(v)) for v in (1, 0, 0, t, 0, 1, 0, 0, 0, 0, 1, 0)])
     see = {f"{a}{i}": (100 + 20 * i) * (F.col("x" if a == "u" else "y") + (t if a == "u" else 0.0)) / F.col("z") + 50 for i, t in ((1, 0.0), (2, -1.0)) for a in "uv"}
     m = _points(spark, sf_dir).select("pid", *[c.alias(k) for k, c in see.items()], pose(0).alias("m1"), pose(-1).alias("m2"), *[F.array(*[F.lit(float(v)) for v in (100 + 20 * i, 100 + 20 * i, 50, 50)]).alias(f"l{i}") for i in (1, 2)])
     out = tracks.triangulate(m, most_error=4.0)
-    return _rounded(out.groupBy("pid").agg(F.count("*").alias("n"), *[F.sum(a).alias(a) for a in "xyz"], F.abs(F.round(F.max("error"), 4)).alias("error")), *"xyz", places=4)
+    return out.groupBy("pid").agg(F.count("*").alias("n"), *[(F.round(F.sum(a), 4) + 0.0).alias(a) for a in "xyz"], F.abs(F.round(F.max("error"), 4)).alias("error"))
 
 
 _SEEN = """ob AS (SELECT l_partkey % 40 AS track, l_suppkey AS image, l_linenumber AS keypoint, CASE WHEN l_orderkey % 13 > 0 THEN l_discount END AS error FROM lineitem),
