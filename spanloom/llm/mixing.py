@@ -2,12 +2,19 @@
 
 Every document of a source starts with the same expected number of copies,
 target / source size, between 0 and ``most_copies``.  Its whole part is taken
-for certain; the fraction is rounded.  Two documents of fractions p and q and
-sizes a and b exchange mass so that a * p + b * q stays and one of them becomes
-0 or 1; chance decides which way, so that each keeps its expectation.  The
-words that a source takes thus stay at its target through all rounds, and only
-the one fraction left at the end is off, by at most half of that document's
-size.  Long documents are paired first, so that it is seldom a long one.
+for certain; the fraction is rounded.  A document of fraction p and size a is
+paired with all shorter ones of its group as if they were one document: they
+exchange words, so that the sum of size * fraction stays, until the document is
+0 or 1 (or all the others are); chance decides which way, so that it keeps its
+expectation.  The others change in the same proportion, which keeps theirs as
+long as their fractions are equal, as those of a source are at first.  The
+words that a source takes thus stay at its target through all rounds.  One
+fraction is left at the end, sometimes of a long document; it is then settled
+by chance, and the words that this is off are made up by whole copies of
+shorter documents of the group, the rest by a fraction of the shortest that
+can take it.  So a source is off by at most half of a short document, unless
+one outweighs all the rest of its group, and only these last exchanges don't
+keep expectations.
 
 The pairs are made in a tree: documents of a source are dealt by hash over
 leaves of about LEAF rows, each leaf leaves at most one fraction, FAN_IN
@@ -58,30 +65,64 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
 
 
 def round_pairs(size: np.ndarray, p: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """``p`` with all but at most one entry made 0 or 1, in order; sum(size * p) stays as it was."""
-    p = p.copy()
-    open_ = -1
-    for i in range(len(p)):
-        if p[i] <= 1e-12 or p[i] >= 1 - 1e-12:
-            p[i] = round(p[i])
-            continue
-        if open_ < 0:
-            open_ = i
-            continue
-        j, a, b = open_, float(size[open_]), float(size[i])
-        up = min((1 - p[j]) * a, p[i] * b)  # words that i can give to j
-        down = min(p[j] * a, (1 - p[i]) * b)
-        move = up if chance[i] * (up + down) < down else -down
-        p[j] += move / a
-        p[i] -= move / b
-        for k in (j, i):
-            if p[k] <= 1e-12 or p[k] >= 1 - 1e-12:
-                p[k] = round(p[k])
-        left = [k for k in (j, i) if 0 < p[k] < 1]
-        open_ = left[0] if left else -1
+    """``p`` with all but at most one entry made 0 or 1, in order; sum(size * p) stays as it was.
+
+    Each entry is paired with the pool of all later ones.  Those of the pool are
+    shift + scale * p, so that an exchange with it takes one step.
+    """
+    p = np.where(p <= 1e-12, 0.0, np.where(p >= 1 - 1e-12, 1.0, p))
+    at = np.flatnonzero((p > 0) & (p < 1))
+    words = float(size[at].sum())  # of the pool, and those of them that it takes
+    taken = float((size[at] * p[at]).sum())
+    shift, scale = 0.0, 1.0
+    for i in at.tolist():
+        a = float(size[i])
+        q = min(1.0, max(0.0, shift + scale * p[i]))
+        words, taken = words - a, taken - a * q
+        given, room = max(0.0, taken), max(0.0, words - taken)
+        if 1e-12 < q < 1 - 1e-12 and words > 0:
+            up, down = min((1 - q) * a, given), min(q * a, room)
+            if chance[i] * (up + down) < down:
+                q, taken = q + up / a, taken - up
+                keep = 1 - up / given if given > 0 else 1.0
+                shift, scale = shift * keep, scale * keep
+            else:
+                q, taken = q - down / a, taken + down
+                keep = 1 - down / room if room > 0 else 1.0
+                shift, scale = 1 - (1 - shift) * keep, scale * keep
+        p[i] = 0.0 if q <= 1e-9 else 1.0 if q >= 1 - 1e-9 else q
+    left = at[(p[at] > 0) & (p[at] < 1)]
+    if len(left):
+        _hand_on(size, p, at, int(left[0]), float(chance[left[0]]) * 7919 % 1)
     return p
 
 
+def _hand_on(size: np.ndarray, p: np.ndarray, at: np.ndarray, i: int, chance: float) -> None:
+    """Settle entry ``i`` too, in place, and leave what it is off by on a shorter one of ``at``; it stays as it is if none can take it.
+
+    The way is by chance, or the other one if only that can be made up.
+    """
+    a, q = float(size[i]), float(p[i])
+    for up in (chance < q, chance >= q):
+        off, free = (1 - q) * a if up else q * a, 1.0 if up else 0.0
+        can = at[(p[at] == free) & (size[at] < a)]
+        turned = []
+        for k in can[np.argsort(-size[can], kind="stable")].tolist():
+            if size[k] <= off:
+                turned.append(k)
+                off -= float(size[k])
+        rest = np.setdiff1d(can, turned)
+        rest = rest[size[rest] > off]
+        if not len(rest) and off > 1e-9:
+            continue
+        p[turned], p[i] = 1 - free, float(up)
+        if len(rest):
+            k = int(rest[np.argmin(size[rest])])
+            share = off / float(size[k])
+            p[k] = np.round(abs(free - share), 12)
+        return
+
+
 def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Round the fractions of each (sid, leaf) of a sorted partition; rows keep their order."""
     rest = None

@@ -425,6 +425,13 @@ def test_rounding_keeps_the_mass():
     assert abs((got * size).sum() - (p * size).sum()) < 1e-6 and ((got > 0) & (got < 1)).sum() <= 1
     mean = np.mean([round_pairs(size[:2], np.array([0.5, 0.5]), rng.random(2)) for _ in range(4000)], 0)
     assert np.abs(mean - 0.5).max() < 0.2
+    # Equal fractions keep their expectations, and a long document is settled before the short ones.
+    size = np.array([5184, *range(900, 100, -20), 60, 9, 3])
+    many = np.array([round_pairs(size, np.full(len(size), 0.6), rng.random(len(size))) for _ in range(3000)])
+    assert np.abs(many.mean(0)[:-5] - 0.6).max() < 0.05 and np.allclose(many @ size, 0.6 * size.sum())
+    assert max(size[np.flatnonzero((m > 0) & (m < 1))].max(initial=0) for m in many) <= 140
+    left = round_pairs(np.array([100, 1, 1]), np.array([0.5, 0.5, 0.5]), rng.random(3))
+    assert ((left > 0) & (left < 1)).sum() == 1 and 0 < left[0] < 1
 
 
 def brute_targets(size, weights=(5, 2, 1)):
@@ -460,12 +467,21 @@ def test_mix(spark):
     for r in got:
         taken[r.source] += r.size * r.copies
         target[r.source] = r.target
-    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
     assert sorted((str(r.id), r.copies) for r in mix(df.repartition(7)).collect()) == sorted((str(r.id), r.copies) for r in got)
     assert mixed_documents(df).count() == sum(r.copies for r in got)
     assert mix(df.limit(0)).count() == 0
 
 
+def test_a_document_of_much_of_its_source(spark):
+    rows = [(0, "w " * 4000, "en", "a", 0)] + [(i, "w " * (1 + i * 37 % 90), "en", "ab"[i % 2], 0) for i in range(1, 260)]
+    taken, target = Counter(), {}
+    for r in mix(spark.createDataFrame(rows, DOCS)).collect():
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.005 * target[s] for s in "ab")
+
+
 # 7 -------------------------------------------------------------------------------
 
 
