@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import masks
+from ..operators import masks, pictures
 from .queries import _points, _rounded, _t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,18 @@ SELECT n_nationkey AS image, coalesce(pixels, 0) AS pixels, round(coalesce(pixel
 FROM nation LEFT JOIN z ON z.image = n_nationkey LEFT JOIN q ON q.image = n_nationkey LEFT JOIN b ON b.image = n_nationkey""")
 def mask_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(masks.mask_diagnostics(_runs(spark, sf_dir), _frames(spark, sf_dir)), "fraction", "cx", "cy", "largest_fraction", "second_fraction")
+
+
+@_query("""WITH l AS (SELECT vec_id, list_transform(embedding, lambda e: floor((CAST(e AS DOUBLE) + 1) * 127)) AS l FROM embeddings),
+p AS (SELECT vec_id, l, i // 8 AS y, i % 8 AS x, l[i + 1] AS v FROM l, (SELECT unnest(range(0, 64)) AS i)),
+b AS (SELECT vec_id, y, x, v, l[CASE y WHEN 0 THEN 1 ELSE y - 1 END * 8 + x + 1] + l[CASE y WHEN 7 THEN 6 ELSE y + 1 END * 8 + x + 1] + l[y * 8 + CASE x WHEN 0 THEN 1 ELSE x - 1 END + 1] + l[y * 8 + CASE x WHEN 7 THEN 6 ELSE x + 1 END + 1] - 4 * v AS d FROM p),
+r AS (SELECT vec_id, avg(v) AS m, stddev_pop(v) AS s FROM p, (SELECT unnest([0, 1, 2, 3]) AS e) WHERE (e = 0 AND y = 0) OR (e = 1 AND y = 7) OR (e = 2 AND x = 0) OR (e = 3 AND x = 7) GROUP BY 1),
+m AS (SELECT vec_id, avg(v) AS m FROM p WHERE x IN (3, 4) AND y IN (3, 4) GROUP BY 1)
+SELECT vec_id, round(var_pop(d) + 1e-7, 4) AS sharpness, round(avg(v) + 1e-7, 4) AS mean, round(quantile_cont(v, 0.01) + 1e-7, 4) AS p01, round(quantile_cont(v, 0.99) + 1e-7, 4) AS p99, round(avg((v <= 1 OR v >= 254)::INT) + 1e-7, 4) AS clipping, round(stddev_pop(v) + 1e-7, 4) AS contrast, round(abs(any_value(m.m) - any_value(r.m)) / (any_value(r.s) + 1) + 1e-7, 4) AS presence
+FROM b JOIN r USING (vec_id) JOIN m USING (vec_id) GROUP BY vec_id""")
+def picture_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pictures of 8 by 8."""
+    byte = lambda e: F.lpad(F.hex(F.floor((e.cast("double") + 1) * 127)), 2, "0")
+    made = _t(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(F.transform("embedding", byte), "")).alias("values"))
+    # Variances of small whole numbers are often ties of rounding, which the small number settles.
+    return pictures.picture_quality(made, side=8, border=1, margin=3).select("vec_id", *[F.round(F.col(m) + 1e-7, 4).alias(m) for m in pictures.MEASURES])
