@@ -143,7 +143,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def predict(docs: DataFrame, model: Filter, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``language``: lang_pred and score (the lead of the best language in corrected shares, 0 to 1).
+    """``docs`` with a struct ``language``: lang_pred and score (the part that the best language has of the sum of corrected shares, 0 to 1).
 
     ``und`` if the text is null or has no letter, or if nothing was learned.
     A text without any known n-gram gets the language of most learned
