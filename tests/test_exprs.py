@@ -66,6 +66,15 @@ def test_number_texts(spark):
     assert [_one(spark, E.number_text(F.lit(x), "-")) for x in (None, "", "nan", "inf", "abc", "12.50")] == ["-", "-", "-", "-", "abc", "12.5"]
 
 
+def test_numbers_are_rounded_once(spark):
+    """Exact halves, and doubles just beside one whose shortest text is the half itself."""
+    values = [100000.5, 100001.5, -100000.5, 1234567890.125, 0.0001000005, 908.5527625455, 2.5e-7]
+    beside = [x / 2**k for k in range(1, 12) for x in (float(f"{n}.5") for n in range(123456, 123476))]
+    df = spark.createDataFrame([(x,) for x in values + beside], "x double")
+    got = df.select("x", E.general_number("x").alias("a"), E.general_number("x", 12).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(f"{r.x:.6g}", f"{r.x:.12g}") for r in got]
+
+
 def test_canonical_hashes(spark):
     row = spark.createDataFrame([("é🙂\n\"", 3)], "b string, a int")
     want = hashlib.sha256(json.dumps({"a": 3, "b": "é🙂\n\""}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
