@@ -133,32 +133,52 @@ def _best_first() -> list[Column]:
     return [-F.col("same").cast("int"), -F.col("inliers"), F.col("residual"), F.col("pair_id")]
 
 
-def spanning_links(links: DataFrame, anchors: DataFrame, *, most_rounds: int = 64) -> DataFrame:
-    """The ``links`` (a, b, rank) that a best-first growth from all ``anchors`` (node) at once takes, and those among what it can't reach.
+def _product(front: Column | str, middle: Column | str, back: Column | str) -> Column:
+    return E.matmul(E.matmul(front, middle), back)
 
-    As ranks (least is best) are all different, they are the tree of least ranks
-    once the anchors are one node, whatever the order of growth; so each part
-    takes its best link to another at the same time, and the parts halve.
+
+def spanning_corrections(steps: DataFrame, anchors: DataFrame, *, most_rounds: int = 64) -> DataFrame:
+    """(node, correction) of what a best-first growth from all ``anchors`` (node) at once reaches along ``steps`` (at, to, rank, left, right).
+
+    A step takes the correction C of ``at`` to left C right of ``to``; each link
+    is there both ways.  As ranks (least is best) are all different, the growth
+    takes the tree of least ranks once the anchors are one node, whatever its
+    order; so each part takes its best link to another at the same time, and
+    the parts halve.  Parts that point at each other in chains are led to the
+    chain's end by doubling, so a tree of any depth takes few joins.
     """
-    anchor = anchors.select(F.col("node"), F.lit("").alias("part"))
-    ends = links.select("a", "b", "rank")
-    nodes = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = materialize(nodes.join(anchor, "node", "left").select("node", F.coalesce("part", F.concat(F.lit("n"), F.col("node"))).alias("part")), "parts")
-    taken = None
+    unit = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    # The correction of a node is left C right, with C that of its part; the anchors' part has no name.
+    nodes = steps.select(F.col("to").alias("node")).unionByName(anchors.select("node")).distinct().join(anchors.select("node", F.lit("").alias("part")), "node", "left")
+    parts = materialize(nodes.select("node", F.coalesce("part", F.concat(F.lit("n"), F.col("node"))).alias("part"), unit.alias("left"), unit.alias("right")), "parts")
     for _ in range(most_rounds):
-        met = ends.join(parts.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").where("pa <> pb")
-        both = met.select(F.col("pa").alias("part"), "pa", "pb", "a", "b", "rank").unionByName(met.select(F.col("pb").alias("part"), "pa", "pb", "a", "b", "rank"))
-        best = both.groupBy("part").agg(F.min(F.struct("rank", "a", "b", "pa", "pb")).alias("l")).select("l.*").distinct()
-        best = materialize(best, "links")
+        of = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part"), F.col("left").alias(f"{side}_left"), F.col("right").alias(f"{side}_right"))  # noqa: B023, E731
+        ends = steps.join(of("at").select("at", "at_part"), "at").join(of("to").select("to", "to_part"), "to").where("at_part <> to_part and to_part <> ''")
+        best = materialize(ends.groupBy("to_part").agg(F.min(F.struct("rank", "at", "to", "at_part", "left", "right")).alias("l")).select("l.*", "to_part"), "links")
         if best.isEmpty():
-            return taken if taken is not None else ends.limit(0)
-        taken = best.select("a", "b", "rank") if taken is None else taken.unionByName(best.select("a", "b", "rank"))
-        found = components(best, "pa", "pb").select(F.col("node").alias("part"), "root")
-        parts = materialize(parts.join(found, "part", "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
+            return parts.where("part = ''").select("node", E.matmul("left", "right").alias("correction"))
+        # Of two parts that take the same link the lesser stays where it is.
+        other = best.select(F.col("to_part").alias("at_part"), F.col("at_part").alias("to_part"))
+        best = best.join(other.where("to_part < at_part"), ["at_part", "to_part"], "left_anti")
+        hops = best.join(of("at").drop("at_part"), "at").join(of("to").drop("to_part"), "to")
+        hops = hops.withColumns({"left": _product(E.transpose("to_left"), "left", "at_left"), "right": _product("at_right", "right", E.transpose("to_right"))})
+        hops = materialize(hops.select("to_part", F.col("at_part").alias("up"), "left", "right"), "hops")
+        for _ in range(most_rounds):
+            onward = hops.select(F.col("to_part").alias("up"), F.col("up").alias("onward"), F.col("left").alias("l"), F.col("right").alias("r"))
+            if hops.join(onward, "up", "left_semi").isEmpty():
+                break
+            far = F.col("onward").isNotNull()
+            moved = hops.join(onward, "up", "left").select("to_part", F.coalesce("onward", "up").alias("up"), F.when(far, E.matmul("left", "l")).otherwise(F.col("left")).alias("left"), F.when(far, E.matmul("r", "right")).otherwise(F.col("right")).alias("right"))
+            hops = materialize(moved, "hops")
+        else:
+            raise RuntimeError("links did not settle")
+        far = F.col("up").isNotNull()
+        led = parts.join(hops.select(F.col("to_part").alias("part"), "up", F.col("left").alias("l"), F.col("right").alias("r")), "part", "left")
+        parts = materialize(led.select("node", F.coalesce("up", "part").alias("part"), F.when(far, E.matmul("left", "l")).otherwise(F.col("left")).alias("left"), F.when(far, E.matmul("r", "right")).otherwise(F.col("right")).alias("right")), "parts")
     raise RuntimeError("links did not settle")
 
 
-def island_repair(records: DataFrame, reference: DataFrame, *, threshold: float = 30.0, most_depth: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def island_repair(records: DataFrame, reference: DataFrame, *, threshold: float = 30.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orientations (name, rotation, island), edges with their residuals before and after, and islands (island, ring, images, assigned, correction).
 
     Pairs of one ring whose reference agrees with the calibrated rotation
@@ -166,7 +186,7 @@ def island_repair(records: DataFrame, reference: DataFrame, *, threshold: float
     (of equal ones the greatest in name, after its least image) stays; the others are turned along the
     best links, same ring first, then more inliers, less residual and the
     lesser pair.  Islands out of reach, and images without a pair in their ring,
-    stay as they are.  A growth of depth d takes d joins.
+    stay as they are.
     """
     good = records.where("conditioned and rotation is not null").withColumn("same", F.coalesce(F.col("same_ring"), F.lit(False)) & (F.col("ring") == F.col("second_ring")))
     edges = _with_both(good, reference, ("s1", "s2")).withColumn("source", _relative(F.col("s1"), F.col("s2"))).withColumn("residual", E.geodesic_deg("source", "rotation"))
@@ -185,21 +205,12 @@ def island_repair(records: DataFrame, reference: DataFrame, *, threshold: float
     key = [F.least("first_island", "second_island").alias("a"), F.greatest("first_island", "second_island").alias("b")]
     links = met.groupBy(*key).agg(F.min(F.struct(rank.alias("rank"), "first_island", "rotation", "source")).alias("l")).select("a", "b", "l.*")
     links = materialize(links, "links")
-    tree = spanning_links(links.select("a", "b", "rank"), anchors).join(links.select("a", "b", "first_island", "rotation", "source"), ["a", "b"])
     # What takes an island's correction to its neighbour's: R C S' from the first island to the second, R' C S back.
-    forth = tree.select(F.col("first_island").alias("at"), F.when(F.col("a") == F.col("first_island"), F.col("b")).otherwise(F.col("a")).alias("to"), F.col("rotation").alias("left"), E.transpose("source").alias("right"))
-    back = tree.select(F.when(F.col("a") == F.col("first_island"), F.col("b")).otherwise(F.col("a")).alias("at"), F.col("first_island").alias("to"), E.transpose("rotation").alias("left"), F.col("source").alias("right"))
-    steps = materialize(forth.unionByName(back), "steps")
+    second = F.when(F.col("a") == F.col("first_island"), F.col("b")).otherwise(F.col("a"))
+    forth = links.select(F.col("first_island").alias("at"), second.alias("to"), "rank", F.col("rotation").alias("left"), E.transpose("source").alias("right"))
+    back = links.select(second.alias("at"), F.col("first_island").alias("to"), "rank", E.transpose("rotation").alias("left"), F.col("source").alias("right"))
     unit = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
-    front = done = materialize(anchors.select(F.col("node").alias("island"), unit.alias("correction")), "front")
-    for _ in range(most_depth):
-        onward = front.join(steps, F.col("island") == F.col("at")).join(done.select(F.col("island").alias("to")), "to", "left_anti")
-        front = materialize(onward.select(F.col("to").alias("island"), E.matmul(E.matmul("left", "correction"), "right").alias("correction")), "front")
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    else:
-        raise RuntimeError("islands did not settle")
+    done = spanning_corrections(materialize(forth.unionByName(back), "steps"), anchors).select(F.col("node").alias("island"), "correction")
     done = materialize(done, "corrections")
     islands = sizes.join(done, "island", "left").select("island", "ring", "images", F.col("correction").isNotNull().alias("assigned"), F.coalesce("correction", unit).alias("correction"))
     turned = reference.select("name", "rotation").join(own, "name").join(islands.select("island", "correction"), "island").select("name", E.matmul("correction", "rotation").alias("rotation"), "island")

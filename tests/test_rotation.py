@@ -147,3 +147,21 @@ def test_a_ring_takes_the_gauge_of_most_votes(spark, block):
     assert (r["a"].candidates, r["a"].support, r["a"].status) == (7, 4, "supported") and r["a"].residuals[0] < 1e-4
     assert (r["b"].status, r["b"].candidates) == ("missing_reference_overlap", 0)
     assert (r["c"].support, r["c"].status) == (1, "supported")
+
+
+def test_a_long_chain_of_islands_takes_few_rounds(spark, monkeypatch):
+    """Each image is an island that only its neighbours lead to: 120 steps from the anchor, best link first at the far end."""
+    n = 120
+    rng = np.random.default_rng(5)
+    names = [f"a{i:03d}" for i in range(n)]
+    true = [about((0, 0, 1), 40 * i) for i in range(n)]
+    reference = [(x, m @ random_rotation(rng)) for x, m in zip(names, true, strict=True)] + [("a999", np.eye(3))]
+    reference[0] = names[0], true[0]
+    records = [record(i, names[i], names[i + 1], true[i + 1] @ true[i].T, 100 + i) for i in range(n - 1)] + [record(n, "a000", "a999", true[0].T)]
+    made = []
+    keep = rotation.materialize
+    monkeypatch.setattr(rotation, "materialize", lambda df, label="t": made.append(label) or keep(df, label))
+    turned, measured, islands = rotation.island_repair(*frames(spark, records, reference))
+    got, (want, of, assigned) = matrices(turned), islands_by_hand(records, reference)
+    assert all(angle(got[k], want[k]) < 1e-4 for k in want) and islands.where("assigned").count() == len(assigned)
+    assert len(made) < 50
