@@ -75,6 +75,29 @@ def test_pair_tracks_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 15
 
 
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_pair_tracks_of_many_groups(spark, monkeypatch, small):
+    """Pairs of separate images are told apart by their images, and need no graph of observations; large groups get one, with the same tracks."""
+    monkeypatch.setattr(tracks, "SMALL_GROUP", small)
+    linked = []
+    keep = tracks.components
+    monkeypatch.setattr(tracks, "components", lambda edges, u="u", v="v": linked.append(edges.count()) or keep(edges, u, v))
+    rng = np.random.default_rng(4)
+    rows = [(c * 10 + p, 2 * c + 1, int(rng.integers(0, 4)), 2 * c + 2, int(rng.integers(0, 5)), None if rng.random() < 0.2 else float(rng.integers(0, 3))) for c in range(30) for p in range(4) for _ in range(int(rng.integers(1, 5)))]
+    want = []
+    for c in range(30):
+        used = set()
+        by = {p: sorted((r for r in rows if r[0] == p), key=lambda r: (r[5] is None, r[5] or 0, r[2], r[4])) for p in range(c * 10, c * 10 + 4)}
+        for p in sorted((p for p in by if len(by[p]) >= 2), key=lambda p: (len(by[p]), p)):
+            mine = [r for r in by[p] if (1, r[2]) not in used and (2, r[4]) not in used][:3]
+            if len(mine) >= 2:
+                used |= {o for r in mine for o in ((1, r[2]), (2, r[4]))}
+                want += [(p, r[2], r[4]) for r in mine]
+    got = tracks.pair_tracks(spark.createDataFrame(rows, "pair_id bigint, i1 bigint, k1 bigint, i2 bigint, k2 bigint, error double"), least=2, most=3)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 40
+    assert linked[0] == 30 and (linked[1] == 0) == (small > 0)
+
+
 def test_triangulation(spark):
     lens = [100.0, 110.0, 50.0, 60.0]
     eye = lambda *t: [float(v) for v in (1, 0, 0, t[0], 0, 1, 0, t[1], 0, 0, 1, t[2])]
