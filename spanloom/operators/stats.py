@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import small_side
+from ..scratch import materialize, small_side
 
 
 def quantiles(value: str, *points: float) -> Column:
@@ -93,8 +93,14 @@ def public_rows(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def pairing_summary(frames: DataFrame, pairs: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(metric, value) of a pair schedule: selected frames, pairs, frames in pairs, frames in none, and ambiguous offsets."""
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    """(metric, value) of a pair schedule: selected frames, pairs, frames in pairs, frames in none, and ambiguous offsets.
+
+    The pairs are made once, as a table, and so are the frames and what is paired.
+    """
+    frames = materialize(frames.select("name"), "frames")
+    ends = materialize(pairs.select("a", "b"), "pairs")
+    paired = materialize(ends.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "paired")
+    pairs = ends
     parts = {
         "selected_geometry_count": frames.agg(F.count_distinct("name").alias("value")), "schedule_pair_count": pairs.agg(F.count("*").alias("value")), "schedule_image_coverage": paired.agg(F.count("*").alias("value")),
         "images_without_pair": frames.select("name").distinct().join(paired, "name", "left_anti").agg(F.count("*").alias("value")), "ambiguous_offset_count": offsets.agg(F.count_if("ambiguous").alias("value")),
