@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import is_finite
 from .components import components
+from .stats import exact_quantiles
 
 #: Closed, overlapping intervals of normalised height.
 REGIONS = {
@@ -36,10 +37,9 @@ def project(x: Column, y: Column, z: Column, m: Column, k: Column) -> Column:
 
 
 def normalized_height(df: DataFrame, height: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``df`` with h: (height - q_low) / (q_high - q_low), cut to [0, 1]; the two quantiles are one broadcast row."""
-    q = df.agg(F.percentile(height, F.lit(low)).alias("__lo"), F.percentile(height, F.lit(high)).alias("__hi")).withColumn("__one", F.lit(1))
-    out = df.withColumn("__one", F.lit(1)).join(F.broadcast(q), "__one")
-    return out.withColumn("h", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(height) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-9))))).drop("__one", "__lo", "__hi")
+    """``df`` with h: (height - q_low) / (q_high - q_low), cut to [0, 1]."""
+    lo, hi = (F.lit(q).cast("double") for q in exact_quantiles(df, {height: [low, high]})[height])
+    return df.withColumn("h", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(height) - lo) / F.greatest(hi - lo, F.lit(1e-9)))))
 
 
 def region_evidence(points: DataFrame, *, bins: int = 8) -> DataFrame:
@@ -62,8 +62,9 @@ def bottom_escape(points: DataFrame, height: str, outside: str, q: float = 0.15,
     Without points the threshold is 0 and both shares are 1; heights that are
     not finite and negative counts are errors.
     """
+    cut = exact_quantiles(points, {height: [q]})[height][0]
     wrong = F.count_if(~is_finite(height) | ~F.coalesce(F.col(outside) >= 0, F.lit(False)))
-    low = F.when(wrong > 0, F.raise_error(F.lit("heights must be finite and counts not negative"))).otherwise(F.coalesce(F.percentile(height, F.lit(q)), F.lit(0.0)))
+    low = F.when(wrong > 0, F.raise_error(F.lit("heights must be finite and counts not negative"))).otherwise(F.lit(0.0 if cut is None else cut))
     t = points.agg(low.alias("low_threshold"))
     rows = points.withColumn("__one", F.lit(1)).join(F.broadcast(t.withColumn("__one", F.lit(1))), "__one")
     low = F.col(height) <= F.col("low_threshold")

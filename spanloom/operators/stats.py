@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,48 @@ def quantiles(value: str, *points: float) -> Column:
     return F.percentile(value, F.array(*[F.lit(p) for p in points]))
 
 
+def exact_quantiles(df: DataFrame, points: dict[str, list[float]], *, accuracy: int = 10_000, most: int = 100_000) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of whole columns, nulls apart; null for a column without values.
+
+    An approximate quantile on either side of each rank bounds it, counts prove
+    that it does (else the bounds are set wider), and what lies within, at most
+    ``most`` distinct values, is read in order.  No task sees the whole column.
+    """
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in points])
+    n = df.agg(*[F.count(c).alias(c) for c in points]).first()
+    open_ = [{"c": c, "i": i, "at": (n[c] - 1) * p, "low": None, "high": None, "below": 0, "m": n[c], "eps": 2.0 / accuracy, "done": False} for c, ps in points.items() for i, p in enumerate(ps) if n[c]]
+    found: dict[str, list[float | None]] = {c: [None] * len(ps) for c, ps in points.items()}
+
+    def within(t: dict, low=None, high=None) -> Column:
+        low, high = t["low"] if low is None else low, t["high"] if high is None else high
+        keep = F.col(t["c"]).isNotNull()
+        keep = keep if low is None else keep & (F.col(t["c"]) >= F.lit(low))
+        return keep if high is None else keep & (F.col(t["c"]) <= F.lit(high))
+
+    while large := [t for t in open_ if t["m"] > most and not t["done"]]:
+        part = [[min(1.0, max(0.0, (k - t["below"]) / t["m"] + side * t["eps"])) for k, side in ((math.floor(t["at"]), -1), (math.ceil(t["at"]), 1))] for t in large]
+        near = df.agg(*[F.percentile_approx(F.when(within(t), F.col(t["c"])), F.array(*[F.lit(x) for x in q]), accuracy).alias(f"q{i}") for i, (t, q) in enumerate(zip(large, part, strict=True))]).first()
+        bounds = [(t["low"] if q[0] <= 0 else near[i][0], t["high"] if q[1] >= 1 else near[i][1]) for i, (t, q) in enumerate(zip(large, part, strict=True))]
+        count = df.agg(*[c for i, (t, (low, high)) in enumerate(zip(large, bounds, strict=True)) for c in (F.count_if(F.lit(False) if low is None else F.col(t["c"]) < F.lit(low)).alias(f"b{i}"), F.count_if(within(t, low, high)).alias(f"m{i}"))]).first()
+        for i, (t, (low, high)) in enumerate(zip(large, bounds, strict=True)):
+            below, m = count[f"b{i}"], count[f"m{i}"]
+            if below <= math.floor(t["at"]) and math.ceil(t["at"]) < below + m:
+                # Bounds that don't narrow hold repeats of few values.
+                t.update(low=low, high=high, below=below, m=m, done=m == t["m"] or low == high)
+            else:
+                t["eps"] *= 8
+        if any(t["eps"] > 64 for t in large):
+            raise RuntimeError("quantiles did not settle")
+    for t in open_:
+        place, value, seen = t["at"], [], t["below"]
+        for v, k in df.where(within(t)).groupBy(t["c"]).count().orderBy(t["c"]).collect():
+            value += [v for at in (math.floor(place), math.ceil(place)) if seen <= at < seen + k]
+            seen += k
+        a, b = value
+        found[t["c"]][t["i"]] = a if a == b or place == math.floor(place) else (math.ceil(place) - place) * a + (place - math.floor(place)) * b
+    return found
+
+
 def summary_quantiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, p10, p50 and least of each group; zeros for a group without values."""
     out = df.groupBy(*by).agg(F.avg(value).alias("mean"), quantiles(value, 0.1, 0.5).alias("q"), F.min(value).alias("least"))
@@ -59,9 +103,10 @@ def centroid_spread(points: DataFrame, by: str, x: str, y: str, z: str) -> DataF
 
 def robust_bounds(points: DataFrame, axes: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """One row: count, and least, greatest and robust least and greatest of each axis."""
+    q = exact_quantiles(points, {a: [low, high] for a in axes})
     aggs = [F.count("*").alias("n")]
     for a in axes:
-        aggs += [F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max"), F.percentile(a, F.lit(low)).alias(f"{a}_low"), F.percentile(a, F.lit(high)).alias(f"{a}_high")]
+        aggs += [F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max"), F.lit(q[a][0]).cast("double").alias(f"{a}_low"), F.lit(q[a][1]).cast("double").alias(f"{a}_high")]
     return points.agg(*aggs)
 
 
