@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..scratch import materialize, small_side
 from .components import components
-from .graph import INLIER, OUTLIER, mean_rotation, ring_orientations, transition_consensus
+from .graph import INLIER, OUTLIER, dealt_votes, distances, mean_rotation, own_blocks, ring_orientations, transition_consensus
 
 SAME, UNUSED = "retained_rotation_synchronization", "retained_negative_or_unconditioned_evidence"
 
@@ -86,39 +86,38 @@ def rotation_consensus(records: DataFrame, ring_order: list[str], *, threshold:
     return orientations, inner.unionByName(outer).unionByName(rest), transitions.withColumn("transition", named[F.col("transition")])
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.degrees(np.arccos(np.clip((a @ b.T - 1) / 2, -1, 1)))
-
-
 def ring_aligned(records: DataFrame, reference: DataFrame, *, threshold: float = 15.0, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Orientations (name, rotation) in the gauge of the ``reference`` (name, rotation), and a row for each ring on its gauge.
 
     Each image that is in the ring's own field and in the reference votes for
     a gauge; the largest cluster within ``threshold`` degrees of a vote (then
     the closest one, then the greater name) is averaged.  Images that no ring
-    covers keep their reference.  The distances of a ring's votes are made a
-    block at a time; they are as many as the square of its images, which a ring
-    of captures bounds.
+    covers keep their reference.  The distances of a ring's votes are as many as
+    the square of its images; several tasks share them, each making a block of
+    at most ``block`` votes at a time.
     """
     local = materialize(ring_orientations(_same_ring_edges(records)), "local")
-    votes = local.join(reference.select("name", F.col("rotation").alias("own")), "name").select("ring", "name", E.matmul("own", E.transpose("rotation")).alias("gauge"))
+    votes = local.join(reference.select("name", F.col("rotation").alias("own_rotation")), "name").select("ring", "name", E.matmul("own_rotation", E.transpose("rotation")).alias("gauge"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name")
-        g, names = np.array(pdf["gauge"].tolist(), float), pdf["name"].tolist()
-        best = None
-        for first in range(0, len(g), block):
-            far = _distances(g[first : first + block], g)
+        g, names = np.stack(pdf["gauge"].to_numpy()).astype(float), pdf["name"].tolist()
+        columns, best = ["ring", "support", "nearness", "name", "gauge", "candidates", "residuals"], None
+        for own, far in own_blocks(pdf, g, block):
             near = far <= threshold
             for i, (n, d) in enumerate(zip(near.sum(1).tolist(), np.where(near, far, 0).sum(1).tolist())):
-                key = (n, -d, names[first + i])
+                key = (n, -d, names[own[i]])
                 if best is None or key > best[0]:
-                    best = key, near[i]
+                    best = key, near[i].copy()
+        if best is None:
+            return pd.DataFrame(columns=columns)
         gauge = mean_rotation(g[best[1]].reshape(-1, 3, 3), np.ones(int(best[1].sum())))
-        off = _distances(gauge.ravel()[None], g)[0]
-        return pd.DataFrame({"ring": [pdf["ring"].iloc[0]], "gauge": [gauge.ravel().tolist()], "candidates": [len(g)], "support": [best[0][0]], "residuals": [np.quantile(off, [0, 0.5, 0.9, 0.95, 0.99, 1]).tolist()]})
+        off = distances(gauge.ravel()[None], g)[0]
+        return pd.DataFrame([(pdf["ring"].iloc[0], *best[0], gauge.ravel().tolist(), len(g), np.quantile(off, [0, 0.5, 0.9, 0.95, 0.99, 1]).tolist())], columns=columns)
 
-    gauges = materialize(votes.groupBy("ring").applyInPandas(settle, "ring string, gauge array<double>, candidates bigint, support bigint, residuals array<double>"), "gauges")
+    led = dealt_votes(materialize(votes, "votes"), "ring", "name").applyInPandas(settle, "ring string, support bigint, nearness double, name string, gauge array<double>, candidates bigint, residuals array<double>")
+    best = led.groupBy("ring").agg(F.max(F.struct("support", "nearness", "name", "gauge", "candidates", "residuals")).alias("v"))
+    gauges = materialize(best.select("ring", "v.gauge", "v.candidates", "v.support", "v.residuals"), "gauges")
     turned = local.join(gauges.select("ring", "gauge"), "ring").select("name", E.matmul("gauge", "rotation").alias("rotation"))
     rest = reference.select("name", "rotation").join(turned.select("name"), "name", "left_anti")
     counts = local.groupBy("ring").agg(F.count("*").alias("images"))

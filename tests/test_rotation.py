@@ -1,9 +1,11 @@
 """Repaired rotations against a search by hand, and the cases that must come out."""
 
+import time
+
 import numpy as np
 import pytest
 
-from spanloom.operators import rotation
+from spanloom.operators import graph, rotation
 
 RECORDS = "pair_id bigint, first string, second string, ring string, second_ring string, same_ring boolean, rotation array<double>, inliers bigint, conditioned boolean"
 
@@ -165,3 +167,42 @@ def test_a_long_chain_of_islands_takes_few_rounds(spark, monkeypatch):
     got, (want, of, assigned) = matrices(turned), islands_by_hand(records, reference)
     assert all(angle(got[k], want[k]) < 1e-4 for k in want) and islands.where("assigned").count() == len(assigned)
     assert len(made) < 50
+
+
+def test_votes_meet_in_blocks_over_several_tasks(spark):
+    """The leading vote of a search over all pairs; no task holds the distances of all votes."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    base = random_rotation(rng)
+    votes = [("t" if k % 3 else "u", f"a{k:03d}", f"b{k % 7}", (about(rng.normal(size=3), rng.uniform(0, 14)) @ base).ravel().tolist(), float(rng.integers(1, 4))) for k in range(150)]
+    df = spark.createDataFrame(votes, "transition string, a string, b string, rotation array<double>, weight double").repartition(3)
+    got = {r.transition: r for r in graph.transition_consensus(df, threshold=6.0).collect()}
+    for name in "tu":
+        own = [v for v in votes if v[0] == name]
+        r, w = np.array([v[3] for v in own]), np.array([v[4] for v in own])
+        far = graph.distances(r, r)
+        near = far <= 6.0
+        best = max(range(len(own)), key=lambda i: (near[i] @ w, near[i].sum(), -np.median(far[i][near[i]]), own[i][1], own[i][2]))
+        mean = graph.mean_rotation(r[near[best]].reshape(-1, 3, 3), w[near[best]])
+        assert (got[name].inliers, got[name].support) == (near[best].sum(), near[best] @ w) and 3 < near[best].sum() < len(own)
+        assert np.allclose(np.array(got[name].rotation).reshape(3, 3), mean, atol=1e-12)
+    n = 5000
+    share = pd.DataFrame({"own": np.arange(n) % graph.VOTE_PARTS, "part": 3})
+    blocks = [(len(own), far.size) for own, far in graph.own_blocks(share, np.tile(base.ravel(), (n, 1)))]
+    assert sum(own for own, _ in blocks) == (share["own"] == 3).sum() < n / 15 and max(size for _, size in blocks) <= graph.VOTE_CELLS
+
+
+def test_a_large_ring_is_averaged_in_whole_array_steps(spark):
+    """3,000 images took minutes when each was averaged by itself."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    true = [random_rotation(rng) for _ in range(n)]
+    rows = [("g", f"n{i:05d}", f"n{i + d:05d}", (about((1, 2, 3), 40 if d == 2 and i % 50 == 0 else 0) @ true[i + d] @ true[i].T).ravel().tolist(), 900 if d == 1 else 100, d < 3) for i in range(n) for d in (1, 2, 3) if i + d < n]
+    began = time.monotonic()
+    got = matrices(graph.ring_orientations(spark.createDataFrame(rows, "ring string, a string, b string, rotation array<double>, inliers int, conditioned boolean")))
+    assert time.monotonic() - began < 60 and len(got) == n
+    # Wrong turns far away from the rest pull a little, and the less the farther they are.
+    first = true[0].T
+    assert np.median([angle(got[f"n{i:05d}"], m @ first) for i, m in enumerate(true)]) < 5
+    assert angle(got["n00000"], np.eye(3)) == 0
