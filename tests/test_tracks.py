@@ -3,9 +3,10 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from spanloom.operators import tracks
+from spanloom.operators import components, tracks
 
 ROWS = "pair_id bigint, i1 bigint, k1 bigint, i2 bigint, k2 bigint"
 
@@ -130,3 +131,30 @@ def test_best_observation_of_each_image(spark):
     rows = [(1, 1, 5, 2.0), (1, 1, 4, 2.0), (1, 1, 3, nan), (1, 2, 1, inf), (1, 2, 0, None), (1, 3, 7, 0.0), (2, 1, 1, 0.0), (2, 1, 2, 0.0), (2, 2, 1, 0.0)]
     got = sorted((r.track, r.image, r.keypoint) for r in tracks.best_observations(spark.createDataFrame(rows, "track int, image int, keypoint int, error double")).collect())
     assert got == [(1, 1, 4), (1, 2, 0), (1, 3, 7)]
+
+
+def test_components_whose_edges_lie_together(spark, monkeypatch):
+    """Chains that a task has whole are settled in it; what is spread over chunks, names too, comes to the same as in rounds."""
+    made = []
+    keep = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label="t": made.append(label) or keep(df, label))
+    chains = spark.range(0, 3000, 1, 3).where("id % 100 < 99").selectExpr("id AS u", "id + 1 AS v")
+    got = {r.node: r.root for r in components.near_components(chains).collect()}
+    assert got == {k: k - k % 100 for k in range(3000)} and len(made) < 9
+    rng = np.random.default_rng(4)
+    edges = [(f"é{a}" if a % 5 == 0 else f"n{a}", f"n{b}") for a, b in rng.integers(0, 300, (200, 2)).tolist()] + [(None, "n1"), ("n2", None), ("z", "z")]
+    df = spark.createDataFrame(edges, "u string, v string").repartition(7)
+    want = {r.node: r.root for r in components.components(df).collect()}
+    assert {r.node: r.root for r in components.near_components(df).collect()} == want and len(set(want.values())) > 5
+    monkeypatch.setattr(components, "CHUNK", 4)
+    batches = [pa.RecordBatch.from_pydict({"u": [2 * k], "v": [2 * k - 1 if k else 9]}) for k in range(10)]
+    assert [s.num_rows for s in components._stars(iter(batches))] == [8, 8, 4]
+    assert not components.near_components(spark.createDataFrame([], "u bigint, v bigint")).count()
+
+
+def test_an_observation_of_many_tracks(spark):
+    """Each track that holds both ends of a row counts it."""
+    seen = [(t, i, 0) for t in range(30) for i in range(3)] + [(99, 0, 0), (99, 7, 7)]
+    rows = [(1, 0, 0, 1, 0), (2, 1, 0, 2, 0), (1, 0, 0, 1, 0), (3, 0, 0, 7, 7)]
+    got = {r.track: (r.images, r.support, r.connected) for r in tracks.track_support(spark.createDataFrame(seen, "track int, image bigint, keypoint bigint"), spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {t: (3, 2, True) for t in range(30)} | {99: (2, 1, True)}
