@@ -15,11 +15,12 @@ content hash, line number), has a word set of Jaccard similarity ``percent`` /
    line of their key at once, and sends what is left as packed columns, a block
    for each bucket of keys.  A line that is settled is still compared with later
    ones, but needs no earlier one.
-4. In a bucket, positional and length filters and a picture of the set (the
-   parity of its words in 64 to 1,024 cells, which differs in no more cells than
-   the sets in words) rule out pairs.  Each line that isn't settled leaves with
-   its FIRST earliest candidates of a key; should all of them fail, a second
-   round takes all candidates of just these lines.
+4. In a bucket, the lines of a key lie by size, so only sizes that can be similar
+   meet; a picture of the set (the parity of its words in 64 to 1,024 cells, which
+   differs in no more cells than the sets in words) and positional filters rule
+   out pairs.  Each line that isn't settled leaves with its FIRST earliest
+   candidates of a key.  Where there are more, the lines of that key are kept;
+   should all of the first fail, a second round takes the rest from there.
 5. Verify: the lines of the candidates are read again and compared word by word
    hash.
 
@@ -33,13 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import vectext as vt
 from ..operators.ranking import global_positions
 from ..scratch import fresh, materialize, small_side
+from .words import HAS_WORD
 
 #: Cells of the table of word counts.
 CELLS = 1 << 18
@@ -204,6 +205,10 @@ class Entries:
         head = np.array([len(self.token), len(self.wide), *[x for base, size, _ in parts for x in (base, size)]], np.int64)
         return b"".join([head.tobytes(), *[raw for *_, raw in parts], self.wide.tobytes()])
 
+    def some(self, rows: np.ndarray) -> Entries:
+        room = np.where(self.longs[rows] > 1, self.longs[rows], 0)
+        return Entries({k: getattr(self, k)[rows] for k in self.NAMES}, self.wide[_spread(self.wide_at[rows], room)])
+
     @classmethod
     def unpack(cls, bodies: list[bytes]) -> Entries:
         found: dict[str, list[np.ndarray]] = {k: [] for k in (*cls.NAMES, "wide")}
@@ -252,18 +257,17 @@ def _earlier(e: Entries, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (e.doc[a] < e.doc[b]) | (e.doc[a] == e.doc[b]) & (e.line[a] < e.line[b])
 
 
-def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int, asked: np.ndarray | None) -> tuple[Lines, np.ndarray, Entries, np.ndarray]:
+def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int) -> tuple[Lines, np.ndarray, Entries, np.ndarray]:
     """Of the lines of a unit: those that copy or resemble another of it (doc and line), and the entries and cells of the rest."""
     order = np.lexsort((x.line, x.doc, x.key, x.n))
     copy = np.r_[False, (x.key[order][1:] == x.key[order][:-1]) & (x.n[order][1:] == x.n[order][:-1])] if len(order) else np.zeros(0, bool)
-    gone = [order[copy]] if asked is None else [order[:0]]
-    heads = order if asked is not None else order[~copy]
+    gone, heads = [order[copy]], order[~copy]
     heads = heads[np.lexsort((x.line[heads], x.doc[heads]))]
     y = take(x, heads)
     row, place, key, cell = keys_of(y, percent, rare, common, long)
     wide_n = longs_of(y.n)
     pic = pictures(y, 1)[:, 0]
-    flags = np.full(len(row), ASKS, np.uint8) if asked is None else np.where(asked[heads][row], ASKS, 0).astype(np.uint8)
+    flags = np.full(len(row), ASKS, np.uint8)
     # A set's copies meet in all its keys; they are told of in the one of least value.
     by_row = np.argsort(row, kind="stable") if (row[1:] < row[:-1]).any() else slice(None)
     least = np.minimum.reduceat(key[by_row], np.searchsorted(row[by_row], np.arange(len(y.n)))) if len(row) else key
@@ -279,7 +283,7 @@ def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int
     columns = {"token": (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), "key": y.key[row], "doc": y.doc[row], "line": y.line[row].astype(np.uint32), "n": y.n[row].astype(np.uint32), "place": place.astype(np.uint32), "flags": flags, "pic": pic[row]}
     room = np.where(wide_n[row] > 1, wide_n[row], 0)
     e = Entries(columns, np.concatenate(wide)[_spread(wide_at[row], room)])
-    if asked is None and len(row):
+    if len(row):
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         order = order[np.r_[False, same] | np.r_[same, False]]
@@ -301,11 +305,12 @@ def settle_unit(x: Lines, percent: int, rare: np.ndarray, common: int, long: int
     return take(x, out), key, e, cell
 
 
-def match(e: Entries, percent: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket: entries that copy an earlier one; the candidates (later, earlier) of the entries that ask, at most ``first`` a line and key, and whether there are more."""
-    order = np.argsort(e.token.astype(np.uint64) << np.uint64(32) | e.key & np.uint64(0xFFFFFFFF))
+def match(e: Entries, percent: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: entries that copy an earlier one; the candidates (later, earlier) of the entries that ask, at most ``first`` a line and key, and whether there are more; and the entries of all keys for which there are more."""
     copies = np.zeros(0, np.int64)
-    if first is not None and len(order):
+    keep = np.ones(len(e.token), bool)
+    if first is not None and len(keep):
+        order = np.argsort(e.token.astype(np.uint64) << np.uint64(32) | e.key & np.uint64(0xFFFFFFFF))
         a, b = order[:-1], order[1:]
         same = (e.token[a] == e.token[b]) & (e.key[a] == e.key[b]) & (e.n[a] == e.n[b]) & (e.pic[a] == e.pic[b])
         run = np.cumsum(np.r_[True, ~same])
@@ -320,16 +325,19 @@ def match(e: Entries, percent: int, first: int | None) -> tuple[np.ndarray, np.n
         later = rows[~twin]
         copies = later[e.flags[later] & LEADS > 0]
         # The first of a set's copies asks if any of its entries does.
-        keep = np.ones(len(e.token), bool)
         keep[rows[~head]] = False
         asks = rows[twin & (e.flags[rows] & ASKS > 0)]
         e.flags[mine[np.isin(rows, asks)]] |= np.uint8(ASKS)
-        order = order[keep[order]]
+    # By key and size: once sizes are too far apart, they are at all greater distances.
+    order = np.flatnonzero(keep)
+    order = order[np.argsort(e.token[order].astype(np.uint64) << np.uint64(32) | e.n[order])]
+    token, n, pic, asks = e.token[order], e.n[order].astype(np.int64), e.pic[order], e.flags[order] & ASKS > 0
+    sums = np.arange(2 * int(n.max()) + 1 if len(n) else 1)
+    most = sums - 2 * overlap(sums, 0, percent)
     later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    token, more, held = e.token[order], np.zeros(0, np.int64), 0
+    more, held = np.zeros(0, np.int64), 0
     start = np.arange(max(0, len(order) - 1))
     lag = 1
-    asks = e.flags & ASKS > 0
 
     def trim() -> None:
         nonlocal later, earlier, more, held
@@ -345,16 +353,18 @@ def match(e: Entries, percent: int, first: int | None) -> tuple[np.ndarray, np.n
 
     while len(start):
         start = start[start + lag < len(order)]
-        start = start[token[start] == token[start + lag]]
-        for i in range(0, len(start), 1 << 18):
-            a, b = order[start[i : i + (1 << 18)]], order[start[i : i + (1 << 18)] + lag]
-            some = asks[a] | asks[b]
-            a, b = a[some], b[some]
+        start = start[(token[start] == token[start + lag]) & (n[start + lag] * percent <= n[start] * 100)]
+        for i in range(0, len(start), 1 << 16):
+            a = start[i : i + (1 << 16)]
+            b = a + lag
+            fit = np.bitwise_count(pic[a] ^ pic[b]) <= most[n[a] + n[b]]
+            fit &= asks[a] | asks[b]
+            a, b = order[a[fit]], order[b[fit]]
             fit = _pairs_fit(e, a, b, percent)
             a, b = a[fit], b[fit]
             before = _earlier(e, a, b)
             x, y = np.where(before, b, a), np.where(before, a, b)
-            ok = asks[x] & ((e.doc[x] != e.doc[y]) | (e.line[x] != e.line[y]))
+            ok = (e.flags[x] & ASKS > 0) & ((e.doc[x] != e.doc[y]) | (e.line[x] != e.line[y]))
             later.append(x[ok])
             earlier.append(y[ok])
             held += int(ok.sum())
@@ -362,7 +372,7 @@ def match(e: Entries, percent: int, first: int | None) -> tuple[np.ndarray, np.n
                 trim()
         lag += 1
     trim()
-    return copies, later[0], earlier[0], np.isin(later[0], more)
+    return copies, later[0], earlier[0], np.isin(later[0], more), order[np.isin(token, e.token[more])]
 
 
 def _counts(texts: DataFrame) -> np.ndarray:
@@ -420,31 +430,26 @@ def removed(texts: DataFrame, percent: int, *, common: int = COMMON, long: int =
     dealt = np.maximum(1, -(-counts // deal)).astype(np.int64)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (5 * BUCKET)) + 1)
 
-    def send(asked: bool):
+    def send():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts: list[Lines] = []
-            wanted: list[np.ndarray] = []
             held = 0
             for batch in batches:
                 data, offsets = vt.buffers(batch["t"])
                 doc = batch["doc"].to_numpy()
-                ask = dict(zip(doc.tolist(), batch["ask"].to_pylist(), strict=True)) if asked else {}
                 for i, j, chunk, own in vt.chunks(data, offsets):
                     parts.append(cut(chunk, own, doc[i:j], rare))
-                    if asked:
-                        p = parts[-1]
-                        wanted.append(np.array([ask[d] is not None and n in ask[d] for d, n in zip(p.doc.tolist(), p.line.tolist(), strict=True)], bool))
                     held += len(parts[-1].words)
                     if held > unit:
-                        yield from flush(parts, wanted)
-                        parts, wanted, held = [], [], 0
+                        yield from flush(parts)
+                        parts, held = [], 0
             if parts:
-                yield from flush(parts, wanted)
+                yield from flush(parts)
             vt.give_back()
 
-        def flush(parts: list[Lines], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def flush(parts: list[Lines]) -> Iterator[pa.RecordBatch]:
             x = join(parts)
-            gone, key, e, cell = settle_unit(x, percent, rare, level, long, np.concatenate(wanted) if asked else None)
+            gone, key, e, cell = settle_unit(x, percent, rare, level, long)
             rows: list[tuple[int, int, bytes]] = []
             if len(gone.n):
                 rows.append((int(gone.doc[0] % buckets), _GONE, np.stack([gone.doc, gone.line.astype(np.int64)]).tobytes()))
@@ -458,55 +463,69 @@ def removed(texts: DataFrame, percent: int, *, common: int = COMMON, long: int =
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
             for i, j in zip(edge, np.r_[edge[1:], len(order)] if len(edge) else edge, strict=True):
-                some = at[order[i:j]]
-                columns = {k: getattr(e, k)[some] for k in Entries.NAMES}
-                room = np.where(e.longs[some] > 1, e.longs[some], 0)
-                rows.append((int(bucket[order[i]]), _BLOCK, Entries(columns, e.wide[_spread(e.wide_at[some], room)]).pack()))
+                rows.append((int(bucket[order[i]]), _BLOCK, e.some(at[order[i:j]]).pack()))
             for i in range(0, len(rows), 64):
                 some_rows = rows[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some_rows], pa.int32()), pa.array([r[1] for r in some_rows], pa.int32()), pa.array([r[2] for r in some_rows], pa.binary())], names=["bucket", "kind", "body"])
 
         return run
 
-    names = ["doc", "line", "with_doc", "with_line", "more"]
-
-    def meet(limit: int | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks: dict[int, list[bytes]] = {}
-            for batch in batches:
-                for bucket, kind, body in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "body")), strict=True):
-                    if kind == _BLOCK:
-                        blocks.setdefault(bucket, []).append(body)
-                    else:
-                        doc, line = np.frombuffer(body, np.int64).reshape(2, -1)
-                        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), pa.array(np.zeros(len(doc), bool))], names=names)
-            for bucket in list(blocks):
-                e = Entries.unpack(blocks.pop(bucket))
-                copies, x, y, more = match(e, percent, limit)
-                whole = [np.r_[e.doc[copies], e.doc[x]], np.r_[e.line[copies], e.line[x]].astype(np.int64)]
-                mate = [pa.concat_arrays([pa.nulls(len(copies), pa.int64()), pa.array(c[y].astype(np.int64))]) for c in (e.doc, e.line)]
-                flag = np.r_[np.zeros(len(copies), bool), more]
-                for i in range(0, len(flag), 1 << 16):
-                    j = i + (1 << 16)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i:j]) for c in whole), *(c[i:j] for c in mate), pa.array(flag[i:j])], names=names)
-                del e, copies, x, y, more, whole, mate, flag
-            vt.give_back()
+    names = ["doc", "line", "with_doc", "with_line", "more", "bucket", "body"]
 
-        return run
+    def rows_of(bucket: int, e: Entries, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(x), 1 << 16):
+            a, b = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+            mate = b >= 0
+            columns = [e.doc[a], e.line[a].astype(np.int64), pa.array(e.doc[b], mask=~mate), pa.array(e.line[b].astype(np.int64), mask=~mate), more[i : i + (1 << 16)], np.full(len(a), bucket, np.int32), pa.nulls(len(a), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
 
-    def candidates(lines: DataFrame, asked: bool) -> DataFrame:
-        sent = lines.mapInArrow(send(asked), "bucket int, kind int, body binary").repartitionById(buckets, F.col("bucket"))
-        return materialize(sent.mapInArrow(meet(None if asked else first), "doc bigint, line bigint, with_doc bigint, with_line bigint, more boolean"), "candidates")
-
-    found = candidates(texts.select("doc", "t"), False)
-    copies = found.where("with_doc is null").select("doc", "line").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, kind, body in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "body")), strict=True):
+                if kind == _BLOCK:
+                    blocks.setdefault(bucket, []).append(body)
+                else:
+                    doc, line = np.frombuffer(body, np.int64).reshape(2, -1)
+                    none = [pa.nulls(len(doc), k) for k in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line), *none], names=names)
+        for bucket in list(blocks):
+            e = Entries.unpack(blocks.pop(bucket))
+            copies, x, y, more, kept = match(e, percent, first)
+            yield from rows_of(bucket, e, np.r_[copies, x], np.r_[np.full(len(copies), -1), y], np.r_[np.zeros(len(copies), bool), more])
+            for i in range(0, len(kept), 1 << 15):
+                body = pa.array([e.some(kept[i : i + (1 << 15)]).pack()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())), pa.array([bucket], pa.int32()), body], names=names)
+            del e, copies, x, y, more, kept
+        vt.give_back()
+
+    def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[bytes]] = {}
+        asked: dict[int, set[tuple[int, int]]] = {}
+        for batch in batches:
+            for bucket, body, doc, line in zip(*(batch[c].to_pylist() for c in ("bucket", "body", "doc", "line")), strict=True):
+                if body is None:
+                    asked.setdefault(bucket, set()).add((doc, line))
+                else:
+                    blocks.setdefault(bucket, []).append(body)
+        for bucket, lines in asked.items():
+            e = Entries.unpack(blocks.pop(bucket))
+            e.flags[:] = [ASKS if at in lines else 0 for at in zip(e.doc.tolist(), e.line.tolist(), strict=True)]
+            _, x, y, more, _ = match(e, percent, None)
+            yield from rows_of(bucket, e, x, y, more)
+        vt.give_back()
+
+    kinds = "doc bigint, line bigint, with_doc bigint, with_line bigint, more boolean, bucket int, body binary"
+    sent = texts.select("doc", "t").mapInArrow(send(), "bucket int, kind int, body binary").repartitionById(buckets, F.col("bucket"))
+    found = materialize(sent.mapInArrow(meet, kinds), "candidates")
+    copies = found.where("body is null and with_doc is null").select("doc", "line").distinct()
     near = _verified(texts, found.where("with_doc is not null"), percent)
     gone = materialize(copies.unionByName(near).distinct(), "gone")
-    left = found.where("more").select("doc", "line").distinct().join(gone, ["doc", "line"], "left_anti")
-    left = materialize(left.groupBy("doc").agg(F.collect_list("line").alias("ask")), "left")
+    left = materialize(found.where("more").select("bucket", "doc", "line").distinct().join(gone, ["doc", "line"], "left_anti"), "left")
     if left.limit(1).count():
-        again = candidates(texts.join(small_side(left), "doc", "left").select("doc", "t", "ask"), True)
-        gone = gone.unionByName(_verified(texts, again, percent)).distinct()
+        kept = found.where("body is not null").join(small_side(left.select("bucket").distinct()), "bucket", "left_semi").select("bucket", "body", "doc", "line")
+        rest = kept.unionByName(left.select("bucket", F.lit(None).cast("binary").alias("body"), "doc", "line")).repartitionById(buckets, F.col("bucket"))
+        gone = gone.unionByName(_verified(texts, rest.mapInArrow(meet_again, kinds), percent)).distinct()
     return gone
 
 
@@ -574,28 +593,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         out = out.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, th, part).orderBy(F.lit(0))))
         out = out.withColumn(part, F.when(F.col(copy) == 1, -1).otherwise(F.col(part)))
         out = out.withColumn(copy, F.when(F.col(copy) == 1, F.row_number().over(Window.partitionBy(id_col, th, part).orderBy(F.lit(0)))).otherwise(F.col(copy)))
-        out = out.withColumn("removed_lines", F.when(F.col(copy) == 1, F.coalesce(lost, none)).otherwise(_with_words(text)))
+        out = out.withColumn("removed_lines", F.when(F.col(copy) == 1, F.coalesce(lost, none)).otherwise(F.coalesce(_with_words(text), none)))
     text = F.when(F.size("removed_lines") == 0, F.col(text_col)).otherwise(_without(F.col(text_col), F.col("removed_lines")))
     return out.withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("n_lines", "removed_lines")], "n_lines", "removed_lines")
 
 
-@F.arrow_udf(T.StringType())
-def _without(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for text, lost in texts:
-        out = []
-        for t, gone in zip(text.to_pylist(), lost.to_pylist(), strict=True):
-            drop = set(gone or ())
-            out.append(t if t is None or not drop else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop))
-        yield pa.array(out, pa.string())
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _with_words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in texts:
-        data, offsets = vt.buffers(column)
-        found: list[list[int]] = [[] for _ in range(len(column))]
-        for i, j, chunk, own in vt.chunks(data, offsets):
-            x = cut(chunk, own, np.arange(i, j), np.zeros(CELLS, np.uint8))
-            for d, n in zip(x.doc.tolist(), x.line.tolist(), strict=True):
-                found[d].append(n)
-        yield pa.array(found, pa.list_(pa.int32()))
+def _without(text: Column, lost: Column) -> Column:
+    """``text`` without the lines numbered in ``lost``."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(lost, k)), "\n")
+
+
+def _with_words(text: Column) -> Column:
+    """Numbers of the lines with words."""
+    return F.array_compact(F.transform(F.split(text, "\n"), lambda x, k: F.when(x.rlike(HAS_WORD), k)))

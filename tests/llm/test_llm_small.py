@@ -18,6 +18,7 @@ from spanloom.llm.decontam import contamination
 from spanloom.llm.html_extract import blocks, extract_main_text
 from spanloom.llm.langid import held_out, learn, predict
 from spanloom.llm.licenses import KNOWN, LICENCE_RULES, SENTENCES, scan_licences
+from spanloom.llm import line_dedup
 from spanloom.llm.line_dedup import dedup_lines
 from spanloom.llm.mixing import mix, mixed_documents, round_pairs, source_targets
 from spanloom.llm.ngram_join import drop_near_copies, needed, similar_documents, survivors
@@ -415,6 +416,38 @@ def test_line_dedup_against_brute_force(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
 
 
+def entries_of_a_key(n):
+    n = np.array(n)
+    rows = np.arange(len(n))
+    columns = {"token": np.zeros(len(n)), "key": rows, "doc": rows, "line": rows * 0, "n": n, "place": rows * 0, "flags": rows * 0 + line_dedup.ASKS, "pic": rows * 0}
+    return line_dedup.Entries({k: columns[k].astype(t) for k, t in zip(line_dedup.Entries.NAMES, line_dedup.Entries.KINDS, strict=True)}, np.zeros(0, np.uint64))
+
+
+def test_lines_of_a_key_meet_by_size_and_are_kept_for_the_second_round(monkeypatch):
+    met, fit = [], line_dedup._pairs_fit
+    monkeypatch.setattr(line_dedup, "_pairs_fit", lambda e, a, b, percent: met.append(len(a)) or fit(e, a, b, percent))
+    _, later, earlier, more, kept = line_dedup.match(entries_of_a_key(range(1, 41)), 80, 64)
+    want = {(m - 1, n - 1) for m in range(1, 41) for n in range(1, m) if n * 100 >= m * 80}
+    assert set(zip(later.tolist(), earlier.tolist(), strict=True)) == want and sum(met) == len(want) < 40 * 39 / 2
+    assert not more.any() and not len(kept)
+    # One candidate at first: the second round has the others from the entries that were kept.
+    e = entries_of_a_key([10, 10, 10, 40])
+    _, later, earlier, more, kept = line_dedup.match(e, 80, 1)
+    assert list(zip(later.tolist(), earlier.tolist(), more.tolist(), strict=True)) == [(1, 0, False), (2, 0, True)] and sorted(kept.tolist()) == [0, 1, 2, 3]
+    again = line_dedup.Entries.unpack([e.some(kept).pack()])
+    _, later, earlier, _, _ = line_dedup.match(again, 80, None)
+    assert {(int(again.doc[x]), int(again.doc[y])) for x, y in zip(later, earlier, strict=True)} == {(1, 0), (2, 0), (2, 1)}
+
+
+def test_line_dedup_cuts_texts_natively(spark, capsys):
+    rows = [(1, "some words here\n\nmore words\n"), (1, "some words here\n\nmore words\n"), (2, "words, some HERE\n--"), (3, None), (3, None), (4, "")]
+    out = dedup_lines(docs(spark, rows))
+    out.explain()
+    assert "Python" not in capsys.readouterr().out
+    got = sorted((r.doc_id, r.text or "", list(r.removed_lines)) for r in out.collect())
+    assert got == [(1, "\n", [0, 2]), (1, "some words here\n\nmore words\n", []), (2, "--", [0]), (3, "", []), (3, "", []), (4, "", [])]
+
+
 # 6 -------------------------------------------------------------------------------
 
 
