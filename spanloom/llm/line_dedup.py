@@ -8,9 +8,11 @@ content hash, line number), has a word set of Jaccard similarity ``percent`` /
    CELLS cells that words share by hash; a set's words are ordered by the count
    of their cell, then by hash.
 2. Prefixes: similar sets share one of their rarest words, the prefix.  A word
-   of a common cell is too weak a key, so there the next shared word is taken
-   with it: sets that need two words in common share a pair of the words of
-   their prefixes made longer by one.  Very long lines keep single words.
+   of a common cell is too weak a key, so there a word and the next one of the
+   set are one.  Of the pairs of neighbours among a set's common words, a word
+   that the other set lacks breaks two, and one that it has more breaks one; so
+   similar sets that share no rarer word of their prefixes share one of as many
+   first pairs as can break, and one more.  Very long lines keep single words.
 3. Each task combines the copies of a line, compares near copies with the first
    line of their key at once, and sends what is left as packed columns, a block
    for each bucket of keys.  A line that is settled is still compared with later
@@ -142,20 +144,34 @@ def keys_of(x: Lines, percent: int, rare: np.ndarray, common: int, long: int) ->
     word = x.words[x.begin[row] + at]
     cell = cells(word)
     paired = rare[cell] >= common
-    single = ~paired | (x.n[row] > long)
-    paired &= x.n[row] * 4 <= long * 5
+    # Rarer words of the set come first; those beyond the prefix don't matter.
+    rarer = np.bincount(row[~paired], minlength=len(p))
+    need, there = breaks(x.n, p - 1, percent) - 2 * rarer + 1, x.n - rarer - 1
+    lone = (x.n == 1) & (rarer == 0)
+    # Where all pairs may break, single words are needed too.
+    single = ~paired | (x.n > long)[row] | ((need > there) & ~(lone & (percent > 50)))[row]
     parts = [(row[single], at[single], vt.mix64(word[single]), cell[single])]
-    if paired.any():
-        row, at, word, cell = row[paired], at[paired], word[paired], cell[paired]
-        more = np.minimum(p[row] + 1, x.n[row]) - at - 1
-        lone = x.n[row] == 1
-        second = x.words[_spread(x.begin[row] + at + 1, more)]
-        with np.errstate(over="ignore"):
-            parts.append((np.repeat(row, more), np.repeat(at, more), vt.mix64(np.repeat(vt.mix64(word), more) * np.uint64(3) + second), np.repeat(cell, more)))
-        parts.append((row[lone], at[lone], vt.mix64(~word[lone]), cell[lone]))
+    pairs = np.where((x.n * 4 <= long * 5) & (rarer < p), np.clip(np.minimum(need, there), 0, None), 0)
+    row = np.repeat(np.arange(len(p)), pairs)
+    at = _spread(rarer, pairs)
+    word, second = x.words[x.begin[row] + at], x.words[x.begin[row] + at + 1]
+    with np.errstate(over="ignore"):
+        # Shared words may come before a shared pair, so its place says nothing.
+        parts.append((row, at * 0, vt.mix64(vt.mix64(word) * np.uint64(3) + second), cells(word)))
+    row = np.flatnonzero(lone)
+    word = x.words[x.begin[row]]
+    parts.append((row, row * 0, vt.mix64(~word), cells(word)))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+def breaks(n: np.ndarray, lacks: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of neighbours of a set of n words that a similar set breaks at most, if it lacks at most ``lacks`` of the words."""
+    if percent < 50:
+        return 2 * n
+    # A word that is lacking leaves room for 100 / percent, at most 2, fewer words that the other set has more.
+    return 2 * lacks + (n - lacks) * 100 // percent - n
+
+
 def shared_words(words: np.ndarray, begin: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of common words of the sets a[i] and b[i]."""
     out = np.zeros(len(a), np.int64)
@@ -192,6 +208,7 @@ class Entries:
         self.wide_at = np.cumsum(room) - room
 
     def pack(self) -> bytes:
+        """The columns, each compressed by itself; of wide pictures ``pic`` is made again."""
         parts = []
         for name, kind in zip(self.NAMES, self.KINDS, strict=True):
             c = getattr(self, name)
@@ -201,9 +218,13 @@ class Entries:
                 c = c - base
             elif kind == np.uint32 and name != "token" and (not len(c) or c.max() < 1 << 16):
                 kind = np.uint16
-            parts.append((base, np.dtype(kind).itemsize, np.ascontiguousarray(c.astype(kind)).tobytes()))
-        head = np.array([len(self.token), len(self.wide), *[x for base, size, _ in parts for x in (base, size)]], np.int64)
-        return b"".join([head.tobytes(), *[raw for *_, raw in parts], self.wide.tobytes()])
+            elif name == "pic":
+                c = c[self.longs == 1]
+            parts.append((base, np.dtype(kind).itemsize, c.astype(kind).tobytes()))
+        parts.append((0, 8, self.wide.tobytes()))
+        small = [pa.compress(raw, codec="zstd", asbytes=True) if raw else b"" for *_, raw in parts]
+        head = np.array([x for (base, size, raw), body in zip(parts, small, strict=True) for x in (base, size, len(raw), len(body))], np.int64)
+        return b"".join([head.tobytes(), *small])
 
     def some(self, rows: np.ndarray) -> Entries:
         room = np.where(self.longs[rows] > 1, self.longs[rows], 0)
@@ -213,16 +234,22 @@ class Entries:
     def unpack(cls, bodies: list[bytes]) -> Entries:
         found: dict[str, list[np.ndarray]] = {k: [] for k in (*cls.NAMES, "wide")}
         for body in bodies:
-            head = np.frombuffer(body, np.int64, 2 + 2 * len(cls.NAMES))
+            head = np.frombuffer(body, np.int64, 4 * len(found)).reshape(-1, 4)
             at = head.nbytes
-            for k, (name, kind) in enumerate(zip(cls.NAMES, cls.KINDS, strict=True)):
-                base, size = int(head[2 + 2 * k]), int(head[3 + 2 * k])
-                raw = np.frombuffer(body, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[size], int(head[0]), at)
-                at += raw.nbytes
-                found[name].append(raw.astype(np.int64) + base if name == "doc" else raw.astype(kind))
-            found["wide"].append(np.frombuffer(body, np.uint64, int(head[1]), at))
+            for (name, column), kind, (base, size, whole, small) in zip(found.items(), (*cls.KINDS, np.uint64), head.tolist(), strict=True):
+                raw = pa.decompress(body[at : at + small], whole, codec="zstd", asbytes=True) if small else b""
+                c = np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[size])
+                column.append(c.astype(np.int64) + base if name == "doc" else c.astype(kind))
+                at += small
         joined = {k: np.concatenate(v) for k, v in found.items()}
-        return cls({k: joined[k] for k in cls.NAMES}, joined["wide"])
+        narrow, wide = joined["pic"], joined.pop("wide")
+        joined["pic"] = np.zeros(len(joined["n"]), np.uint64)
+        out = cls(joined, wide)
+        out.pic[out.longs == 1] = narrow
+        rows = np.flatnonzero(out.longs > 1)
+        if len(rows):
+            out.pic[rows] = np.bitwise_xor.reduceat(wide, out.wide_at[rows])
+        return out
 
 
 ASKS, LEADS = 1, 2

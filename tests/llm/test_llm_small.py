@@ -423,6 +423,29 @@ def entries_of_a_key(n):
     return line_dedup.Entries({k: columns[k].astype(t) for k, t in zip(line_dedup.Entries.NAMES, line_dedup.Entries.KINDS, strict=True)}, np.zeros(0, np.uint64))
 
 
+def test_similar_sets_share_a_key_and_keys_are_few():
+    rng = np.random.default_rng(8)
+    rare = np.where(np.arange(line_dedup.CELLS) % 4 < 3, 200, 100).astype(np.uint8)
+    for percent in (80, 65, 50, 40):
+        sets = []
+        for _ in range(1500):
+            a = rng.permutation(rng.integers(1, 2**60, rng.integers(1, 70), dtype=np.uint64))
+            c = rng.integers(-(-len(a) * percent // 100), len(a) + 1)
+            more = rng.integers(0, max(0, c * 100 // percent - len(a)) + 1)
+            sets += [a, np.r_[a[:c], rng.integers(1, 2**60, more, dtype=np.uint64)]]
+        order = [v[np.lexsort((v, rare[line_dedup.cells(v)]))] for v in sets]
+        n = np.array([len(v) for v in order])
+        x = line_dedup.Lines(np.arange(len(n)), n * 0, n, n * 0, np.concatenate(order))
+        row, _, key, _ = line_dedup.keys_of(x, percent, rare, 150, 40)
+        own = [set() for _ in n]
+        for r, k in zip(row.tolist(), key.tolist(), strict=True):
+            own[r].add(k)
+        for i in range(0, len(n), 2):
+            both = len(set(sets[i].tolist()) & set(sets[i + 1].tolist()))
+            assert both * 100 < percent * (n[i] + n[i + 1] - both) or own[i] & own[i + 1]
+        assert all(own) and (percent < 80 or max(len(k) / m for k, m in zip(own, n, strict=True) if 20 < m <= 40) <= 0.5)
+
+
 def test_lines_of_a_key_meet_by_size_and_are_kept_for_the_second_round(monkeypatch):
     met, fit = [], line_dedup._pairs_fit
     monkeypatch.setattr(line_dedup, "_pairs_fit", lambda e, a, b, percent: met.append(len(a)) or fit(e, a, b, percent))
