@@ -116,10 +116,10 @@ def pictures(x: Lines, longs: int) -> np.ndarray:
 
 
 def longs_of(n: np.ndarray) -> np.ndarray:
-    """Longs of the picture of a set of n words: as many cells as words, or more."""
+    """Longs of the picture of a set of n words: at least two cells for three words; unlike sets differ in more cells than similar ones may, then."""
     out = np.ones(len(n), np.int64)
     for k in range(MOST_LONGS.bit_length() - 1):
-        out[n > 64 << k] = 2 << k
+        out[n > 96 << k] = 2 << k
     return out
 
 
