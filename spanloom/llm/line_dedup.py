@@ -4,6 +4,10 @@ A line is removed when an earlier line, kept or not, in the order of (id,
 content hash, line number), has a word set of Jaccard similarity ``percent`` /
 100 or more.  Lines without words stay.
 
+``dedup_lines`` finds them by DataFrame operations alone, as ``line_sets`` says.
+``removed`` is the same join over packed columns in NumPy, which is taken if its
+limits are given:
+
 1. Order by rarity: occurrences of words are counted over all documents in
    CELLS cells that words share by hash; a set's words are ordered by the count
    of their cell, then by hash.
@@ -42,6 +46,7 @@ from pyspark.sql import functions as F
 from . import vectext as vt
 from ..operators.ranking import global_positions
 from ..scratch import fresh, materialize, small_side
+from .line_sets import similar_lines
 from .words import HAS_WORD
 
 #: Cells of the table of word counts.
@@ -599,11 +604,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     a document and its copies: the copies lose all lines with words.  An empty
     table gives an empty one; a text or line of any length is read whole.
     Columns named n_lines or removed_lines are replaced; all others pass
-    through, whatever their names.  ``how``: the limits of ``removed``, which
-    change its work but not its result.
+    through, whatever their names.  ``how``: limits of ``removed``, which then
+    finds the same lines in NumPy.
     """
     texts, numbers = _numbered(docs, id_col, text_col)
-    gone = materialize(removed(texts, percent, **how).groupBy("doc").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone")), "lines")
+    found = removed(texts, percent, **how) if how else similar_lines(texts, percent)
+    gone = materialize(found.groupBy("doc").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone")), "lines")
     doc, lost, copy, part, th = fresh(docs, "doc", "lost", "copy", "part", "th")
     text = F.col(text_col)
     out = docs.withColumn("n_lines", F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"))
