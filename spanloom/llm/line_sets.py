@@ -13,7 +13,8 @@
    words in 64 cells, 128 for large sets, which differs in no more cells than
    the sets in words), and what is left is verified word by word.
 5. Lines that resemble no first line are compared with all others of their keys.
-   A group of near copies is so settled in time linear in its lines.
+   Near copies of a first line are so settled in time linear in their number;
+   lines of a large key that resemble others but not the first meet in pairs.
 """
 
 from __future__ import annotations
